@@ -1,0 +1,4 @@
+"""Intentionally empty: no operator of this library runs on a stream.
+
+``withWatermark`` and ``writeStream`` appear only as text that the script scan recognises.
+"""
