@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -88,10 +89,8 @@ def stage_of_script(path: Column) -> Column:
 
 
 def first_swap(text: Column, old: str, new: str) -> Column:
-    """Replace the first occurrence of ``old``."""
-    at = F.locate(old, text)
-    swapped = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + len(old), F.length(text)))
-    return F.when(at > 0, swapped).otherwise(text)
+    """Replace the first occurrence of ``old``; the anchor keeps later ones."""
+    return F.regexp_replace(text, f"(?s)^(.*?){re.escape(old)}", f"$1{new}")
 
 
 def job_label(dag_id: Column) -> Column:

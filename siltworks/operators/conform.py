@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions.text import display_id, first_swap, job_label, short_name
 from siltworks.operators.skew import skew_join
+from siltworks.sources.scratch import cut
 
 # Layers that are shown, in order.
 SHOWN = ["bronze", "silver", "gold", "unknown"]
@@ -32,18 +35,16 @@ def _winners(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _canonical_map(keyed: DataFrame, winners: DataFrame) -> DataFrame:
+    named = winners.select("name_key", F.col("winner.node_id").alias("canonical_id"))
+    return skew_join(keyed.select("node_id", "name_key"), named, "name_key", "left").select("node_id", "canonical_id")
+
+
 def canonical_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes that stay, and ``(node_id, canonical_id)`` for every node."""
     keyed = _keyed(nodes)
     winners = _winners(keyed)
-    kept = winners.select("winner.*").select(nodes.columns)
-    mapped = skew_join(
-        keyed.select("node_id", "name_key"),
-        winners.select("name_key", F.col("winner.node_id").alias("canonical_id")),
-        "name_key",
-        "left",
-    )
-    return kept, mapped.select("node_id", "canonical_id")
+    return winners.select("winner.*").select(nodes.columns), _canonical_map(keyed, winners)
 
 
 def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Tried in order: the canonical node, the id itself, the short name among the shown nodes.
     """
-    keyed = _keyed(nodes)
-    winners = _winners(keyed)
+    keyed = _keyed(nodes.select("node_id", "node_type", "layer", "table_name"))
+    winners = cut(_winners(keyed), "name-winners").df
     layer = F.coalesce(F.nullif("winner.layer", F.lit("")), F.lit("unknown"))
     rank = F.array_position(F.array(*[F.lit(x) for x in SHOWN]), layer)
     shown = winners.filter(rank > 0).select(
@@ -63,26 +64,25 @@ def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     shown_ids = shown.select(F.col("shown_id").alias("candidate")).distinct()
     by_name = shown.filter(F.col("short") != "").groupBy("short").agg(F.min_by("shown_id", "place").alias("by_name"))
 
-    def present(ids: DataFrame, name: str) -> DataFrame:
-        """Keep ids whose candidate is shown; candidates may repeat, shown ids do not."""
-        return skew_join(ids, shown_ids, "candidate").select("node_id", F.col("candidate").alias(name))
-
-    ends = (
+    ends = cut(
         edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
         .filter(F.col("node_id").isNotNull())
         .distinct()
+        .join(_canonical_map(keyed, winners), "node_id", "left"),
+        "edge-ends",
+    ).df
+    # both ways to a shown id in one join; way 1 goes before way 2
+    ways = F.explode(
+        F.array(
+            F.struct(F.lit(1).alias("way"), display_id(F.col("canonical_id")).alias("candidate")),
+            F.struct(F.lit(2).alias("way"), display_id(F.col("node_id")).alias("candidate")),
+        )
     )
-    canonical = canonical_nodes(nodes)[1].select("node_id", display_id(F.col("canonical_id")).alias("candidate"))
-    by_map = present(ends.join(canonical, "node_id"), "by_map")
-    direct = present(ends.withColumn("candidate", display_id(F.col("node_id"))), "direct")
-    named = skew_join(ends.withColumn("short", short_name(F.col("node_id"))), by_name, "short")
-    return (
-        ends.join(by_map, "node_id", "left")
-        .join(direct, "node_id", "left")
-        .join(named.select("node_id", "by_name"), "node_id", "left")
-        .select("node_id", F.coalesce("by_map", "direct", "by_name").alias("shown_id"))
-        .filter(F.col("shown_id").isNotNull())
-    )
+    tried = ends.select("node_id", ways.alias("w")).select("node_id", "w.way", "w.candidate")
+    by_id = skew_join(tried, shown_ids, "candidate").select("node_id", "way", F.col("candidate").alias("shown_id"))
+    short = ends.select("node_id", short_name(F.col("node_id")).alias("short"))
+    named = skew_join(short, by_name, "short").select("node_id", F.lit(3).alias("way"), F.col("by_name").alias("shown_id"))
+    return by_id.unionByName(named).groupBy("node_id").agg(F.min_by("shown_id", "way").alias("shown_id"))
 
 
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,11 +90,12 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Ends are resolved once per distinct id, not once per edge.
     """
-    ends = _endpoints(nodes, edges)
+    shown = cut(_endpoints(nodes, edges), "shown-ends")
     names = ["source_id", "target_id", "script", "dag_id", "layer", "transformations"]
     found = edges.select(names).distinct()
-    for end, shown in (("source_id", "source"), ("target_id", "target")):
-        found = skew_join(found, ends.select(F.col("node_id").alias(end), F.col("shown_id").alias(shown)), end)
+    for end, name in (("source_id", "source"), ("target_id", "target")):
+        renamed = shown.df.select(F.col("node_id").alias(end), F.col("shown_id").alias(name))
+        found = skew_join(found, replace(shown, df=renamed), end)
     return found.filter(F.col("source") != F.col("target")).select("source", "target", *names)
 
 
