@@ -22,17 +22,23 @@ JOB_LABELS = [
 
 def no_slash(c: Column) -> Column:
     """Drop trailing slashes."""
-    return F.regexp_replace(c, "/+$", "")
+    return F.rtrim(c, F.lit("/"))
+
+
+def bare(c: Column) -> Column:
+    """Outer white space and trailing slashes removed."""
+    return no_slash(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")))
 
 
 def clean_path(c: Column) -> Column:
-    """Outer blanks and trailing slashes removed, ``file:/x`` and ``file:///x`` made equal."""
-    return F.regexp_replace(no_slash(F.trim(c)), "^file:/+", "file:/")
+    """Bare path with ``file:/x`` and ``file:///x`` made equal."""
+    path = bare(c)
+    return F.when(F.startswith(path, F.lit("file:")), F.regexp_replace(path, "^file:/+", "file:/")).otherwise(path)
 
 
 def normal_id(c: Column) -> Column:
     """Form in which two ids are compared when lineage is scored."""
-    return F.lower(no_slash(F.trim(c)))
+    return F.lower(bare(c))
 
 
 def last_part(path: Column) -> Column:

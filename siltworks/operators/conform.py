@@ -95,7 +95,7 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = edges.select(names).distinct()
     for end, name in (("source_id", "source"), ("target_id", "target")):
         renamed = shown.df.select(F.col("node_id").alias(end), F.col("shown_id").alias(name))
-        found = skew_join(found, replace(shown, df=renamed), end)
+        found = skew_join(found, replace(shown, df=renamed), end, left_keys=edges.select(end))
     return found.filter(F.col("source") != F.col("target")).select("source", "target", *names)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.operators.skew import skew_join
-from siltworks.sources.scratch import cut
+from siltworks.sources.scratch import Stored, cut
 
 SUMMARY = ["node_id", "node_type", "layer", "table_name", "full_name", "format", "row_count", "column_count", "scanned_at"]
 EDGE = ["source_id", "target_id", "script", "dag_id", "layer", "transformations"]
@@ -113,31 +113,34 @@ def node_detail(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame
     )
 
 
-def _reach(edges: DataFrame, seeds: DataFrame, depth: int, near: str, far: str) -> DataFrame:
+def _reach(edges: DataFrame, seeds: DataFrame, depth: int, near: str, far: str) -> Stored:
     """(seed_id, node_id, hop): everything at least hop ``0 .. depth-1`` away, by shortest way.
 
-    One step joins the whole frontier of all seeds to the distinct links. Every frontier is
-    written to the shared folder, so no plan grows with the depth and a lost executor costs one
-    step. A frontier that was measured small is broadcast: then the links are scanned, not
-    shuffled. Otherwise both sides of the join are salted, since a hub node can be frequent in both.
+    One step joins the whole frontier of all seeds to the edges. Every frontier is written to the
+    shared folder, so no plan grows with the depth and a lost executor costs one step. A frontier
+    that was measured small is broadcast: then two edge columns are scanned and nothing of them is
+    shuffled. Otherwise the distinct links are stored once, and both sides of the join are salted,
+    since a hub node can be frequent in both.
     """
     first = seeds.select(F.col("node_id").alias("seed_id"), "node_id").distinct()
     frontier = cut(first, "frontier")
     visited = frontier.df.withColumn("hop", F.lit(0))
-    if depth == 1 or frontier.rows == 0:
-        return visited
-    links = cut(edges.select(F.col(near).alias("node_id"), F.col(far).alias("next_id")).distinct(), "links").df
+    rows, size = frontier.rows, frontier.bytes
+    pairs = edges.select(F.col(near).alias("node_id"), F.col(far).alias("next_id"))
+    links = None
     for hop in range(1, depth):
         if frontier.small:
-            met = links.join(F.broadcast(frontier.df), "node_id")
+            met = (pairs if links is None else links).join(F.broadcast(frontier.df), "node_id")
         else:
+            links = links if links is not None else cut(pairs.distinct(), "links").df
             met = skew_join(links, frontier.df, "node_id", both=True)
         step = met.select("seed_id", F.col("next_id").alias("node_id")).distinct()
         frontier = cut(step.join(visited, ["seed_id", "node_id"], "left_anti"), "frontier")
         if frontier.rows == 0:
             break
+        rows, size = rows + frontier.rows, size + frontier.bytes
         visited = visited.unionByName(frontier.df.withColumn("hop", F.lit(hop)))
-    return visited
+    return Stored(visited, rows, size)
 
 
 def _traverse(
@@ -147,14 +150,16 @@ def _traverse(
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
     reached = _reach(edges, seeds, depth, near, far)
     attributes = nodes.select(*SUMMARY[:-1], "location")
-    found = skew_join(reached, attributes, "node_id")
-    crossed = skew_join(
-        edges.select(EDGE).distinct().withColumn("node_id", F.col(near)),
-        reached.select("seed_id", "node_id"),
-        "node_id",
-        both=True,
-    )
-    return found, crossed.select("seed_id", *EDGE)
+    met = edges.select(EDGE).withColumn("node_id", F.col(near))
+    at = reached.df.select("seed_id", "node_id")
+    if reached.small:  # measured: scan nodes and edges, shuffle only what was found
+        found = attributes.join(F.broadcast(reached.df), "node_id")
+        crossed = met.join(F.broadcast(at), "node_id").select("seed_id", *EDGE).distinct()
+    else:
+        found = skew_join(reached.df, attributes, "node_id")
+        keys = met.select("node_id")
+        crossed = skew_join(met.distinct(), at, "node_id", both=True, left_keys=keys).select("seed_id", *EDGE)
+    return found.select("seed_id", "node_id", "hop", *attributes.columns[1:]), crossed
 
 
 def upstream(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:

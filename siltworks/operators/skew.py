@@ -38,9 +38,11 @@ def spread(df: DataFrame, ways: int) -> Column:
 def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Left join on ``key``; NULL keys are spread, the join strategy is left to Catalyst."""
     lane = F.when(F.col(key).isNull(), spread(facts, tasks(facts))).otherwise(F.lit(0))
+    # Always 0. A literal would be folded into the join condition and the lane would leave the hash key.
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
     return (
         facts.withColumn("_lane", lane)
-        .join(dimension.withColumn("_lane", F.lit(0)), [key, "_lane"], "left")
+        .join(dimension.withColumn("_lane", zero), [key, "_lane"], "left")
         .drop("_lane")
     )
 
@@ -64,12 +66,14 @@ def skew_join(
     how: str = "inner",
     both: bool = False,
     share: float = SHARE,
+    left_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join on ``key`` with the frequent values of the left side salted.
 
     ``how`` is inner, left, left_semi or left_anti. ``both`` also salts the frequent values of the
     right side (inner only). A stored right side whose measured bytes fit is broadcast, which needs
-    no shuffle of the left side at all.
+    no shuffle of the left side at all. ``left_keys`` is a cheaper input with the same ``key`` to
+    look for frequent values in, when ``left`` itself is costly to compute twice.
     """
     if isinstance(right, Stored):
         if right.small and not both:
@@ -79,7 +83,7 @@ def skew_join(
         raise ValueError("only an inner join can salt both sides")
 
     ways = tasks(left)
-    hot_left = _frequent(left, key, share, "_hot_l")
+    hot_left = _frequent(left if left_keys is None else left_keys, key, share, "_hot_l")
     a = _mark(left, hot_left, key)
     b = _mark(right, hot_left, key)
     salted = F.col("_hot_l").isNotNull() | F.col(key).isNull()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -185,12 +185,43 @@ def references(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", VIEWS[name])))
 
 
-def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table or a view over them."""
+def _with_copies(links: DataFrame) -> DataFrame:
+    """The graph_edges view in one pass over the links."""
+    none = F.array().cast("array<string>")
+    kinds = F.concat(
+        F.array(F.lit("edge")),
+        F.when(F.col("k") % 11 == 0, F.array(F.lit("edge"))).otherwise(none),
+        F.when(F.col("k") % 13 == 0, F.array(F.lit("loop"))).otherwise(none),
+    )
+    loop = F.col("kind") == "loop"
+    return (
+        links.withColumn("kind", F.explode(kinds))
+        .withColumn("source_id", F.when(loop, F.col("target_id")).otherwise(F.col("source_id")))
+        .drop("kind")
+    )
+
+
+_schemas: dict[str, T.StructType] = {}
+
+
+def given(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table; its schema is read from the file once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def load(spark: SparkSession, sf: str, name: str, ready: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A given table or a view over them; views in ``ready`` are taken as they are."""
+    if ready and name in ready:
+        return ready[name]
     if name in TABLES:
-        return spark.read.parquet(f"{sf}/{name}.parquet")
+        return given(spark, sf, name)
+    if name == "graph_edges":
+        return _with_copies(load(spark, sf, "links", ready))
     text = VIEWS[name].replace('"Group"', "`Group`")
-    return spark.sql(text, **{r: load(spark, sf, r) for r in references(name)})
+    return spark.sql(text, **{r: load(spark, sf, r, ready) for r in references(name)})
 
 
 def with_views(names: list[str], body: str, recursive: bool = False) -> str:

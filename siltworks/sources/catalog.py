@@ -52,6 +52,29 @@ def count_tables(spark: SparkSession, names: list[tuple[str, str]]) -> dict[tupl
     return counts
 
 
+def count_each(spark: SparkSession, names: list[tuple[str, str]], keep: int | None) -> dict[tuple[str, str], tuple]:
+    """(rows, error) per table: all in shared jobs, one by one only when a shared job fails."""
+    try:
+        return {name: (n, None) for name, n in count_tables(spark, names).items()}
+    except Exception:
+        return {name: attempt(lambda: count_tables(spark, [name])[name], keep) for name in names}
+
+
+def _register(spark: SparkSession, db: str, tables: dict[str, tuple[str, T.StructType | None]], keep: int | None) -> DataFrame:
+    """Register name -> (path, schema), then count what was registered; one status row per table."""
+    errors = {}
+    for name, (path, schema) in tables.items():
+
+        def add() -> int:
+            register_table(spark, db, name, path, schema)
+            return 0
+
+        errors[name] = attempt(add, keep)[1]
+    counts = count_each(spark, [(db, n) for n, e in errors.items() if e is None], keep)
+    rows = [(n, *(counts[(db, n)] if e is None else (None, e))) for n, e in errors.items()]
+    return spark.createDataFrame(rows, REGISTERED)
+
+
 def register_layer(
     spark: SparkSession, db: str, tables: list[str], base: str, prefix: str = "aw_", keep: int | None = 120
 ) -> DataFrame:
@@ -59,30 +82,16 @@ def register_layer(
 
     ``keep`` cuts error texts.
     """
-    rows = []
-    for table in tables:
-        name = f"{prefix}{table}"
-
-        def add() -> int:
-            register_table(spark, db, name, f"{base.rstrip('/')}/{table}")
-            return count_tables(spark, [(db, name)])[(db, name)]
-
-        rows.append((name, *attempt(add, keep)))
-    return spark.createDataFrame(rows, REGISTERED)
+    base = base.rstrip("/")
+    return _register(spark, db, {f"{prefix}{t}": (f"{base}/{t}", None) for t in tables}, keep)
 
 
 def register_lineage_tables(spark: SparkSession, base: str, db: str = "lineage") -> DataFrame:
     """The node and edge tables with their fixed columns."""
     create_layer(spark, db, "Capa Lineage")
-    rows = []
-    for table, columns in LINEAGE_TABLES.items():
-
-        def add() -> int:
-            register_table(spark, db, table, f"{base.rstrip('/')}/{table}", T.StructType.fromDDL(columns))
-            return count_tables(spark, [(db, table)])[(db, table)]
-
-        rows.append((table, *attempt(add, None)))
-    return spark.createDataFrame(rows, REGISTERED)
+    base = base.rstrip("/")
+    fixed = {t: (f"{base}/{t}", T.StructType.fromDDL(columns)) for t, columns in LINEAGE_TABLES.items()}
+    return _register(spark, db, fixed, None)
 
 
 def list_databases(spark: SparkSession, exclude: tuple[str, ...] = ("default", "information_schema")) -> list[str]:
@@ -90,7 +99,7 @@ def list_databases(spark: SparkSession, exclude: tuple[str, ...] = ("default", "
 
 
 def list_tables(spark: SparkSession, db: str) -> list[str]:
-    return [t.name for t in spark.catalog.listTables(_quoted(db)) if not t.isTemporary]
+    return [t["tableName"] for t in spark.sql(f"SHOW TABLES IN {_quoted(db)}").collect() if not t["isTemporary"]]
 
 
 def describe_columns(spark: SparkSession, db: str, table: str) -> list[dict[str, str]]:
@@ -123,16 +132,6 @@ def scan_catalog(spark: SparkSession, exclude: tuple[str, ...] = ("default", "in
             except Exception as e:
                 error = str(e)[:100]
             rows.append((db, table, f"{db}.{table}", columns, location, kind, db, error))
-    usable = [(r[0], r[1]) for r in rows if r[-1] is None]
-    failed: dict[tuple[str, str], str] = {}
-    try:
-        counts = count_tables(spark, usable)
-    except Exception:  # one unreadable table: count them one by one to find it
-        counts = {}
-        for name in usable:
-            try:
-                counts |= count_tables(spark, [name])
-            except Exception as e:
-                failed[name] = str(e)[:100]
-    full = [(*r[:-1], r[-1] or failed.get((r[0], r[1])), counts.get((r[0], r[1]))) for r in rows]
+    counts = count_each(spark, [(r[0], r[1]) for r in rows if r[-1] is None], 100)
+    full = [(*r[:-1], r[-1] or counts[(r[0], r[1])][1], counts.get((r[0], r[1]), (None, None))[0]) for r in rows]
     return spark.createDataFrame(full, f"{CATALOG}, row_count bigint")
