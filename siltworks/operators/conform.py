@@ -36,53 +36,65 @@ def _winners(keyed: DataFrame) -> DataFrame:
 
 
 def _canonical_map(keyed: DataFrame, winners: DataFrame) -> DataFrame:
-    named = winners.select("name_key", F.col("winner.node_id").alias("canonical_id"))
-    return skew_join(keyed.select("node_id", "name_key"), named, "name_key", "left").select("node_id", "canonical_id")
+    """Every node with the columns of its group's row in ``winners(name_key, ...)``."""
+    return skew_join(keyed.select("node_id", "name_key"), winners, "name_key", "left").drop("name_key")
 
 
 def canonical_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes that stay, and ``(node_id, canonical_id)`` for every node."""
     keyed = _keyed(nodes)
     winners = _winners(keyed)
-    return winners.select("winner.*").select(nodes.columns), _canonical_map(keyed, winners)
+    named = winners.select("name_key", F.col("winner.node_id").alias("canonical_id"))
+    return winners.select("winner.*").select(nodes.columns), _canonical_map(keyed, named)
 
 
 def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, shown_id) for every edge end that can be shown.
 
-    Tried in order: the canonical node, the id itself, the short name among the shown nodes.
+    Tried in order: the canonical node, the id itself, the short name among the shown nodes. Most
+    ends settle with the canonical node; only the others enter the lookup by id and name.
     """
     keyed = _keyed(nodes.select("node_id", "node_type", "layer", "table_name"))
-    winners = cut(_winners(keyed), "name-winners").df
     layer = F.coalesce(F.nullif("winner.layer", F.lit("")), F.lit("unknown"))
-    rank = F.array_position(F.array(*[F.lit(x) for x in SHOWN]), layer)
-    shown = winners.filter(rank > 0).select(
-        F.col("winner.table_name").alias("short"),
-        F.struct(rank.alias("rank"), "first_seen").alias("place"),
-        display_id(F.col("winner.node_id")).alias("shown_id"),
+    rank = F.array_position(F.array(*[F.lit(x) for x in SHOWN]), layer).cast("int")
+    winners = cut(
+        _winners(keyed).select(
+            "name_key",
+            F.col("winner.node_id").alias("canonical_id"),
+            F.col("winner.table_name").alias("table_name"),
+            rank.alias("rank"),
+            F.col("first_seen.table_name").alias("first_name"),
+            F.col("first_seen.node_id").alias("first_id"),
+        ),
+        "name-winners",
+    ).df
+    shown = winners.filter(F.col("rank") > 0).withColumn("shown_id", display_id(F.col("canonical_id")))
+    by_name = (
+        shown.filter(F.col("table_name") != "")
+        .groupBy(F.concat(F.lit("name "), "table_name").alias("wanted"))
+        .agg(F.min_by("shown_id", F.struct("rank", "first_name", "first_id")).alias("shown_id"))
     )
-    shown_ids = shown.select(F.col("shown_id").alias("candidate")).distinct()
-    by_name = shown.filter(F.col("short") != "").groupBy("short").agg(F.min_by("shown_id", "place").alias("by_name"))
+    by_id = shown.select(F.concat(F.lit("id "), "shown_id").alias("wanted"), "shown_id").distinct()
 
+    settled = F.when(F.col("rank") > 0, display_id(F.col("canonical_id")))
     ends = cut(
         edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
         .filter(F.col("node_id").isNotNull())
         .distinct()
-        .join(_canonical_map(keyed, winners), "node_id", "left"),
+        .join(_canonical_map(keyed, winners.select("name_key", "canonical_id", "rank")), "node_id", "left")
+        .select("node_id", "canonical_id", settled.alias("shown_id")),
         "edge-ends",
     ).df
-    # both ways to a shown id in one join; way 1 goes before way 2
-    ways = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("way"), display_id(F.col("canonical_id")).alias("candidate")),
-            F.struct(F.lit(2).alias("way"), display_id(F.col("node_id")).alias("candidate")),
-        )
-    )
-    tried = ends.select("node_id", ways.alias("w")).select("node_id", "w.way", "w.candidate")
-    by_id = skew_join(tried, shown_ids, "candidate").select("node_id", "way", F.col("candidate").alias("shown_id"))
-    short = ends.select("node_id", short_name(F.col("node_id")).alias("short"))
-    named = skew_join(short, by_name, "short").select("node_id", F.lit(3).alias("way"), F.col("by_name").alias("shown_id"))
-    return by_id.unionByName(named).groupBy("node_id").agg(F.min_by("shown_id", "way").alias("shown_id"))
+    node_id = F.col("node_id")
+    wanted = [
+        F.concat(F.lit("id "), display_id(F.col("canonical_id"))),
+        F.concat(F.lit("id "), display_id(node_id)),
+        F.concat(F.lit("name "), short_name(node_id)),
+    ]
+    tries = ends.filter(F.col("shown_id").isNull()).select("node_id", F.posexplode(F.array(*wanted)).alias("way", "wanted"))
+    found = skew_join(tries.filter(F.col("wanted").isNotNull()), by_id.unionByName(by_name), "wanted")
+    late = found.groupBy("node_id").agg(F.min_by("shown_id", "way").alias("shown_id"))
+    return ends.filter(F.col("shown_id").isNotNull()).select("node_id", "shown_id").unionByName(late)
 
 
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

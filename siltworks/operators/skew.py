@@ -17,13 +17,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltworks.sources.scratch import Stored
 
-SHARE = 1 / 256
+SHARE = 1 / 64
+# Lanes per task: with one lane per task, hashing would put several lanes of a hot key together.
+LANES = 8
 
 
 def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lanes(df: DataFrame) -> int:
+    return LANES * tasks(df)
+
+
 def spread(df: DataFrame, ways: int) -> Column:
     """Bucket in ``[0, ways)`` for a row.
 
@@ -37,7 +43,7 @@ def spread(df: DataFrame, ways: int) -> Column:
 
 def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Left join on ``key``; NULL keys are spread, the join strategy is left to Catalyst."""
-    lane = F.when(F.col(key).isNull(), spread(facts, tasks(facts))).otherwise(F.lit(0))
+    lane = F.when(F.col(key).isNull(), spread(facts, lanes(facts))).otherwise(F.lit(0))
     # Always 0. A literal would be folded into the join condition and the lane would leave the hash key.
     zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
     return (
@@ -82,7 +88,7 @@ def skew_join(
     if both and how != "inner":
         raise ValueError("only an inner join can salt both sides")
 
-    ways = tasks(left)
+    ways = tasks(left) if both else lanes(left)
     hot_left = _frequent(left if left_keys is None else left_keys, key, share, "_hot_l")
     a = _mark(left, hot_left, key)
     b = _mark(right, hot_left, key)

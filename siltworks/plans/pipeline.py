@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siltworks.functions import names
 from siltworks.operators import clean, marts
 from siltworks.operators.graph import build_graph, run_summary
 from siltworks.operators.jobs import job_defs
@@ -45,7 +46,11 @@ COMMENTS = {
 
 @dataclass
 class LakeConfig:
-    """Where the lake lives and what feeds it."""
+    """Where the lake lives and what feeds it.
+
+    ``scripts`` and ``jobs`` are folders or corpus tables; without them no lineage is built.
+    ``spanish`` writes silver and gold with Spanish table and column names.
+    """
 
     root: str
     reader: Callable[[SparkSession, str], DataFrame]
@@ -53,22 +58,34 @@ class LakeConfig:
     scripts: str | DataFrame | None = None
     jobs: str | DataFrame | None = None
     prefix: str = "aw_"
+    spanish: bool = False
 
     def layer(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
 
 def run_layer(
-    spark: SparkSession, steps: dict[str, tuple[Callable[..., DataFrame], list[str]]], source: str, target: str
+    spark: SparkSession,
+    steps: dict[str, tuple[Callable[..., DataFrame], list[str]]],
+    source: str,
+    target: str,
+    spanish: bool = False,
 ) -> DataFrame:
     """Run every table of a layer: read its inputs, apply the operator, write; one status row each."""
+
+    def named(table: str) -> str:
+        return names.TABLES.get(table, table) if spanish else table
+
     rows = []
     for name, (operator, inputs) in steps.items():
 
         def build() -> int:
-            return write_layer(operator(*[spark.read.parquet(f"{source}/{i}") for i in inputs]), f"{target}/{name}")
+            given = [spark.read.parquet(f"{source}/{named(i)}") for i in inputs]
+            given = [names.to_english(df) for df in given] if spanish else given
+            made = operator(*given)
+            return write_layer(names.to_spanish(made) if spanish else made, f"{target}/{named(name)}")
 
-        rows.append((",".join(inputs), name, *attempt(build, 150)))
+        rows.append((",".join(map(named, inputs)), named(name), *attempt(build, 150)))
     return spark.createDataFrame(rows, STATUS)
 
 
@@ -80,7 +97,11 @@ def save_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, base: st
 
 
 def run_lineage(
-    spark: SparkSession, scripts: DataFrame, jobs: DataFrame, base: str, exclude: tuple[str, ...] = ("default", "information_schema")
+    spark: SparkSession,
+    scripts: DataFrame,
+    jobs: DataFrame,
+    base: str,
+    exclude: tuple[str, ...] = ("default", "information_schema"),
 ) -> DataFrame:
     """Scan both corpora and the catalog, build and save the graph; returns the run summary."""
     flows = cut(script_flows(scripts), "script-scan").df
@@ -96,6 +117,9 @@ def run_pipeline(spark: SparkSession, config: LakeConfig) -> DataFrame:
     """All steps in order; one row per table and step with its row count or error."""
     bronze, silver, gold = (config.layer(x) for x in ("bronze", "silver", "gold"))
 
+    def named(tables: dict) -> list[str]:
+        return [names.TABLES[t] if config.spanish else t for t in tables]
+
     def registered(layer: str, tables: list[str]) -> DataFrame:
         cat.create_layer(spark, layer, COMMENTS[layer])
         done = cat.register_layer(spark, layer, tables, config.layer(layer), config.prefix)
@@ -107,17 +131,17 @@ def run_pipeline(spark: SparkSession, config: LakeConfig) -> DataFrame:
     report = [
         written("ingest", ingest(spark, config.sources, config.reader, bronze)),
         registered("bronze", [target for _, target in config.sources]),
-        written("clean", run_layer(spark, SILVER, bronze, silver)),
-        registered("silver", list(SILVER)),
-        written("marts", run_layer(spark, GOLD, silver, gold)),
-        registered("gold", list(GOLD)),
+        written("clean", run_layer(spark, SILVER, bronze, silver, config.spanish)),
+        registered("silver", named(SILVER)),
+        written("marts", run_layer(spark, GOLD, silver, gold, config.spanish)),
+        registered("gold", named(GOLD)),
     ]
     if config.scripts is not None and config.jobs is not None:
         scripts = read_scripts(spark, config.scripts) if isinstance(config.scripts, str) else config.scripts
         jobs = read_jobs(spark, config.jobs) if isinstance(config.jobs, str) else config.jobs
         summary = run_lineage(spark, scripts, jobs, config.layer("lineage"))
-        names = summary.columns
-        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("table"), F.col(n).alias("rows")) for n in names]))
+        counts = [F.struct(F.lit(c).alias("table"), F.col(c).alias("rows")) for c in summary.columns]
+        pairs = F.explode(F.array(*counts))
         report.append(
             summary.select(pairs.alias("p")).select(
                 F.lit("lineage").alias("step"), "p.table", "p.rows", F.lit(None).cast("string").alias("error")

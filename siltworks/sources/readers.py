@@ -44,12 +44,7 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, root: str, glob: str, path_column: str) -> DataFrame:
-    text = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .text(root)
-    )
+    text = spark.read.text(root, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return text.select(F.col("_metadata.file_path").alias(path_column), F.col("value").alias("source"))
 
 
