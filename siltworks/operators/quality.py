@@ -119,7 +119,9 @@ def overall_quality(edge: DataFrame, script: DataFrame, transform: DataFrame, no
     parts = {"edge_f1": edge, "script_f1": script, "transform_f1": transform, "node_f1": node}
     means = None
     for name, df in parts.items():
-        one = df.agg(F.avg("f1").alias("f1")).select(
+        # scores have two decimals: an exact sum does not depend on the order of the rows
+        total = F.sum(F.col("f1").cast("decimal(9,2)")).cast("double")
+        one = df.agg(F.try_divide(total, F.count("f1")).alias("f1")).select(
             *[(F.col("f1") if k == name else F.lit(None).cast("double")).alias(k) for k in parts]
         )
         means = one if means is None else means.unionByName(one)

@@ -222,14 +222,18 @@ RESOLVE = CANON + """, shown AS (
 by_name AS (SELECT table_name, shown_id FROM
   (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY place, seen) AS nth FROM shown) WHERE nth = 1),
 ids AS (SELECT source_id AS node_id FROM show_edges UNION SELECT target_id FROM show_edges),
-ends AS (SELECT i.node_id, coalesce(a.shown_id, b.shown_id, n.shown_id) AS shown_id FROM ids i
-  LEFT JOIN canon c ON c.node_id = i.node_id
-  LEFT JOIN shown a ON a.shown_id = regexp_replace(c.canonical_id, '[^a-zA-Z0-9_-]', '_', 'g')
-  LEFT JOIN shown b ON b.shown_id = regexp_replace(i.node_id, '[^a-zA-Z0-9_-]', '_', 'g')
-  LEFT JOIN by_name n ON n.table_name = split_part(split_part(i.node_id, '/', -1), '.', -1)),
-resolved AS (SELECT DISTINCT s.shown_id AS source, t.shown_id AS target, e.* FROM show_edges e
-  JOIN ends s ON s.node_id = source_id JOIN ends t ON t.node_id = target_id
-  WHERE s.shown_id <> t.shown_id)"""
+keyed_ids AS MATERIALIZED (SELECT i.node_id, regexp_replace(c.canonical_id, '[^a-zA-Z0-9_-]', '_', 'g') AS canonical_key,
+    regexp_replace(i.node_id, '[^a-zA-Z0-9_-]', '_', 'g') AS own_key,
+    split_part(split_part(i.node_id, '/', -1), '.', -1) AS short
+  FROM ids i LEFT JOIN canon c ON c.node_id = i.node_id),
+shown_ids AS MATERIALIZED (SELECT DISTINCT shown_id FROM shown),
+ends AS MATERIALIZED (SELECT i.node_id, coalesce(a.shown_id, b.shown_id, n.shown_id) AS shown_id FROM keyed_ids i
+  LEFT JOIN shown_ids a ON a.shown_id = canonical_key
+  LEFT JOIN shown_ids b ON b.shown_id = own_key
+  LEFT JOIN by_name n ON n.table_name = short),
+joined AS MATERIALIZED (SELECT s.shown_id AS source, t.shown_id AS target, e.* FROM (SELECT DISTINCT * FROM show_edges) e
+  LEFT JOIN ends s ON s.node_id = source_id LEFT JOIN ends t ON t.node_id = target_id),
+resolved AS (SELECT * FROM joined WHERE source <> target)"""
 add("resolved_edges", ["show_nodes", "show_edges"], RESOLVE + "\nSELECT * FROM resolved")
 add("typed_edges", ["show_nodes", "show_edges"], RESOLVE + """, typed AS (
   SELECT 'dag' AS edge_type, dag_id AS name, * FROM resolved WHERE dag_id <> ''
@@ -289,8 +293,8 @@ SELECT *, round_even((edge_f1 + script_f1 + transform_f1 + node_f1) / 4, 2) AS o
   CASE WHEN (edge_f1 + script_f1 + transform_f1 + node_f1) / 4 >= 95 THEN 'EXCELENTE'
     WHEN (edge_f1 + script_f1 + transform_f1 + node_f1) / 4 >= 85 THEN 'MUY BUENO'
     WHEN (edge_f1 + script_f1 + transform_f1 + node_f1) / 4 >= 70 THEN 'ACEPTABLE' ELSE 'NECESITA MEJORAS' END AS grade
-FROM (SELECT (SELECT avg(f1) FROM ({EDGE_Q})) AS edge_f1, (SELECT avg(f1) FROM ({SCRIPT_Q})) AS script_f1,
-  (SELECT avg(f1) FROM ({OPS_Q})) AS transform_f1, (SELECT avg(f1) FROM ({NODE_Q})) AS node_f1)""")
+FROM (SELECT (SELECT CAST(sum(CAST(f1 AS DECIMAL(9,2))) AS DOUBLE) / count(f1) FROM ({EDGE_Q})) AS edge_f1, (SELECT CAST(sum(CAST(f1 AS DECIMAL(9,2))) AS DOUBLE) / count(f1) FROM ({SCRIPT_Q})) AS script_f1,
+  (SELECT CAST(sum(CAST(f1 AS DECIMAL(9,2))) AS DOUBLE) / count(f1) FROM ({OPS_Q})) AS transform_f1, (SELECT CAST(sum(CAST(f1 AS DECIMAL(9,2))) AS DOUBLE) / count(f1) FROM ({NODE_Q})) AS node_f1)""")
 
 # ---- scans: what the script and job texts say follows from the key ------------------------
 
