@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import bpe, chat, exact, language, tokens, toxicity
+from siltworks.llm import bpe, chat, exact, language, simhash, tokens, toxicity
 from siltworks.llm.common import table
 
 COUNT_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return language.identify(docs, language.fit(docs))
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
 }
 
