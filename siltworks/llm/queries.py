@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import bpe, chat, exact, language, simhash, tokens, toxicity
+from siltworks.llm import bpe, chat, exact, language, lines, simhash, tokens, toxicity
 from siltworks.llm.common import table
 
 COUNT_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -50,6 +50,10 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_classes(documents(spark, folder))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
@@ -83,5 +88,31 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
+""",
+    # one edit: the halves before or behind it are equal
+    "op10_line_dedup": r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS raw
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)) AS s FROM documents)
+), o AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(raw, ' ') AS line FROM l WHERE length(trim(raw, ' ')) >= 20),
+d AS (SELECT line, length(line) AS n FROM o GROUP BY line),
+k AS (
+  SELECT line, n, m, side, CASE side WHEN 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS piece
+  FROM d, LATERAL (SELECT unnest([n, n - 1]) AS m), LATERAL (SELECT unnest([0, 1]) AS side)
+), p AS (
+  SELECT DISTINCT x.line AS x, y.line AS y FROM k x JOIN k y ON x.m = y.m AND x.side = y.side AND x.piece = y.piece
+  WHERE x.n = x.m AND (y.n > x.n OR y.line > x.line)
+), e AS (
+  SELECT x, y FROM p WHERE CASE WHEN length(x) = length(y)
+    THEN len(list_filter(range(1, length(x) + 1), lambda i: x[i] <> y[i])) <= 1
+    ELSE len(list_filter(range(1, length(y) + 1), lambda i: left(y, i - 1) || substr(y, i + 1) = x)) > 0 END
+), both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(line, other) AS (SELECT line, line FROM d UNION SELECT reach.line, b.y FROM reach JOIN both_ways b ON reach.other = b.x),
+first AS (SELECT line, min(doc_id) AS doc_id FROM o GROUP BY line),
+c AS (SELECT reach.line, min({'d': o.doc_id, 'l': o.line_no}) AS f FROM reach JOIN o ON o.line = reach.other GROUP BY reach.line),
+n AS (SELECT x AS line, count(*) AS n_links FROM both_ways GROUP BY x)
+SELECT o.doc_id, o.line_no, f.d AS class_doc, f.l AS class_line, coalesce(n_links, 0) AS n_links,
+       o.doc_id = f.d AND o.line_no = f.l AS kept
+FROM o JOIN c USING (line) LEFT JOIN n USING (line)
 """,
 }
