@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import bpe, chat, exact, language, lines, simhash, tokens, toxicity
+from siltworks.llm import bpe, chat, exact, language, leaks, lines, simhash, tokens, toxicity
 from siltworks.llm.common import table
 
 COUNT_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,10 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
