@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import bpe, chat, exact, language, leaks, lines, simhash, tokens, toxicity
+from siltworks.llm import bpe, chat, exact, language, leaks, lines, pii, simhash, tokens, toxicity
 from siltworks.llm.common import table
 
 COUNT_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,10 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, folder))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_classes(documents(spark, folder))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
 }
 
