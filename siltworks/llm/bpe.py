@@ -147,6 +147,25 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, ids and whole (decoding gives the text back). Cases as in
+    :func:`encode`."""
+
+    def run(batches):
+        own = codec(path, pattern)
+        for batch in slices(batches, 64):
+            column = batch.column(1).to_pylist()
+            own.prepare(column)
+            found = [[i for part in own.encode(t) for i in part] for t in column]
+            whole = [own.decode(ids) == t.encode() for ids, t in zip(found, column, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(whole, pa.bool_())],
+                ["doc_id", "n_tokens", "ids", "whole"],
+            )
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, whole boolean")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and
     decoded_sha256, each lower-case hex. Cases as in :func:`encode`; ids of a long text are digested in parts."""

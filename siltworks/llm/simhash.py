@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltworks.llm.common import bounded_sample, slices, stored, texts
 from siltworks.llm.components import components
+from siltworks.sources.scratch import cut
 
 BITS = 64
 WORDS = 4
 DISTANCE = 4
 SEED = 42
+WIDE, SHINGLE, SIMILARITY = 8, 5, 0.8  # wider links, which the texts' word shingles must confirm
 LANE = 2048
 SAMPLE = 4096  # fingerprints from which bit correlations and candidate counts are estimated
 MOST_PARTITIONS = 8
@@ -215,3 +217,47 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     owners = named.join(ids, "root").select("fp", "component_id")
     return marked.join(owners, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_set(text, words: int):
+    """Hashes of the distinct shingles of ``words`` words of a text (all words, if there are fewer)."""
+    found = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    count = F.greatest(F.lit(1), F.size(found) - (words - 1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(found, i, words), " "))))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose owners' texts share at least ``similarity`` of their word shingles.
+
+    ``owners`` has fp and least, a document with that fingerprint.
+    """
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = cut(ends.join(owners, "fp"), "near-owners")
+    chosen = F.broadcast(wanted.df) if wanted.small else wanted.df
+    sets = texts(docs).join(chosen, F.col("doc_id") == F.col("least")).select("fp", _shingle_set(F.col("text"), words).alias("s"))
+    sets = stored(sets.dropDuplicates(["fp"]), "near-shingles")
+    x = sets.select(F.col("fp").alias("a"), F.col("s").alias("x"))
+    y = sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, wide: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group of near duplicates: the smallest doc_id.
+
+    Documents are near duplicates if their fingerprints are within ``DISTANCE`` bits, or within ``wide`` bits and the
+    similarity of their five-word shingles is at least ``similarity``; groups are what is linked over any number of others.
+    Rows without doc_id stay and take no part; rows that repeat a doc_id stay or go together. Starts jobs.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    marked = stored(fingerprints(named), "fingerprints")
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-set")
+    near = stored(search(distinct.select("fp"), wide), "near-links")
+    sure = near.filter(F.col("bits") <= DISTANCE).select("a", "b")
+    links_of = sure.unionByName(alike(named, near.filter(F.col("bits") > DISTANCE).select("a", "b"), distinct, SHINGLE, similarity))
+    roots = stored(components(links_of), "fingerprint-roots")
+    owners = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    stays = owners.groupBy("root").agg(F.min("least").alias("_stays"))
+    gone = marked.select("doc_id").distinct().join(stays, F.col("doc_id") == F.col("_stays"), "left_anti")
+    gone = cut(gone.select(F.col("doc_id").alias("_gone")), "near-gone")
+    return docs.join(F.broadcast(gone.df) if gone.small else gone.df, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
