@@ -5,21 +5,25 @@ Two tools:
 * ``lookup`` joins facts to a dimension that is small by nature. Catalyst broadcasts the
   dimension when its measured size allows; if not, rows with a NULL key (which never match) are
   spread over all tasks instead of meeting in one.
-* ``skew_join`` joins two inputs that both grow with the data. Values that may hold more than
-  ``share`` of the rows are found with ``freqItems`` (one pass, at most ``1/share`` values, no
-  misses), their rows are salted, and the matching rows of the other side are copied once per
-  salt. Every row of a salted side meets exactly one copy, so the result is the plain join's.
+* ``skew_join`` joins two inputs that both grow with the data. Keys that hold more rows than a task should are found
+  once (``hot_keys``: a sketch proposes them, an exact count decides) and handed to both sides as the same short list.
+  Their rows are dealt over as many lanes as their count asks for, and the matching rows of the other side are
+  copied once per lane. Every row of a dealt side meets exactly one copy, so the result is the plain join's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siltworks.sources.scratch import Stored
 
-SHARE = 1 / 64
 # Lanes per task: with one lane per task, hashing would put several lanes of a hot key together.
 LANES = 8
+# A key is hot from this part of a task's mean rows on.
+HOT = 0.5
+LEAST_SHARE = 1e-4  # the sketch takes no smaller one
 
 
 def tasks(df: DataFrame) -> int:
@@ -53,16 +57,39 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _frequent(df: DataFrame, key: str, share: float, flag: str) -> DataFrame:
-    """At most ``1/share`` values of ``key``, a superset of those above ``share`` of the rows."""
-    found = df.stat.freqItems([key], share)
-    value = F.explode(F.col(f"{key}_freqItems")).alias(key)
-    return found.select(value).filter(F.col(key).isNotNull()).withColumn(flag, F.lit(True))
-
+def hot_keys(df: DataFrame, key: str) -> list[tuple]:
+    """(value, lanes) of the keys with more than ``HOT`` of the rows that a task has on average.
 
-def _mark(df: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
-    # bounded by 1/share values, see _frequent
-    return df.join(F.broadcast(frequent), key, "left")
+    The sketch misses none of them and proposes at most ``1 / share`` values, so what is collected is bounded by twice
+    the number of tasks (and by 10,000). Runs one job.
+    """
+    share = max(LEAST_SHARE, HOT / tasks(df))
+    proposed = df.stat.freqItems([key], share).select(F.explode(F.col(f"{key}_freqItems")).alias(key))
+    proposed = proposed.filter(F.col(key).isNotNull()).distinct().withColumn("_proposed", F.lit(True))
+    # bounded by 1 / share values
+    met = df.select(key).join(F.broadcast(proposed), key, "left")
+    counted = met.groupBy(F.when(F.col("_proposed"), F.col(key)).alias(key)).count().collect()
+    total = sum(r["count"] for r in counted)
+    lane_rows = max(1.0, total / (2 * LANES * tasks(df)))
+    hot = [(r[key], math.ceil(r["count"] / lane_rows)) for r in counted if r[key] is not None and r["count"] > share * total]
+    return sorted(hot, key=repr)
+
+
+def _dealt(df: DataFrame, other: DataFrame, key: str, hot: list[tuple], salt: str, missing: bool) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a lane for each row of a hot key (and each row without key), ``other`` copied once per lane."""
+    kind = T.StructType([df.schema[key], T.StructField("_lanes", T.IntegerType())])
+    # one list for both sides, bounded as in hot_keys
+    listed = F.broadcast(df.sparkSession.createDataFrame(hot, kind))
+    if hot:
+        df, other = df.join(listed, key, "left"), other.join(listed, key, "left")
+    count = F.coalesce("_lanes", F.lit(1)) if hot else F.lit(1)
+    # always 0, but no literal: that would be folded into the condition and leave the hash key
+    lane = F.when(count > 1, F.pmod(spread(df, 1 << 30), count)).otherwise(F.pmod(F.xxhash64(key), F.lit(1)).cast("int"))
+    if missing:
+        lane = F.when(F.col(key).isNull(), spread(df, lanes(df))).otherwise(lane)
+    df = df.withColumn(salt, lane).drop("_lanes")
+    copies = F.explode(F.sequence(F.lit(0), count - 1)) if hot else F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    return df, other.withColumn(salt, copies).drop("_lanes")
 
 
 def skew_join(
@@ -71,15 +98,14 @@ def skew_join(
     key: str,
     how: str = "inner",
     both: bool = False,
-    share: float = SHARE,
     left_keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Join on ``key`` with the frequent values of the left side salted.
+    """Join on ``key`` with the hot keys of the left side dealt over lanes. Starts a job to find them.
 
-    ``how`` is inner, left, left_semi or left_anti. ``both`` also salts the frequent values of the
-    right side (inner only). A stored right side whose measured bytes fit is broadcast, which needs
-    no shuffle of the left side at all. ``left_keys`` is a cheaper input with the same ``key`` to
-    look for frequent values in, when ``left`` itself is costly to compute twice.
+    ``how`` is inner, left, left_semi or left_anti. ``both`` also deals out the hot keys of the right side (inner only). A
+    stored right side whose measured bytes fit is broadcast, which needs no shuffle of the left side at all and no
+    job. ``left_keys`` is a cheaper input with the same ``key`` to look for hot keys in, when ``left`` itself is
+    costly to compute twice.
     """
     if isinstance(right, Stored):
         if right.small and not both:
@@ -88,22 +114,14 @@ def skew_join(
     if both and how != "inner":
         raise ValueError("only an inner join can salt both sides")
 
-    ways = tasks(left) if both else lanes(left)
-    hot_left = _frequent(left if left_keys is None else left_keys, key, share, "_hot_l")
-    a = _mark(left, hot_left, key)
-    b = _mark(right, hot_left, key)
-    salted = F.col("_hot_l").isNotNull() | F.col(key).isNull()
-    a = a.withColumn("_salt_l", F.when(salted, spread(left, ways)).otherwise(F.lit(0)))
-    copies_l = F.when(F.col("_hot_l"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-    on = [key, "_salt_l"]
-    if both:
-        hot_right = _frequent(right, key, share, "_hot_r")
-        copies_r = F.when(F.col("_hot_r"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-        b = _mark(b, hot_right, key).withColumn(
-            "_salt_r", F.when(F.col("_hot_r"), spread(right, ways)).otherwise(F.lit(0))
-        )
-        a = _mark(a, hot_right, key).withColumn("_salt_r", F.explode(copies_r)).drop("_hot_r")
-        b = b.drop("_hot_r")
+    missing = how in ("left", "left_anti")  # rows without key stay, and must not meet in one task
+    hot_left = hot_keys(left if left_keys is None else left_keys, key)
+    hot_right = hot_keys(right, key) if both else []
+    on = [key]
+    if hot_left or missing:
+        left, right = _dealt(left, right, key, hot_left, "_salt_l", missing)
+        on.append("_salt_l")
+    if hot_right:
+        right, left = _dealt(right, left, key, hot_right, "_salt_r", False)
         on.append("_salt_r")
-    b = b.withColumn("_salt_l", F.explode(copies_l)).drop("_hot_l")
-    return a.drop("_hot_l").join(b, on, how).drop("_salt_l", "_salt_r")
+    return left.join(right, on, how).drop("_salt_l", "_salt_r")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators.skew import lookup, skew_join
+from siltworks.operators.skew import hot_keys, lookup, skew_join
 from siltworks.sources.scratch import cut
 
 
@@ -66,3 +66,30 @@ def test_measured_small_side_is_broadcast(facts, names, rows):
 def test_only_inner_joins_salt_both_sides(facts, names):
     with pytest.raises(ValueError):
         skew_join(facts, names, "key", "left", both=True)
+
+
+def test_partition_order_does_not_matter(spark, facts, names, rows, shuffled):
+    """Both sides use one list of hot keys, whatever order a sketch would see the rows in."""
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        backwards = facts.repartition(7, "v").sortWithinPartitions(F.desc("v"))
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            assert rows(skew_join(backwards, names, "key", how)) == rows(facts.join(names, "key", how))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    assert [k for k, _ in hot_keys(facts, "key")] == [k for k, _ in hot_keys(backwards, "key")] == ["hot"]
+
+
+def test_even_keys_are_not_copied(spark, shuffled):
+    even = spark.range(4000).select((F.col("id") % 400).cast("string").alias("key"), "id")
+    assert hot_keys(even, "key") == []
+    names = even.select("key").distinct().withColumn("name", F.upper("key"))
+    assert "Generate" not in skew_join(even, names, "key")._jdf.queryExecution().toString()
+
+
+def test_lanes_follow_the_count(spark, shuffled):
+    n = F.col("id")
+    df = spark.range(8000).select(F.when(n % 2 == 0, "half").when(n % 8 == 1, "eighth").otherwise(n.cast("string")).alias("key"))
+    lanes = dict(hot_keys(df, "key"))
+    assert lanes["half"] == 32 and "7" not in lanes and lanes.get("eighth", 8) == 8
