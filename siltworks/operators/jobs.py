@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltworks.functions.syntax import JOB_DDL, parse_jobs
 from siltworks.functions.text import last_part, stage_of_job
-from siltworks.operators.skew import tasks
 
 # Text patterns of job definitions.
 DAG_ID = r"""(?Ud)dag_id=["']([^"']+)["']"""
@@ -49,11 +48,10 @@ def _task(call: Column) -> Column:
 
 
 def job_defs(corpus: DataFrame) -> DataFrame:
-    """Id, schedule, tags, tasks, dependencies and scripts of ``corpus(dag_path, source)``."""
+    """Id, schedule, tags, tasks, dependencies and scripts of ``corpus(dag_path, source)``, parsed where its splits lie."""
     mentioned = F.concat(*[F.regexp_extract_all("source", F.lit(p), F.lit(0)) for p in SCRIPT_PATHS])
     parsed = (
         corpus.select("dag_path", "source", F.array_sort(F.array_distinct(mentioned)).alias("scripts"))
-        .repartition(tasks(corpus), "dag_path")
         .mapInArrow(parse_jobs, JOB_DDL)
     )
     dags = F.filter("calls", _is_dag)

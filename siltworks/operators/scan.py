@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltworks.functions.syntax import SCRIPT_DDL, parse_scripts
 from siltworks.functions.text import last_part, no_slash, stage_of_script, storage_address
-from siltworks.operators.skew import tasks
 
 # Method names counted as transformations.
 TRANSFORMS = [
@@ -198,12 +197,9 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
 
     ``all_sql_tables`` takes every table of a SQL read as a source; otherwise only the first.
     ``fallback`` links every read to every write of a script that has both but no flow.
+    Scripts are parsed where their splits lie; repartition a corpus of few splits before handing it in.
     """
-    parsed = (
-        corpus.select("script_path", "source")
-        .repartition(tasks(corpus), "script_path")
-        .mapInArrow(parse_scripts, SCRIPT_DDL)
-    )
+    parsed = corpus.select("script_path", "source").mapInArrow(parse_scripts, SCRIPT_DDL)
     statements = F.col("statements")
     with_paths = parsed.withColumn("variables", _variables(statements)).withColumn(
         "statements", F.transform(statements, lambda s: s.withField("hits", _path_hits(s, F.col("variables"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +38,7 @@ GOLD: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {
     "sales_by_period": (marts.gold_sales_by_period, ["orders"]),
     "product_ranking": (marts.gold_product_ranking, ["order_lines", "products"]),
 }
+# Comments of the layers.
 COMMENTS = {
     "bronze": "Capa Bronze - Datos crudos",
     "silver": "Capa Silver - Datos limpios",
@@ -85,7 +87,7 @@ def run_layer(
             made = operator(*given)
             return write_layer(names.to_spanish(made) if spanish else made, f"{target}/{named(name)}")
 
-        rows.append((",".join(map(named, inputs)), named(name), *attempt(build, 150)))
+        rows.append((",".join(map(named, inputs)), named(name), *attempt(build)))
     return spark.createDataFrame(rows, STATUS)
 
 
@@ -113,8 +115,15 @@ def run_lineage(
     return run_summary(flows, defs, tables, *saved)
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_pipeline(spark: SparkSession, config: LakeConfig) -> DataFrame:
-    """All steps in order; one row per table and step with its row count or error."""
+    """All steps in order; one row per table and step with its row count or whole error text.
+
+    A failed table or a failed lineage step does not stop the others.
+    """
     bronze, silver, gold = (config.layer(x) for x in ("bronze", "silver", "gold"))
 
     def named(tables: dict) -> list[str]:
@@ -139,7 +148,11 @@ def run_pipeline(spark: SparkSession, config: LakeConfig) -> DataFrame:
     if config.scripts is not None and config.jobs is not None:
         scripts = read_scripts(spark, config.scripts) if isinstance(config.scripts, str) else config.scripts
         jobs = read_jobs(spark, config.jobs) if isinstance(config.jobs, str) else config.jobs
-        summary = run_lineage(spark, scripts, jobs, config.layer("lineage"))
+        try:
+            summary = run_lineage(spark, scripts, jobs, config.layer("lineage"))
+        except Exception as e:  # the report of the earlier steps must not be lost
+            failed = [("lineage", None, None, str(e))]
+            return _together([*report, spark.createDataFrame(failed, "step string, `table` string, rows bigint, error string")])
         counts = [F.struct(F.lit(c).alias("table"), F.col(c).alias("rows")) for c in summary.columns]
         pairs = F.explode(F.array(*counts))
         report.append(
@@ -147,7 +160,4 @@ def run_pipeline(spark: SparkSession, config: LakeConfig) -> DataFrame:
                 F.lit("lineage").alias("step"), "p.table", "p.rows", F.lit(None).cast("string").alias("error")
             )
         )
-    result = report[0]
-    for part in report[1:]:
-        result = result.unionByName(part)
-    return result
+    return _together(report)

@@ -13,7 +13,8 @@ CATALOG = """database string, `table` string, full_name string, columns array<st
 location string, format string, layer string, error string"""
 COUNTED_AT_ONCE = 100
 
-# Column lists of the two lineage tables.
+# The comment of the lineage layer, and the column lists of its two tables.
+LINEAGE_COMMENT = "Capa Lineage"
 LINEAGE_TABLES = {
     "lineage_metadata": "node_id string, node_type string, layer string, database string, table_name string, "
     "full_name string, location string, format string, row_count bigint, column_count bigint, "
@@ -52,15 +53,15 @@ def count_tables(spark: SparkSession, names: list[tuple[str, str]]) -> dict[tupl
     return counts
 
 
-def count_each(spark: SparkSession, names: list[tuple[str, str]], keep: int | None) -> dict[tuple[str, str], tuple]:
+def count_each(spark: SparkSession, names: list[tuple[str, str]]) -> dict[tuple[str, str], tuple]:
     """(rows, error) per table: all in shared jobs, one by one only when a shared job fails."""
     try:
         return {name: (n, None) for name, n in count_tables(spark, names).items()}
     except Exception:
-        return {name: attempt(lambda: count_tables(spark, [name])[name], keep) for name in names}
+        return {name: attempt(lambda: count_tables(spark, [name])[name]) for name in names}
 
 
-def _register(spark: SparkSession, db: str, tables: dict[str, tuple[str, T.StructType | None]], keep: int | None) -> DataFrame:
+def _register(spark: SparkSession, db: str, tables: dict[str, tuple[str, T.StructType | None]]) -> DataFrame:
     """Register name -> (path, schema), then count what was registered; one status row per table."""
     errors = {}
     for name, (path, schema) in tables.items():
@@ -69,29 +70,24 @@ def _register(spark: SparkSession, db: str, tables: dict[str, tuple[str, T.Struc
             register_table(spark, db, name, path, schema)
             return 0
 
-        errors[name] = attempt(add, keep)[1]
-    counts = count_each(spark, [(db, n) for n, e in errors.items() if e is None], keep)
+        errors[name] = attempt(add)[1]
+    counts = count_each(spark, [(db, n) for n, e in errors.items() if e is None])
     rows = [(n, *(counts[(db, n)] if e is None else (None, e))) for n, e in errors.items()]
     return spark.createDataFrame(rows, REGISTERED)
 
 
-def register_layer(
-    spark: SparkSession, db: str, tables: list[str], base: str, prefix: str = "aw_", keep: int | None = 120
-) -> DataFrame:
-    """Register ``base/<table>`` as ``db.<prefix><table>``; one status row per table.
-
-    ``keep`` cuts error texts.
-    """
+def register_layer(spark: SparkSession, db: str, tables: list[str], base: str, prefix: str = "aw_") -> DataFrame:
+    """Register ``base/<table>`` as ``db.<prefix><table>``; one status row per table, with its whole error text."""
     base = base.rstrip("/")
-    return _register(spark, db, {f"{prefix}{t}": (f"{base}/{t}", None) for t in tables}, keep)
+    return _register(spark, db, {f"{prefix}{t}": (f"{base}/{t}", None) for t in tables})
 
 
 def register_lineage_tables(spark: SparkSession, base: str, db: str = "lineage") -> DataFrame:
     """The node and edge tables with their fixed columns."""
-    create_layer(spark, db, "Capa Lineage")
+    create_layer(spark, db, LINEAGE_COMMENT)
     base = base.rstrip("/")
     fixed = {t: (f"{base}/{t}", T.StructType.fromDDL(columns)) for t, columns in LINEAGE_TABLES.items()}
-    return _register(spark, db, fixed, None)
+    return _register(spark, db, fixed)
 
 
 def list_databases(spark: SparkSession, exclude: tuple[str, ...] = ("default", "information_schema")) -> list[str]:
@@ -120,18 +116,24 @@ def describe_storage(spark: SparkSession, db: str, table: str) -> tuple[str | No
 def scan_catalog(spark: SparkSession, exclude: tuple[str, ...] = ("default", "information_schema")) -> DataFrame:
     """One row per catalog table: columns, location, format, row count; layer = database.
 
-    A table that cannot be described or counted keeps its row, with the error text (100 characters).
+    A table that cannot be described or counted keeps its row, with the whole error text. A database whose tables cannot be
+    listed gives one row without a table.
     """
     rows = []
     for db in list_databases(spark, exclude):
-        for table in list_tables(spark, db):
+        try:
+            tables = list_tables(spark, db)
+        except Exception as e:
+            rows.append((db, None, db, [], None, None, db, str(e)))
+            continue
+        for table in tables:
             columns, location, kind, error = [], None, None, None
             try:
                 columns = describe_columns(spark, db, table)
                 location, kind = describe_storage(spark, db, table)
             except Exception as e:
-                error = str(e)[:100]
+                error = str(e)
             rows.append((db, table, f"{db}.{table}", columns, location, kind, db, error))
-    counts = count_each(spark, [(r[0], r[1]) for r in rows if r[-1] is None], 100)
+    counts = count_each(spark, [(r[0], r[1]) for r in rows if r[-1] is None])
     full = [(*r[:-1], r[-1] or counts[(r[0], r[1])][1], counts.get((r[0], r[1]), (None, None))[0]) for r in rows]
     return spark.createDataFrame(full, f"{CATALOG}, row_count bigint")

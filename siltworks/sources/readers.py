@@ -44,8 +44,11 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, root: str, glob: str, path_column: str) -> DataFrame:
+    """Whole files with their paths as they are named on disk (the file source hands them out URI-encoded)."""
     text = spark.read.text(root, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    return text.select(F.col("_metadata.file_path").alias(path_column), F.col("value").alias("source"))
+    # a plus sign is itself in a path, but a blank to url_decode
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return text.select(path.alias(path_column), F.col("value").alias("source"))
 
 
 def read_scripts(spark: SparkSession, root: str) -> DataFrame:

@@ -23,12 +23,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def attempt(action: Callable[[], int], keep: int | None) -> tuple[int | None, str | None]:
-    """Row count or error text of one step; a failed step does not stop the others."""
+def attempt(action: Callable[[], int]) -> tuple[int | None, str | None]:
+    """Row count or whole error text of one step; a failed step does not stop the others."""
     try:
         return action(), None
     except Exception as e:
-        return None, str(e)[:keep]
+        return None, str(e)
 
 
 def ingest(
@@ -41,17 +41,22 @@ def ingest(
     """Copy source tables to ``out/<target>``; one status row per table.
 
     Tables are independent Spark jobs, ``at_once`` of them submitted together so that the tail of
-    one table does not leave the cluster idle. Error texts are cut to 150 characters.
+    one table does not leave the cluster idle. Error texts are whole; ``shortened`` cuts them for display.
     """
 
     def copy(pair: tuple[str, str]):
         source, target = pair
-        rows, error = attempt(lambda: write_layer(reader(spark, source), f"{out.rstrip('/')}/{target}"), 150)
+        rows, error = attempt(lambda: write_layer(reader(spark, source), f"{out.rstrip('/')}/{target}"))
         return source, target, rows, error
 
     with ThreadPoolExecutor(at_once) as pool:
         return spark.createDataFrame(list(pool.map(copy, tables)), STATUS)
 
 
+def shortened(status: DataFrame, characters: int = 150) -> DataFrame:
+    """A status table for display, with error texts cut to a number of characters."""
+    return status.withColumn("error", F.left("error", F.lit(characters)))
+
+
 def total_rows(status: DataFrame) -> DataFrame:
     return status.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"))
