@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,6 +43,11 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * (most / there)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a lambda would compute it anew in every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of at most ``rows`` rows, so that few texts are decoded at a time."""
     for batch in batches:

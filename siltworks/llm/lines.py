@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltworks.llm.common import stored, texts
+from siltworks.llm.common import let, stored, texts
 from siltworks.llm.components import components
 from siltworks.sources.scratch import Stored, cut
 
@@ -74,6 +74,26 @@ def index_and_probes(distinct: DataFrame, edits: int) -> tuple[DataFrame, DataFr
     return rows.select(F.explode(F.array(*index)).alias("piece"), *KEY), found
 
 
+def _common(left: Column, right: Column, end) -> Column:
+    """Number of characters at one end (``end``: F.left or F.right) in which two strings agree, by doubling steps."""
+    most = F.least(F.length(left), F.length(right))
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    same = lambda n: end(left, n) == end(right, n)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= most) & same(n + step), n + step).otherwise(n))
+
+
+def unlike_part(left: Column, right: Column, margin: int) -> Column:
+    """Struct (x, y): both strings without what they share at either end but for ``margin`` characters; their edit
+    distance is the same."""
+
+    def shorter(p: Column, end, size) -> Column:
+        kept = lambda n: F.struct(size(p["x"], n).alias("x"), size(p["y"], n).alias("y"))
+        return let(F.greatest(_common(p["x"], p["y"], end) - margin, F.lit(0)), kept)
+
+    headless = let(F.struct(left.alias("x"), right.alias("y")), lambda p: shorter(p, F.left, lambda x, n: F.substring(x, n + 1, F.length(x))))
+    return let(headless, lambda p: shorter(p, F.right, lambda x, n: F.left(x, F.length(x) - n)))
+
+
 def band_distance(left: Column, right: Column, edits: int) -> Column:
     """Edit distance of two strings if it is at most ``edits``, else a larger number.
 
@@ -85,43 +105,50 @@ def band_distance(left: Column, right: Column, edits: int) -> Column:
     full = (1 << width) - 1
     # rows are the characters of the longer string
     swap = F.length(left) < F.length(right)
-    rows_of = F.split(F.when(swap, right).otherwise(left), "")
-    steps_of = F.split(F.when(swap, left).otherwise(right), "")
-    m, n = F.greatest(F.length(left), F.length(right)), F.least(F.length(left), F.length(right))
     long = lambda x: F.lit(x).cast("bigint")
     flip = lambda x: x.bitwiseXOR(long(full))
 
-    def bits(rows: Column, steps: Column, i: Column) -> Column:
-        char = F.get(steps, i)
+    def bits(given: Column, i: Column) -> Column:
         out = long(0)
         for k in range(width):
-            same = F.coalesce((i + (k - edits) >= 0) & (F.get(rows, F.greatest(i + (k - edits), F.lit(0))) == char), F.lit(False))
+            same = F.get(given["rows"], i + (k - edits)) == F.get(given["steps"], i)
             out = out.bitwiseOR(F.when(same, long(1 << k)).otherwise(long(0)))
         return out
 
-    def step(s: Column, i: Column) -> Column:
-        x, vp, vn = bits(s["rows"], s["steps"], i), s["vp"], s["vn"]
-        d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(long(full))
-        hp = vn.bitwiseOR(flip(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        # along the lower edge of the band until the last row, then along that row
-        edge = i < s["m"] - edits
-        at = F.call_function("shiftleft", long(1), F.when(edge, F.lit(width - 1)).otherwise(s["m"] - i + (edits - 1)).cast("int"))
-        on_edge = F.when(d0.bitwiseAND(at) == 0, 1).otherwise(0)
-        on_row = F.when(hp.bitwiseAND(at) != 0, 1).when(hn.bitwiseAND(at) != 0, -1).otherwise(0)
-        return F.struct(
-            s["rows"].alias("rows"), s["steps"].alias("steps"), s["m"].alias("m"),
-            hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
-            (s["distance"] + F.when(edge, on_edge).otherwise(on_row)).alias("distance"),
-        )
-
-    start = F.struct(
-        rows_of.alias("rows"), steps_of.alias("steps"), m.alias("m"),
-        long(full & ~((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("distance"),
+    def step(given: Column, s: Column, i: Column) -> Column:
+        def matched(x: Column) -> Column:
+            vp = s["vp"]
+            return let((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(long(full)), diagonal)
+
+        def diagonal(d0: Column) -> Column:
+            return let(F.struct(d0.alias("d0"), s["vn"].bitwiseOR(flip(d0.bitwiseOR(s["vp"]))).alias("hp"), d0.bitwiseAND(s["vp"]).alias("hn"), F.shiftright(d0, 1).alias("down")), moved)
+
+        def moved(v: Column) -> Column:
+            # along the lower edge of the band until the last row, then along that row
+            at = F.call_function("shiftleft", long(1), (given["m"] - i + (edits - 1)).cast("int"))
+            on_edge = F.when(v["d0"].bitwiseAND(long(1 << (width - 1))) == 0, 1).otherwise(0)
+            on_row = F.when(v["hp"].bitwiseAND(at) != 0, 1).when(v["hn"].bitwiseAND(at) != 0, -1).otherwise(0)
+            return F.struct(
+                v["hn"].bitwiseOR(flip(v["down"].bitwiseOR(v["hp"]))).alias("vp"), v["down"].bitwiseAND(v["hp"]).alias("vn"),
+                (s["distance"] + F.when(i < given["m"] - edits, on_edge).otherwise(on_row)).alias("distance"),
+            )
+
+        # beyond that distance the last row cannot bring it back to ``edits``
+        lost = (i < given["m"] - edits) & (s["distance"] > given["lost"])
+        return F.when(lost, s).otherwise(let(bits(given, i), matched))
+
+    def walk(given: Column) -> Column:
+        start = F.struct(long(full & ~((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("distance"))
+        way = F.sequence(F.lit(0), given["n"] - 1)
+        found = F.aggregate(way, start, lambda s, i: step(given, s, i), lambda s: s["distance"])
+        return F.when(given["m"] - given["n"] > edits, F.lit(edits + 1)).otherwise(found)
+
+    m, n = F.greatest(F.length(left), F.length(right)), F.least(F.length(left), F.length(right))
+    given = F.struct(
+        F.split(F.when(swap, right).otherwise(left), "").alias("rows"), F.split(F.when(swap, left).otherwise(right), "").alias("steps"),
+        m.alias("m"), n.alias("n"), (n - m + 2 * edits).alias("lost"),
     )
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["distance"])
-    return F.when(m - n > edits, F.lit(edits + 1)).otherwise(found)
+    return let(given, walk)
 
 
 def _with_line(pairs: DataFrame, lines: DataFrame, side: str) -> DataFrame:
@@ -141,7 +168,9 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     wanted = met.df.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(met.df.select("ya", "yb")).distinct()
     partners = lines.join(F.broadcast(wanted) if met.small else wanted, KEY, "left_semi").distinct()
     pairs = _with_line(_with_line(met.df, partners, "x"), partners, "y")
-    return cut(pairs.filter(band_distance(F.col("x_line"), F.col("y_line"), edits) <= edits).select("xa", "xb", "ya", "yb"), "line-links")
+    parts = unlike_part(F.col("x_line"), F.col("y_line"), edits + 1)
+    near = pairs.filter(let(parts, lambda p: band_distance(p["x"], p["y"], edits)) <= edits)
+    return cut(near.select("xa", "xb", "ya", "yb"), "line-links")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltworks.llm.common import stored, texts
+from siltworks.llm.common import let, stored, texts
 from siltworks.sources.scratch import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,11 +42,6 @@ MATCH = "struct<start:int,end:int,value:string,left:string,right:string>"
 CHUNK = 64  # pieces whose lengths are summed together
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _matches(text: Column, pattern: str, words: bool = False) -> Column:
     """Matches of ``pattern`` as structs (start, end, value, left, right) in code points; with ``words``, left and right
     are the next words. Positions are summed in chunks, so the work is in proportion to the text."""
@@ -74,9 +69,9 @@ def _matches(text: Column, pattern: str, words: bool = False) -> Column:
             begin = lambda c: F.struct((c * CHUNK).alias("i"), F.get(starts, c).alias("at"), none.alias("found"))
             return F.flatten(F.transform(numbers, lambda c: F.aggregate(chunk(c), begin(c), step, lambda s: s["found"])))
 
-        return F.when(F.size(p) > 1, _let(starts, located)).otherwise(none)
+        return F.when(F.size(p) > 1, let(starts, located)).otherwise(none)
 
-    return _let(pieces, of)
+    return let(pieces, of)
 
 
 def _digits(value: Column) -> Column:
