@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltworks.functions.text import normal_id
@@ -32,8 +34,12 @@ def confusion(gen: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
 
     All columns of both inputs other than ``by`` make up an item. Groups without truth are left out.
     """
+    return _scored(_sides(gen, truth), by)
+
+
+def _scored(sides: DataFrame, by: list[str]) -> DataFrame:
     g, t = F.col("in_gen"), F.col("in_truth")
-    counted = _sides(gen, truth).groupBy(*by).agg(
+    counted = sides.groupBy(*by).agg(
         F.count_if(t).alias("total_truth"),
         F.count_if(g).alias("total_generated"),
         F.count_if(g & t).alias("true_positives"),
@@ -89,6 +95,16 @@ def edge_quality_by_script(gen: DataFrame, truth: DataFrame) -> DataFrame:
     return confusion(edge_items(gen, "script"), edge_items(truth, "script"), ["script"])
 
 
+def edge_scores(gen: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edge_quality`` and ``edge_quality_by_script`` from one pass over the edges.
+
+    The long ids are normalized and sent once, by (script, source, target); the scores over all scripts roll those rows up.
+    """
+    sides = _sides(edge_items(gen, "script"), edge_items(truth, "script"))
+    ends = sides.groupBy("source_id", "target_id").agg(F.max("in_gen").alias("in_gen"), F.max("in_truth").alias("in_truth"))
+    return _scored(ends, []), _scored(sides, ["script"])
+
+
 def transform_quality(gen: DataFrame, truth: DataFrame) -> DataFrame:
     """``gen`` are edges, ``truth`` is (script, transform)."""
     return confusion(transform_items(gen), truth.select("script", "transform"), ["script"])
@@ -128,3 +144,25 @@ def overall_quality(edge: DataFrame, script: DataFrame, transform: DataFrame, no
     row = means.agg(*[F.coalesce(F.max(k), F.lit(0.0)).alias(k) for k in parts])
     mean = sum((F.col(k) for k in parts), F.lit(0.0)) / len(parts)
     return row.withColumn("overall", F.bround(mean, 2)).withColumn("grade", grade(mean))
+
+
+REPORT = ["total_truth", "total_generated", "true_positives", "false_positives", "false_negatives", "precision", "recall", "f1"]
+
+
+def quality_report(edge: DataFrame, script: DataFrame, transform: DataFrame, node: DataFrame) -> DataFrame:
+    """All scores in one table: section, name, the counts and scores, and a mark or grade.
+
+    Sections are overall, scripts, transforms, nodes and summary; the summary has the mean F1 of each section and the
+    overall score. ``sources.sinks.write_report`` writes it as JSON lines.
+    """
+    parts = [("overall", "edges", edge), ("scripts", F.col("script"), script), ("transforms", F.col("script"), transform), ("nodes", F.col("layer"), node)]
+    rows = [
+        df.select(F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name).alias("name"), *REPORT, mark(F.col("f1")).alias("verdict"))
+        for section, name, df in parts
+    ]
+    overall = overall_quality(edge, script, transform, node)
+    scores = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("f1")) for n in ("edge_f1", "script_f1", "transform_f1", "node_f1", "overall")))
+    summary = overall.select("grade", F.explode(scores).alias("s")).select("s.*", F.when(F.col("s.name") == "overall", F.col("grade")).otherwise(mark(F.col("s.f1"))).alias("verdict"))
+    missing = [F.lit(None).cast("double" if c in ("precision", "recall") else "bigint").alias(c) for c in REPORT[:-1]]
+    rows.append(summary.select(F.lit("summary").alias("section"), "name", *missing, "f1", "verdict"))
+    return reduce(DataFrame.unionByName, rows)

@@ -196,7 +196,7 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
     """Reads, writes, flows and transformations of each script in ``corpus(script_path, source)``.
 
     ``all_sql_tables`` takes every table of a SQL read as a source; otherwise only the first.
-    ``fallback`` links every read to every write of a script that has both but no flow.
+    ``fallback`` links every read to every write of a script that has both but no flow with a source.
     Scripts are parsed where their splits lie; repartition a corpus of few splits before handing it in.
     """
     parsed = corpus.select("script_path", "source").mapInArrow(parse_scripts, SCRIPT_DDL)
@@ -251,7 +251,8 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
                 F.col("transformations").alias("transformations"),
             ),
         )
-        flows = F.when((F.size("raw_flows") == 0) & (F.size("reads") > 0), crossed).otherwise(flows)
+        linked = F.exists("raw_flows", lambda f: F.size(f["sources"]) > 0)
+        flows = F.when(~linked & (F.size("reads") > 0), crossed).otherwise(flows)
     return (
         with_access.withColumn("raw_flows", _flows(statements))
         .withColumn("reads", _seen_once(reads))

@@ -15,7 +15,7 @@ from siltworks.operators.jobs import job_defs
 from siltworks.operators.scan import script_flows
 from siltworks.sources import catalog as cat
 from siltworks.sources.readers import read_jobs, read_scripts
-from siltworks.sources.scratch import cut
+from siltworks.sources.scratch import cut, scratch_scope
 from siltworks.sources.sinks import STATUS, attempt, ingest, write_layer
 
 RAW = [
@@ -105,7 +105,16 @@ def run_lineage(
     base: str,
     exclude: tuple[str, ...] = ("default", "information_schema"),
 ) -> DataFrame:
-    """Scan both corpora and the catalog, build and save the graph; returns the run summary."""
+    """Scan both corpora and the catalog, build and save the graph; returns the run summary.
+
+    The stored scans are deleted at the end.
+    """
+    with scratch_scope(spark):
+        summary = _lineage(spark, scripts, jobs, base, exclude)
+        return spark.createDataFrame(summary.collect(), summary.schema)  # one row
+
+
+def _lineage(spark: SparkSession, scripts: DataFrame, jobs: DataFrame, base: str, exclude: tuple[str, ...]) -> DataFrame:
     flows = cut(script_flows(scripts), "script-scan").df
     defs = cut(job_defs(jobs), "job-scan").df
     tables = cat.scan_catalog(spark, exclude)

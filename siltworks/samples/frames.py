@@ -78,6 +78,21 @@ def script_corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+LOOSE = '''a = spark.read.parquet("s3a://bronze/loose/t#K")
+b = spark.read.csv("s3a://bronze/loose/u#M/")
+made = build(rows)
+made.write.parquet("s3a://silver/loose/r#K")
+'''
+
+
+def loose_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """One script per supplier that writes nothing it has read by name."""
+    k = F.col("s_suppkey")
+    return load(spark, sf, "supplier").select(
+        F.concat(F.lit("/etl/loose_"), k, F.lit(".py")).alias("script_path"), _fill([LOOSE], k, {"#K": k, "#M": k % 7}).alias("source")
+    )
+
+
 def job_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """One job definition per supplier."""
     k = F.col("s_suppkey")

@@ -360,3 +360,33 @@ add("run_summary", [], f"""
 SELECT count(*) AS scripts, (SELECT count(*) FROM supplier) AS jobs, CAST({len(TABLES)} AS BIGINT) AS tables,
   count(*) FILTER (v < 5) + {len(TABLES)} AS nodes,
   CAST(sum(CASE WHEN v IN (0, 3) THEN 2 WHEN v IN (1, 2, 4) THEN 1 ELSE 0 END) AS BIGINT) AS edges FROM ({KEYED})""")
+
+add("script_fallback_edges", [], """
+SELECT concat('loose_', s_suppkey, '.py') AS script, unnest([concat('s3a://bronze/loose/t', s_suppkey), concat('s3a://bronze/loose/u', s_suppkey % 7)]) AS source,
+  concat('s3a://silver/loose/r', s_suppkey) AS target FROM supplier""")
+
+# ---- what is written and read back -------------------------------------------------------
+
+add("audit_stamps", [], """
+SELECT 'orders' AS table_name, count(*) AS rows, count(*) AS stamped FROM orders
+UNION ALL SELECT 'order_lines', count(*), count(*) FROM lineitem UNION ALL SELECT 'addresses', count(*), count(*) FROM supplier""")
+add("catalog_table_read", [], "SELECT p_partkey, p_name FROM part")
+add("catalog_lost_table", [], """
+SELECT 'part' AS table_name, count(*) AS row_count, false AS failed FROM part UNION ALL SELECT 'supplier', NULL, true""")
+add("catalog_node_details", [], f"""
+SELECT table_name, table_name || '.parquet' AS folder,
+  '[' || string_agg('{{"name":"' || column_name || '","type":"' || column_type || '"}}', ',' ORDER BY pos) || ']' AS columns_json
+FROM ({COLUMNS}) GROUP BY table_name""")
+add("saved_nodes", ["graph_nodes"], "SELECT node_id, node_type, layer, table_name, location, row_count FROM graph_nodes")
+add("saved_edges", ["graph_edges"], "SELECT script, dag_id, layer, count(*) AS edges FROM graph_edges GROUP BY ALL")
+MARK = "CASE WHEN f1 >= 100 THEN '✔' WHEN f1 >= 80 THEN '△' ELSE '✗' END"
+COUNTED = "total_truth, total_generated, true_positives, false_positives, false_negatives, \"precision\", recall, f1"
+NOTHING = ", ".join(f"CAST(NULL AS {t})" for t in ["BIGINT"] * 5 + ["DOUBLE"] * 2)
+add("quality_report", [], f"""
+SELECT 'overall' AS section, 'edges' AS name, {COUNTED}, {MARK} AS verdict FROM ({ORACLES['edge_quality']})
+UNION ALL SELECT 'scripts', script, {COUNTED}, {MARK} FROM ({ORACLES['edge_quality_by_script']})
+UNION ALL SELECT 'transforms', script, {COUNTED}, {MARK} FROM ({ORACLES['transform_quality']})
+UNION ALL SELECT 'nodes', layer, {COUNTED}, {MARK} FROM ({ORACLES['node_quality']})
+UNION ALL SELECT 'summary', name, {NOTHING}, f1, CASE name WHEN 'overall' THEN grade ELSE {MARK} END
+FROM (SELECT grade, unnest(['edge_f1', 'script_f1', 'transform_f1', 'node_f1', 'overall']) AS name,
+    unnest([edge_f1, script_f1, transform_f1, node_f1, overall]) AS f1 FROM ({ORACLES['overall_quality']}))""")

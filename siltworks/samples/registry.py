@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siltworks.operators import clean, conform, graph, lineage, marts, quality
 from siltworks.operators.jobs import job_defs
 from siltworks.operators.scan import scan_totals, script_flows
-from siltworks.samples.frames import job_corpus, job_records, scan_records, script_corpus
+from siltworks.plans.pipeline import save_graph
+from siltworks.samples.frames import job_corpus, job_records, loose_scripts, scan_records, script_corpus
 from siltworks.samples.views import TABLES, load
 from siltworks.sources import catalog as cat
-from siltworks.sources.readers import read_parquet
+from siltworks.sources.readers import read_parquet, read_table
 from siltworks.sources.scratch import cut, scratch_path
-from siltworks.sources.sinks import ingest, total_rows
+from siltworks.sources.sinks import ingest, total_rows, write_layer, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,6 +144,46 @@ def catalog_row_counts(spark, sf):
     return _catalog(spark, sf).select(F.col("table").alias("table_name"), "row_count", "format")
 
 
+@query
+def catalog_node_details(spark, sf):
+    nodes = graph.catalog_nodes(_catalog(spark, sf))
+    return nodes.select("table_name", F.substring_index("location", "/", -1).alias("folder"), "columns_json")
+
+
+@query
+def catalog_table_read(spark, sf):
+    cat.create_layer(spark, "read_back")
+    cat.register_table(spark, "read_back", "part", f"{sf}/part.parquet", load(spark, sf, "part").schema)
+    return read_table(spark, "read_back.part").select("p_partkey", "p_name")
+
+
+@query
+def catalog_lost_table(spark, sf):
+    """One table is there, the other has lost its files: its row stays, with an error."""
+    base = scratch_path(spark, "lost")
+    cat.create_layer(spark, "lossy")
+    for t in ("part", "supplier"):
+        write_layer(load(spark, sf, t), f"{base}/{t}")
+        cat.register_table(spark, "lossy", t, f"{base}/{t}", load(spark, sf, t).schema)
+    # text lies where one table's files should be
+    load(spark, sf, "supplier").select("s_name").write.mode("overwrite").text(f"{base}/supplier")
+    others = tuple(d for d in cat.list_databases(spark, ()) if d != "lossy")
+    found = cat.scan_catalog(spark, exclude=others)
+    return found.select(F.col("table").alias("table_name"), "row_count", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def audit_stamps(spark, sf):
+    """Rows and stamped rows of every conformed table."""
+    made = {
+        "orders": clean.silver_orders(load(spark, sf, "raw_order_header")),
+        "order_lines": clean.silver_order_lines(load(spark, sf, "raw_order_detail")),
+        "addresses": clean.silver_addresses(load(spark, sf, "raw_address")),
+    }
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count(clean.STAMP).alias("stamped")) for name, df in made.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def catalog_nodes(spark, sf):
     nodes = graph.catalog_nodes(_catalog(spark, sf))
@@ -175,6 +217,27 @@ def merged_edges(spark, sf):
     return _merged(spark, sf)[1]
 
 
+def _saved_graph(spark, sf, table: str) -> DataFrame:
+    """Write both lineage tables, register them, and read one of them back through the catalog."""
+    save_graph(spark, *_lineage_columns(_nodes(spark, sf), _edges(spark, sf)), scratch_path(spark, "lineage"))
+    return read_table(spark, f"lineage.{table}")
+
+
+def _lineage_columns(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    stamp = {"scanned_at": F.lit("")}
+    return nodes.withColumns(stamp).select(graph.NODE_COLUMNS), edges.withColumns(stamp).select(graph.EDGE_COLUMNS)
+
+
+@query
+def saved_nodes(spark, sf):
+    return _saved_graph(spark, sf, "lineage_metadata").select("node_id", "node_type", "layer", "table_name", "location", "row_count")
+
+
+@query
+def saved_edges(spark, sf):
+    return _saved_graph(spark, sf, "lineage_graph_edges").groupBy("script", "dag_id", "layer").agg(F.count(F.lit(1)).alias("edges"))
+
+
 @query
 def dangling_edges(spark, sf):
     return graph.dangling_edges(_nodes(spark, sf), _edges(spark, sf))
@@ -344,14 +407,23 @@ def node_quality(spark, sf):
 
 @query
 def overall_quality(spark, sf):
+    return quality.overall_quality(*_scores(spark, sf))
+
+
+def _scores(spark, sf) -> tuple[DataFrame, ...]:
     ready = {"graph_edges": cut(load(spark, sf, "graph_edges"), "edges").df}
     gen, truth, ops = (load(spark, sf, v, ready) for v in ("generated", "truth", "truth_ops"))
-    return quality.overall_quality(
-        quality.edge_quality(gen, truth),
-        quality.edge_quality_by_script(gen, truth),
-        quality.transform_quality(gen, ops),
-        quality.node_quality(load(spark, sf, "graph_nodes"), load(spark, sf, "truth_tables")),
-    )
+    nodes = quality.node_quality(load(spark, sf, "graph_nodes"), load(spark, sf, "truth_tables"))
+    return *quality.edge_scores(gen, truth), quality.transform_quality(gen, ops), nodes
+
+
+@query
+def quality_report(spark, sf):
+    """The report as it is read back from its JSON file."""
+    report = quality.quality_report(*_scores(spark, sf))
+    path = scratch_path(spark, "report")
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
 
 
 # ---- scans ------------------------------------------------------------------------------
@@ -389,6 +461,13 @@ def script_flow_edges(spark, sf):
     )
 
 
+@query
+def script_fallback_edges(spark, sf):
+    """Scripts whose reads and writes have no variable in common: every read is linked to every write."""
+    flows = script_flows(loose_scripts(spark, sf), fallback=True).select("script", F.explode("flows").alias("f"))
+    return flows.select("script", F.explode("f.sources").alias("source"), "f.target")
+
+
 @query
 def script_transforms(spark, sf):
     return _scripts(spark, sf).select("script", F.explode("transformations").alias("transform"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 _local_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,8 +32,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/siltworks/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses. Inside a ``scratch_scope`` it is deleted at its end."""
+    path = f"{shared_folder(spark)}/siltworks/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what was stored inside, also by an inner step, when the block ends.
+
+    Results that are read after the block must have been written elsewhere or collected: frames are lazy.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from siltworks.plans import pipeline
 from siltworks.samples.views import load
 from siltworks.sources import catalog as cat
 from siltworks.sources.readers import jdbc_options, read_jobs, read_scripts
-from siltworks.sources.scratch import cut, shared_folder
+from siltworks.sources.scratch import cut, scratch_scope, shared_folder
 from siltworks.sources.sinks import ingest, shortened, total_rows, write_layer, write_report
 
 SF = "/root/testdata/sf0.001"
@@ -227,6 +227,20 @@ def test_one_bad_database_does_not_end_the_scan(spark, tmp_path, monkeypatch):
     assert got["cat_good"]["row_count"] == 2 and got["cat_bad"]["error"] == "no such place" and got["cat_bad"]["table"] is None
 
 
+def test_a_scope_leaves_nothing_behind(spark):
+    outer = cut(spark.range(3), "outer")
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        inner = cut(spark.range(4), "inner")
+        with scratch_scope(spark):
+            innermost = cut(spark.range(5), "innermost")
+        assert inner.df.count() == 4
+        assert not os.path.exists(innermost.df.inputFiles()[0].removeprefix("file://"))
+        left = inner.df.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(left)
+        1 / 0
+    assert not os.path.exists(os.path.dirname(left)) and outer.df.count() == 3
+
+
 def test_a_failed_lineage_step_keeps_the_report(spark, tmp_path):
     scripts = spark.createDataFrame([("/a.py", "x = 1")], "script_path string, wrong string")
     config = pipeline.LakeConfig(str(tmp_path / "lake"), lambda s, t: s.range(1), sources=[("a", "a")], scripts=scripts, jobs=scripts)

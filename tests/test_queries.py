@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from siltworks.samples.oracles import ORACLES
+from siltworks.samples.registry import QUERIES
 from siltworks.samples.views import TABLES
 from tools.check import rows as sorted_rows
 
@@ -22,14 +24,15 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 26
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     got = sorted_rows(entry_points.queries()[name](spark, SF).toArrow())
     assert got == sorted_rows(duck.sql(entry_points.oracle_sql()[name]).to_arrow_table())
