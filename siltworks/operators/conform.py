@@ -100,11 +100,11 @@ def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct edges between shown nodes; ends that cannot be resolved and self loops are dropped.
 
-    Ends are resolved once per distinct id, not once per edge.
+    Ends are resolved once per distinct id, not once per edge; the distinct edges are stored once. Starts jobs.
     """
-    shown = cut(_endpoints(nodes, edges), "shown-ends")
     names = ["source_id", "target_id", "script", "dag_id", "layer", "transformations"]
-    found = edges.select(names).distinct()
+    found = edges = cut(edges.select(names).distinct(), "edges").df
+    shown = cut(_endpoints(nodes, edges), "shown-ends")
     for end, name in (("source_id", "source"), ("target_id", "target")):
         renamed = shown.df.select(F.col("node_id").alias(end), F.col("shown_id").alias(name))
         found = skew_join(found, replace(shown, df=renamed), end, left_keys=edges.select(end))

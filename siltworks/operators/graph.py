@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions.text import clean_path, last_part, layer_of_path, no_slash
@@ -78,7 +80,7 @@ def flow_edges(scripts: DataFrame, jobs: DataFrame) -> DataFrame:
     """One edge per flow and source, with the job that runs the script.
 
     Empty ends and self loops are dropped. Script path and line stay in the rows until the join,
-    so that copies of one script spread over all tasks.
+    so that copies of one script spread over all tasks. Starts a job.
     """
     flows = scripts.filter(F.col("error").isNull()).select(
         "script", "script_path", "layer", F.explode("flows").alias("flow")
@@ -116,20 +118,37 @@ def table_places(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _rehome(edges: DataFrame, end: str, places: Stored) -> DataFrame:
-    placed = edges.withColumn("place", clean_path(F.col(end)))
-    found = skew_join(placed, places, "place", "left")
-    return found.withColumn(end, F.coalesce("home", end)).drop("place", "home")
+def _rehome(edges: DataFrame, places: Stored) -> DataFrame:
+    """Edges with their ends moved to the catalog table at the same place.
+
+    Few places are broadcast. For many, every distinct end is looked up once, and the edges, stored once, are joined
+    with what was found.
+    """
+    columns = edges.columns
+    if places.small:
+        moved = edges
+        for end in ("source_id", "target_id"):
+            found = moved.withColumn("place", clean_path(F.col(end))).join(F.broadcast(places.df), "place", "left")
+            moved = found.withColumn(end, F.coalesce("home", end)).drop("place", "home")
+        return moved.select(columns)
+    moved = edges = cut(edges, "edges").df
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("end")).distinct()
+    met = skew_join(ends.withColumn("place", clean_path(F.col("end"))), places, "place")
+    homes = cut(met.select("end", "home"), "edge-homes")
+    for end in ("source_id", "target_id"):
+        named = replace(homes, df=homes.df.select(F.col("end").alias(end), F.col("home").alias("_home")))
+        moved = skew_join(moved, named, end, "left", left_keys=edges.select(end))
+        moved = moved.withColumn(end, F.coalesce("_home", end)).drop("_home")
+    return moved.select(columns)
 
 
 def merge_datasets(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fold datasets into the catalog table at the same location and move their edges along."""
+    """Fold datasets into the catalog table at the same location and move their edges along. Starts jobs."""
     places = cut(table_places(nodes), "table-places")
     is_dataset = F.col("node_type") == "dataset"
     candidates = nodes.withColumn("place", F.when(is_dataset, clean_path(F.col("node_id"))))
     kept = skew_join(candidates, places, "place", "left_anti").select(nodes.columns)
-    moved = _rehome(_rehome(edges, "source_id", places), "target_id", places).select(edges.columns)
-    return kept, moved
+    return kept, _rehome(edges, places)
 
 
 def build_graph(scripts: DataFrame, jobs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -157,8 +157,8 @@ def _traverse(
         crossed = met.join(F.broadcast(at), "node_id").select("seed_id", *EDGE).distinct()
     else:
         found = skew_join(reached.df, attributes, "node_id")
-        keys = met.select("node_id")
-        crossed = skew_join(met.distinct(), at, "node_id", both=True, left_keys=keys).select("seed_id", *EDGE)
+        stored = cut(met.distinct(), "edges").df
+        crossed = skew_join(stored, at, "node_id", both=True).select("seed_id", *EDGE)
     return found.select("seed_id", "node_id", "hop", *attributes.columns[1:]), crossed
 
 
@@ -166,7 +166,8 @@ def upstream(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int =
     """Where the data of ``seeds(node_id)`` comes from, up to ``depth`` edges away.
 
     Returns nodes with their hop (0 .. depth-1) per seed and the edges crossed per seed. Ids
-    without a node row are passed through but not listed.
+    without a node row are passed through but not listed. The result has one row per seed and thing reached, so
+    many seeds over hubs give a result of the size of the closure; that is what is asked for. Starts jobs.
     """
     return _traverse(nodes, edges, seeds, depth, "target_id", "source_id")
 
