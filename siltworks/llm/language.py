@@ -93,27 +93,42 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.gram_rows = {g: k for k, g in enumerate(model.grams)}
+        self.grams = np.array([*model.grams.values(), np.zeros(len(model.languages))])  # the last row: nothing is known
         self.seen: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.table = np.zeros((1024, len(model.languages)))
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        padded = f"^{word}$"
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the longest known n-grams of an unseen word."""
+        padded, known = f"^{word}$", self.gram_rows.get
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            grams = [g for g in (self.model.grams.get(padded[k : k + n]) for k in range(len(padded) - n + 1)) if g is not None]
-            if grams:
-                return np.mean(grams, axis=0)
-        return np.zeros(len(self.model.languages))
+            if rows := [r for k in range(len(padded) - n + 1) if (r := known(padded[k : k + n])) is not None]:
+                return rows
+        return [len(self.gram_rows)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Add the scores of words not met so far to the table."""
+        place = len(self.seen)
+        while place + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.seen.update(zip(words, range(place, place + len(words)), strict=True))
+        unseen, rows, sizes = [], [], []
+        for k, w in enumerate(words, place):
+            if (known := self.model.words.get(w)) is not None:
+                self.table[k] = known
+            else:
+                found = self.backoff(w)
+                unseen.append(k)
+                rows += found
+                sizes.append(len(found))
+        if unseen:
+            starts = np.cumsum([0, *sizes[:-1]])
+            self.table[unseen] = np.add.reduceat(self.grams[rows], starts) / np.array(sizes)[:, None]
 
     def _places(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > SEEN:
+        if len(self.seen) > SEEN:
             self.seen.clear()
-            self.rows.clear()
-        for w in set(words).difference(self.seen):
-            self.seen[w] = len(self.rows)
-            self.rows.append(self.word(w))
+        self._learn(list(set(words).difference(self.seen)))
         return np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))
 
     def texts(self, batch: list[str]) -> tuple[list[str], list[float]]:
@@ -122,7 +137,6 @@ class Scorer:
         if not flat or not self.model.languages:
             return [UNKNOWN] * len(batch), [0.0] * len(batch)
         places = self._places(flat)
-        table = np.array(self.rows)
         ends = np.cumsum([len(some) for some in words])
         names, scores = [], []
         for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
@@ -130,7 +144,7 @@ class Scorer:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            sums = table[places[start:end]].sum(axis=0)
+            sums = self.table[places[start:end]].sum(axis=0)
             best = int(np.argmax(sums))
             names.append(self.model.languages[best])
             scores.append(1.0 / float(np.exp(np.maximum(sums - sums[best], -700.0)).sum()))
