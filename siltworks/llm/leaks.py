@@ -276,4 +276,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     (they cannot be named as leaking). Starts jobs."""
     found = cut(find_leaks(docs, benchmark, similarity).select("doc_id").distinct(), "leaks")
     gone = found.df.select(F.col("doc_id").alias("_leak"))
-    return docs.join(F.broadcast(gone) if found.small else gone, F.col("doc_id").cast("bigint") == F.col("_leak"), "left_anti")
+    # by frame: a document column may have the same name
+    return docs.join(F.broadcast(gone) if found.small else gone, docs["doc_id"].cast("bigint") == gone["_leak"], "left_anti")

@@ -125,6 +125,7 @@ def make_plan(sample: np.ndarray, rows: int, distance: int = DISTANCE) -> Plan:
     Any plan finds every link; the sample only decides what the search costs.
     """
     choice: tuple[float, Plan] | None = None
+    rows = max(rows, 2)  # also for an empty table a plan of few probes
     half = len(sample) // 2
     a, b = sample[:half], sample[half : 2 * half]
     for parts in range(1, min(MOST_PARTITIONS, distance + 1) + 1):
@@ -260,4 +261,5 @@ def one_of_each(docs: DataFrame, wide: int = WIDE, similarity: float = SIMILARIT
     stays = owners.groupBy("root").agg(F.min("least").alias("_stays"))
     gone = marked.select("doc_id").distinct().join(stays, F.col("doc_id") == F.col("_stays"), "left_anti")
     gone = cut(gone.select(F.col("doc_id").alias("_gone")), "near-gone")
-    return docs.join(F.broadcast(gone.df) if gone.small else gone.df, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    # by frame: a document column may have the same name
+    return docs.join(F.broadcast(gone.df) if gone.small else gone.df, docs["doc_id"].cast("bigint") == gone.df["_gone"], "left_anti")
