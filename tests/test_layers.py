@@ -1,5 +1,8 @@
 from datetime import datetime
 from decimal import Decimal
+from functools import reduce
+
+from pyspark.sql import functions as F
 
 from siltworks.operators import clean, marts
 
@@ -104,3 +107,9 @@ def test_marts_accept_doubles(spark):
     o = o.withColumn("total", o["total"].cast("double"))
     t = spark.createDataFrame([(1, "North", "NO", "E")], TERRITORIES)
     assert marts.gold_sales_by_territory(o, t).first()["avg_ticket"] == 10.0
+
+
+def test_period_mart_is_ordered(spark):
+    made = [orders(spark, (1, True, 1, 1, "1.00")).withColumn("order_date", F.lit(d).cast("timestamp")) for d in ("2024-11-02", "2023-02-01", "2024-01-05", "2023-12-31")]
+    got = marts.gold_sales_by_period(reduce(lambda a, b: a.unionByName(b), made)).collect()
+    assert [(r["year"], r["month"]) for r in got] == [(2023, 2), (2023, 12), (2024, 1), (2024, 11)]

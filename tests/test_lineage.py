@@ -119,3 +119,13 @@ def test_stats_lists_and_subgraph(spark):
     assert [x.count() for x in lineage.subgraph(n, e, "silver")] == [2, 0]
     assert [x.count() for x in lineage.subgraph(n, e, "silver", "unknown")] == [2, 1]
     assert lineage.list_edges(e, dag_id="none").count() == 0 and lineage.list_nodes(n).count() == 2
+
+
+def test_lists_are_ordered(spark):
+    data = [("gold", "b", "2"), ("bronze", "z", "1"), ("gold", "a", "9"), ("gold", "b", "1"), ("silver", "m", "5")]
+    n = spark.createDataFrame([(i, "hive_table", layer, layer, name, name, "", "parquet", 1, 1, "[]", "") for layer, name, i in data], NODE)
+    assert [(r["layer"], r["table_name"], r["node_id"]) for r in lineage.list_nodes(n.repartition(3)).collect()] == sorted(data)
+    rows = [("s2", "t1", "x.py", "d2", "b", ""), ("s1", "t2", "x.py", "d1", "b", ""), ("s1", "t1", "x.py", "d1", "b", ""), ("s9", "t9", "x.py", "d9", "a", "")]
+    e = spark.createDataFrame(rows, EDGE).repartition(3)
+    got = [(r["layer"], r["dag_id"], r["source_id"], r["target_id"]) for r in lineage.list_edges(e).collect()]
+    assert got == sorted((r[4], r[3], r[0], r[1]) for r in rows)

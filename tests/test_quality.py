@@ -61,3 +61,20 @@ def test_overall_of_nothing_is_zero(spark):
     none = spark.createDataFrame([], "f1 double")
     one = spark.createDataFrame([(80.0,), (90.0,)], "f1 double")
     assert tuple(quality.overall_quality(one, none, none, none).first()) == (85.0, 0.0, 0.0, 0.0, 21.25, "NECESITA MEJORAS")
+
+
+def test_outcomes_are_ordered(spark):
+    one = "source_id string, target_id string"
+    gen = spark.createDataFrame([("c", "d"), ("a", "b"), ("x", "y")], one).repartition(3)
+    truth = spark.createDataFrame([("a", "b"), ("m", "n"), ("c", "d")], one).repartition(3)
+    got = [tuple(r) for r in quality.outcomes(gen, truth).collect()]
+    assert got == [("fn", "m", "n"), ("fp", "x", "y"), ("tp", "a", "b"), ("tp", "c", "d")]
+
+
+def test_one_pass_scores_are_the_separate_ones(spark):
+    cols = "script string, source_id string, target_id string"
+    gen = spark.createDataFrame([("a", "s3a://x/", "Y"), ("b", "s3a://x", "y"), ("b", "p", "q"), ("c", "o", "o2")], cols)
+    truth = spark.createDataFrame([("a", "s3a://x", "y"), ("b", "p", "r"), ("d", "k", "l")], cols)
+    edge, script = quality.edge_scores(gen, truth)
+    assert edge.collect() == quality.edge_quality(gen, truth).collect()
+    assert sorted(script.collect()) == sorted(quality.edge_quality_by_script(gen, truth).collect())
