@@ -24,7 +24,7 @@ WORDS = 60_000
 GRAMS = 60_000
 LONGEST = 4
 SMOOTH = 0.5
-REJECT = 0.5  # documents below this score are rejected
+REJECT = 0.3  # documents below this score are rejected: no language is much likelier than another
 UNKNOWN = "und"
 SEEN = 200_000
 WORD = regex.compile(r"\p{L}+")
