@@ -10,6 +10,9 @@
    (partition, value) verifies the distance in its condition, so candidates are compared but never written.
 5. Components over the links give the smallest reachable doc_id.
 
+The near-duplicate stage also links texts by exact shingle similarity. A text sends the first fifth of its shingles in one
+global order (rare ones first); whatever is similar enough meets there, and candidates are verified by their whole sets.
+
 At scale: texts are never shuffled; a row of the search is three integers. Copies are one fingerprint, however many.
 The residents of a value with more than ``LANE`` of them are dealt over lanes and its visitors copied once per lane, so
 no task holds an unbounded group.
@@ -17,6 +20,7 @@ no task holds an unbounded group.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb, inf
@@ -34,7 +38,8 @@ BITS = 64
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-WIDE, SHINGLE, SIMILARITY = 8, 5, 0.8  # wider links, which the texts' word shingles must confirm
+SHINGLE, SIMILARITY = 5, 0.8  # links by the texts' word shingles, at any distance of the fingerprints
+COMMON, MOST_COMMON = 8, 100_000  # shingles that so many sampled documents have come last; at most so many of them
 LANE = 2048
 SAMPLE = 4096  # fingerprints from which bit correlations and candidate counts are estimated
 MOST_PARTITIONS = 8
@@ -220,43 +225,112 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return marked.join(owners, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_set(text, words: int):
-    """Hashes of the distinct shingles of ``words`` words of a text (all words, if there are fewer)."""
-    found = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    count = F.greatest(F.lit(1), F.size(found) - (words - 1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(found, i, words), " "))))
+def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes (signed) of the distinct shingles of ``words`` words of a text; of all words, if there are fewer."""
+    found = text.lower().encode().split()
+    if len(found) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], dtype=np.uint64).view(np.int64)
+    parts = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), dtype=np.uint64, count=len(found))
+    n = len(found) - words + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(words):
+        out = (out ^ parts[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def _text_key(text: str) -> int:
+    """64 bits that stand for a text as :func:`fingerprint` sees it; equal keys have equal fingerprints."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED + 1))
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """key and s, the shingles, of every text."""
+
+    def run(batches):
+        for batch in slices(batches):
+            some = batch.column(1).to_pylist()
+            sets = pa.array([shingle_set(t) for t in some], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([_text_key(t) for t in some], pa.int64()), sets], ["key", "s"])
+
+    return texts(docs).mapInArrow(run, "key bigint, s array<bigint>")
 
 
-def alike(docs: DataFrame, pairs: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose owners' texts share at least ``similarity`` of their word shingles.
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that many documents of a sample have. They only decide the order of shingles, hence what the search costs."""
+    found = _sets(bounded_sample(docs, "doc_id", SAMPLE)).dropDuplicates(["key"]).select(F.explode("s").alias("x"))
+    often = found.groupBy("x").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "x").limit(MOST_COMMON)
+    return np.sort(often.select("x").toArrow().column("x").to_numpy())
 
-    ``owners`` has fp and least, a document with that fingerprint.
+
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, common ones last. With one order for all, two sets of at least ``similarity`` share one of these:
+    the common part is at least ``similarity`` of the larger set, so it does not fit behind the prefix of either."""
+    n = len(shingles)
+    often = np.isin(shingles, common)
+    return np.r_[shingles[~often], shingles[often]][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def near_units(docs: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """doc_id, fp, key, size (number of shingles) and first, their prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_COMMON
+
+    def run(batches):
+        for batch in slices(batches):
+            some = batch.column(1).to_pylist()
+            prints = np.array([fingerprint(t) for t in some], dtype=np.uint64)
+            sets = [shingle_set(t) for t in some]
+            columns = [pa.array(prints.view(np.int64)), pa.array([_text_key(t) for t in some], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
+            first = pa.array([prefix(x, shared.value, similarity) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, first], ["doc_id", "fp", "key", "size", "first"])
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint, key bigint, size int, first array<bigint>")
+
+
+def alike(docs: DataFrame, units: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of fingerprints of texts that share at least ``similarity`` of their word shingles, all of them but
+    those that ``roots`` (node, root) already joins. Exact: texts of that similarity meet at a shingle of both prefixes. Starts jobs.
     """
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = cut(ends.join(owners, "fp"), "near-owners")
+    kinds = units.select("key", "fp", "size", "first").dropDuplicates(["key"])
+    kinds = kinds.join(roots, kinds["fp"] == roots["node"], "left").select("key", "fp", "size", "first", F.coalesce("root", "fp").alias("root"))
+    rows = stored(kinds.select(F.explode("first").alias("shingle"), "key", "fp", "size", "root"), "near-shingles")
+    full = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # where all are joined already there is nothing to find
+    full = stored(full.filter("n > 1 AND low < high").select("shingle", F.ceil(F.col("n") / LANE).cast("int").alias("lanes")), "near-met")
+    rows = rows.join(full, "shingle")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("key", "fp", "size", "root")]
+    x = rows.select("shingle", F.pmod(F.xxhash64("key"), F.col("lanes")).cast("int").alias("lane"), *side("x"))
+    y = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *side("y"))
+    met = x.join(y, ["shingle", "lane"]).filter(
+        (F.col("x_key") < F.col("y_key")) & (F.col("x_root") != F.col("y_root"))
+        & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size"))
+    )
+    pairs = cut(met.select("x_key", "x_fp", "y_key", "y_fp").distinct(), "near-candidates").df
+    ends = pairs.select(F.col("x_key").alias("key")).union(pairs.select("y_key")).distinct()
+    wanted = cut(ends.join(units, "key").groupBy("key").agg(F.min("doc_id").alias("least")).select("least").distinct(), "near-owners")
     chosen = F.broadcast(wanted.df) if wanted.small else wanted.df
-    sets = texts(docs).join(chosen, F.col("doc_id") == F.col("least")).select("fp", _shingle_set(F.col("text"), words).alias("s"))
-    sets = stored(sets.dropDuplicates(["fp"]), "near-shingles")
-    x = sets.select(F.col("fp").alias("a"), F.col("s").alias("x"))
-    y = sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    sets = stored(_sets(texts(docs).join(chosen, F.col("doc_id") == F.col("least"))).dropDuplicates(["key"]), "near-sets")
+    u = sets.select(F.col("key").alias("x_key"), F.col("s").alias("x"))
+    v = sets.select(F.col("key").alias("y_key"), F.col("s").alias("y"))
+    both = pairs.join(u, "x_key").join(v, "y_key").withColumn("common", F.size(F.array_intersect("x", "y")))
+    near = both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-9)
+    return near.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
 
 
-def one_of_each(docs: DataFrame, wide: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group of near duplicates: the smallest doc_id.
 
-    Documents are near duplicates if their fingerprints are within ``DISTANCE`` bits, or within ``wide`` bits and the
-    similarity of their five-word shingles is at least ``similarity``; groups are what is linked over any number of others.
-    Rows without doc_id stay and take no part; rows that repeat a doc_id stay or go together. Starts jobs.
+    Documents are near duplicates if their fingerprints are within ``DISTANCE`` bits, or if the similarity of their
+    five-word shingles is at least ``similarity``, however far apart the fingerprints are; groups are what is linked over
+    any number of others. Rows without doc_id stay and take no part; rows that repeat a doc_id stay or go together.
+    Starts jobs.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    marked = stored(fingerprints(named), "fingerprints")
+    marked = stored(near_units(named, common_shingles(named), similarity), "near-units")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-set")
-    near = stored(search(distinct.select("fp"), wide), "near-links")
-    sure = near.filter(F.col("bits") <= DISTANCE).select("a", "b")
-    links_of = sure.unionByName(alike(named, near.filter(F.col("bits") > DISTANCE).select("a", "b"), distinct, SHINGLE, similarity))
-    roots = stored(components(links_of), "fingerprint-roots")
+    sure = stored(search(distinct.select("fp")).select("a", "b"), "near-links")
+    joined = stored(components(sure), "near-roots")
+    roots = stored(components(sure.unionByName(alike(named, marked, joined, similarity))), "fingerprint-roots")
     owners = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     stays = owners.groupBy("root").agg(F.min("least").alias("_stays"))
     gone = marked.select("doc_id").distinct().join(stays, F.col("doc_id") == F.col("_stays"), "left_anti")

@@ -81,3 +81,26 @@ def test_one_of_each(documents, awkward):
     left = simhash.one_of_each(awkward)
     assert left.columns == awkward.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 3, 6, 8, 8, 9, 10, 11, 12]
+
+
+def test_similar_texts_far_apart_in_bits(documents, monkeypatch):
+    def jaccard(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    rnd = random.Random(4)
+    passage = [f"p{k}" for k in range(30)]
+    texts = []
+    while len(texts) < 40:
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 100))] + passage
+        copy = list(words)
+        for at in rnd.sample(range(5, len(words) - 5), 2):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(copy)]
+    apart = lambda a, b: (fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count()
+    near = [(a, b) for a in range(40) for b in range(a + 1, 40) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert sum(apart(a, b) > 8 for a, b in near) >= 3
+    want = sorted(set(groups(40, lambda a, b: (a, b) in near or apart(a, b) <= 4)))
+    assert [r.doc_id for r in simhash.one_of_each(documents(list(enumerate(texts)))).orderBy("doc_id").collect()] == want
+    monkeypatch.setattr(simhash, "LANE", 2)  # dealt over lanes
+    assert [r.doc_id for r in simhash.one_of_each(documents(list(enumerate(texts)))).orderBy("doc_id").collect()] == want
