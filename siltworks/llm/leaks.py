@@ -6,8 +6,11 @@ same bits fall into step again soon after an edit, so few edits become few diffe
 distance). A table of the LSH hashes the symbols at sampled steps; ``repeats`` tables, each with walk bits and sampled
 steps of its own, are made so that an item with ``edits`` edits is found with the target recall.
 
-Documents are read at windows on a grid, whose step is a third of the shortest item, so every embedded item holds windows
-wholly inside it. Items are indexed at every offset; a hit says which item would start where. There
+Items of ``SHORT`` to ``BRIEF`` characters have no room for walks. They are found by exact counting: an item of n characters
+with k edits keeps n - q + 1 - k * q of its q-grams, at places that are at most k apart from the item's start.
+
+Documents are read at windows on a grid, whose step is a third of the shortest embedded item, so every embedded item holds
+windows wholly inside it. Items are indexed at every offset; a hit says which item would start where. There
 the item-sized stretch of the document is verified: the smallest edit distance of the item to any part of
 it, by bit-parallel dynamic programming. Only verified matches are returned, so nothing clean is reported.
 
@@ -37,6 +40,9 @@ LEAST, MOST = 4, 12  # tables
 CHUNK = 1 << 19  # characters of items indexed at a time
 AT_ONCE = 1 << 21  # characters of documents searched at a time
 SHORT = 24  # items of fewer characters are looked for as they are
+BRIEF = 48  # items of fewer characters are not embedded: their q-grams are counted
+GRAM = 4
+AT_A_TIME = 1 << 14  # characters whose q-grams are counted at a time
 PAD = 32  # the symbol behind the end
 
 _KEEP = np.full(256, PAD, dtype=np.uint8)
@@ -140,9 +146,10 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY):
         self.items = items
         self.allowed = [int((1 - similarity) * len(t) + 1e-9) for _, t in items]
-        long = [(k, t) for k, (_, t) in enumerate(items) if len(t) >= SHORT]
+        long = [(k, t) for k, (_, t) in enumerate(items) if len(t) >= BRIEF]
         self.short = [(k, t) for k, (_, t) in enumerate(items) if 0 < len(t) < SHORT]
-        self.stride = max(1, min((len(t) for _, t in long), default=SHORT) // 3)
+        self.stride = max(1, min((len(t) for _, t in long), default=BRIEF) // 3)
+        self._count_grams([(k, t) for k, (_, t) in enumerate(items) if SHORT <= len(t) < BRIEF])
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not long:
             return
@@ -160,6 +167,47 @@ class Index:
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], item[order], offset[order]))
 
+    def _count_grams(self, brief: list[tuple[int, bytes]]) -> None:
+        """The q-grams of the brief items, sorted, each with its item and offset; and how many of them an item keeps."""
+        kept = lambda q: {k: len(t) - q + 1 - self.allowed[k] * q for k, t in brief}
+        self.gram = next((q for q in range(GRAM, 1, -1) if min(kept(q).values(), default=1) >= 1), 1)
+        self.kept = np.ones(len(self.items), dtype=np.int64)
+        for k, n in kept(self.gram).items():
+            self.kept[k] = max(1, n)
+        # a match keeps to two neighbouring cells of so many starts
+        self.cell = np.array(self.allowed, dtype=np.int64) + 1
+        codes = np.concatenate([np.zeros(0, np.int64), *(self._codes(t) for _, t in brief)])
+        order = np.argsort(codes, kind="stable")
+        sizes = [len(t) - self.gram + 1 for _, t in brief]
+        self.grams = codes[order]
+        self.gram_item = np.repeat(np.array([k for k, _ in brief], dtype=np.int64), sizes)[order]
+        self.gram_offset = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])[order]
+
+    def _codes(self, text: bytes) -> np.ndarray:
+        symbols = np.frombuffer(text, dtype=np.uint8).astype(np.int64)
+        n = max(0, len(symbols) - self.gram + 1)
+        return sum((symbols[j : j + n] << 8 * j for j in range(self.gram)), np.zeros(n, np.int64))
+
+    def _brief(self, text: bytes):
+        """(item, first and last place to look at) wherever ``text`` holds enough q-grams of a brief item at about one start."""
+        for begin in range(0, len(text), AT_A_TIME):
+            codes = self._codes(text[begin : begin + AT_A_TIME + 2 * BRIEF])
+            left, right = np.searchsorted(self.grams, codes, "left"), np.searchsorted(self.grams, codes, "right")
+            count = right - left
+            place = np.repeat(np.arange(len(codes)), count)
+            at = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
+            item = self.gram_item[at]
+            cell = (begin + place - self.gram_offset[at] + BRIEF) // self.cell[item]
+            span = len(text) + 2 * BRIEF + 2
+            keys, found = np.unique(item * span + cell, return_counts=True)
+            after = np.searchsorted(keys, keys + 1)
+            follows = np.append(keys, -1)[after] == keys + 1
+            total = found + np.where(follows, np.append(found, 0)[after], 0)
+            for key in keys[total >= self.kept[keys // span]].tolist():
+                k, c = divmod(key, span)
+                size, edits = int(self.cell[k]), self.allowed[k]
+                yield k, max(0, c * size - BRIEF - edits), (c + 2) * size - BRIEF + len(self.items[k][1]) + edits
+
     def _filters(self) -> list[np.ndarray]:
         out = []
         for keys, _, _ in self.tables:
@@ -190,7 +238,12 @@ class Index:
                         # offsets of one item that hash alike say the same place within the slack below
                         guesses.update((d, int(k), (g - int(starts[d]) - int(o)) // 16) for k, o in zip(item[a:b], offset[a:b], strict=True))
             for d, k, near in sorted(guesses):
-                self._verify(d, k, near * 16, documents[d], best)
+                slack = self.allowed[k] + 16
+                self._verify(d, k, max(0, near * 16 - slack), near * 16 + len(self.items[k][1]) + slack, documents[d], best)
+        if len(self.grams):
+            for d, text in enumerate(documents):
+                for k, low, high in self._brief(text):
+                    self._verify(d, k, low, high, text, best)
         for d, text in enumerate(documents):
             for k, item in self.short:
                 at = f" {text.decode('latin-1')} ".find(f" {item.decode('latin-1')} ")
@@ -198,11 +251,10 @@ class Index:
                     best[d, k] = (0, at, at + len(item))
         return [(d, k, start, end, distance) for (d, k), (distance, start, end) in best.items()]
 
-    def _verify(self, d: int, k: int, start: int, text: bytes, best: dict) -> None:
-        item, slack = self.items[k][1], self.allowed[k] + 16
+    def _verify(self, d: int, k: int, low: int, high: int, text: bytes, best: dict) -> None:
+        item = self.items[k][1]
         if (d, k) in best and best[d, k][0] == 0:
             return
-        low, high = max(0, start - slack), start + len(item) + slack
         distance, end = best_distance(item, text[low:high])
         if distance <= self.allowed[k] and distance < best.get((d, k), (math.inf,))[0]:
             best[d, k] = (distance, max(low, low + end - len(item)), low + end)

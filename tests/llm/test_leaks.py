@@ -55,6 +55,24 @@ def test_recall_and_precision(documents, benchmark):
     assert all(d % 100 == i for d, i in got)
 
 
+def test_brief_items_are_all_found():
+    rnd = random.Random(5)
+    items = [(k, leaks.reduced(words(rnd, 12).encode())[: rnd.randint(24, 47)].strip()) for k in range(60)] + [(90, leaks.reduced(words(rnd, 60).encode()))]
+    items = [(k, t) for k, t in items if len(t) >= 24]
+    texts = []
+    for k, (_, t) in enumerate(items[:-1]):
+        changed = bytearray(t)
+        for _ in range((0, int(0.2 * len(t)))[k % 2]):  # word for word, or as many edits as are accepted
+            at = rnd.randrange(len(changed))
+            changed[at : at + 1] = rnd.choice([b"", b"x", bytes([changed[at]]) + b"y"])
+        texts.append(leaks.reduced(words(rnd, rnd.choice([1, 60, 6000] if k < 8 else [1, 60])).encode()) + b" q" + bytes(changed) + b"q " + leaks.reduced(words(rnd, 50).encode()))
+    texts += [b"", items[0][1], items[1][1][:20]]
+    index = leaks.Index(items)
+    got = {(d, k): n for d, k, _, _, n in index.search(texts, index._filters())}
+    want = {(d, k): n for d, t in enumerate(texts) for k, (_, i) in enumerate(items) if len(i) < 48 and (n := leaks.best_distance(i, t)[0]) <= int(0.2 * len(i) + 1e-9)}
+    assert {p: n for p, n in got.items() if p[1] < len(items) - 1} == want and len(want) >= len(items) - 1
+
+
 def test_a_benchmark_in_chunks_gives_the_same(documents, benchmark):
     rnd = random.Random(9)
     items = [(k, words(rnd, 30)) for k in range(8)] + [(50, "tiny item"), (51, None), (52, ""), (53, "!!")]
