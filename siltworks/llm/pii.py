@@ -1,7 +1,7 @@
 """Personal data by fixed shapes and bootstrapped contextual extraction, in DataFrame operations only.
 
-Base entities (e-mail, IP, card, phone) are found by shape. They are the seeds: the word before and the word behind a seed is
-a lexical pattern. A pattern meets instances, seeds and other identifier-like words alike; that is a bipartite graph.
+Base entities (e-mail, IP, card, phone) are found by shape. Whole, blanks included, they are the seeds: the word before and
+the word behind a seed is a lexical pattern. A pattern meets instances, seeds and other identifier-like words alike; that is a bipartite graph.
 In each round a pattern's confidence in a kind is the summed score of the instances it meets over their number,
 and an instance that is no seed takes the confidence of its best pattern. Patterns that end above ``CONFIDENCE``
 with enough seed support discover identifiers of shapes that no rule knows.
@@ -23,7 +23,7 @@ ROUNDS = 3
 CONFIDENCE = 0.8
 SUPPORT = 5.0  # summed scores behind a confident pattern
 SMOOTH = 1.0
-MIN_DIGITS, MIN_CHARS = 4, 6  # of an identifier that is discovered
+MIN_DIGITS, MIN_CHARS = 4, 6  # of an identifier that is discovered; e-mail addresses may do without digits
 CONTEXT = 64  # characters looked at for the word next to an entity
 MARK = "\x01"
 
@@ -34,10 +34,15 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-# identifier-like: no white space, a digit somewhere
-IDENTIFIER = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+# identifier-like: an address that is spelled out, a word with a digit and the digit groups that follow it, or a word with a
+# sign between letters
+SPELLED = r"(?<!\S)\S++\x20(?i:at|\(at\)|\[at\])\x20\S++(?:\x20(?i:dot|\(dot\)|\[dot\])\x20\S++)++"
+NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:\x20\(?[0-9][0-9().-]*+(?!\S))*+"
+SIGNED = r"(?<!\S)(?=\S*[A-Za-z][._@(\[]++[A-Za-z])\S++"
+IDENTIFIER = f"{SPELLED}|{NUMBERED}|{SIGNED}"
 
 SPAN = "struct<start:int,kind:int,end:int>"
+ENTITY = "struct<start:int,kind:int,end:int,value:string,left:string,right:string>"
 MATCH = "struct<start:int,end:int,value:string,left:string,right:string>"
 CHUNK = 64  # pieces whose lengths are summed together
 
@@ -59,8 +64,8 @@ def _matches(text: Column, pattern: str, words: bool = False) -> Column:
             i, end = s["i"], s["at"] + F.length(piece)
             left = right = F.lit("")
             if words:
-                left = F.regexp_extract(F.right(F.get(p, i - 1), F.lit(CONTEXT)), r"(\S+)\s+$", 1)
-                right = F.regexp_extract(F.left(F.get(p, i + 1), F.lit(CONTEXT)), r"^\s+(\S+)", 1)
+                left = F.regexp_extract(F.right(F.get(p, i - 1), F.lit(CONTEXT)), r"(\S+)\s+\S*$", 1)
+                right = F.regexp_extract(F.left(F.get(p, i + 1), F.lit(CONTEXT)), r"^\S*\s+(\S+)", 1)
             new = F.struct(s["at"].alias("start"), end.alias("end"), piece.alias("value"), left.alias("left"), right.alias("right"))
             found = F.when(i % 2 == 1, F.array_append(s["found"], new)).otherwise(s["found"])
             return F.struct((i + 1).alias("i"), end.alias("at"), found.alias("found"))
@@ -79,11 +84,12 @@ def _digits(value: Column) -> Column:
 
 
 def _as_kind(kind: int):
-    return lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
+    return lambda m: F.struct(m["start"], F.lit(kind).alias("kind"), m["end"], m["value"], F.lower(m["left"]).alias("left"), F.lower(m["right"]).alias("right"))
 
 
-def base_spans(text: Column) -> Column:
-    """All base entities of a text as an array of (start, kind, end), ordered by start, then kind (its place in KINDS)."""
+def base_entities(text: Column) -> Column:
+    """All base entities of a text as an array of (start, kind, end, value, left, right), ordered by start, then kind (its
+    place in KINDS)."""
     number = lambda m: F.length(_digits(m["value"]))
     checks = (
         (EMAIL, F.contains(text, F.lit("@")), lambda m: F.lit(True)),
@@ -91,10 +97,10 @@ def base_spans(text: Column) -> Column:
         (CARD, text.rlike("[0-9]"), lambda m: number(m).between(14, 19) & F.call_function("luhn_check", _digits(m["value"]))),
         (PHONE, F.contains(text, F.lit("+")), lambda m: number(m).between(10, 15)),
     )
-    none = F.array().cast(f"array<{SPAN}>")
+    none = F.array().cast(f"array<{ENTITY}>")
     parts = []
     for k, (pattern, worth, valid) in enumerate(checks):
-        good = F.filter(_matches(text, pattern), valid)
+        good = F.filter(_matches(text, pattern, words=True), valid)
         parts.append(F.when(worth, F.transform(good, _as_kind(k))).otherwise(none))
     return F.array_sort(F.concat(*parts))
 
@@ -105,13 +111,16 @@ def _written(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, _h (hash of the text), base (spans) and near: identifier-like words with their neighbours and, if they
-    touch a base entity, its kind."""
-    rows = texts(docs).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    words = F.when(F.col("text").rlike("[0-9]"), _matches(F.col("text"), IDENTIFIER, words=True)).otherwise(F.array().cast(f"array<{MATCH}>"))
-    seed = lambda w: F.get(F.filter(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])), F.lit(0))["kind"]
-    near = F.transform(words, lambda w: F.struct(w["start"], w["end"], w["value"], F.lower(w["left"]).alias("left"), F.lower(w["right"]).alias("right"), seed(w).alias("kind")))
-    return rows.select("doc_id", F.xxhash64("text").alias("_h"), "base", near.alias("near"))
+    """doc_id, _h (hash of the text), base (spans) and near: the base entities, with their kind, and the identifier-like
+    words that touch none of them, each with its neighbours."""
+    rows = texts(docs).select("doc_id", "text", base_entities(F.col("text")).alias("found"))
+    words = _matches(F.col("text"), IDENTIFIER, words=True)
+    free = F.filter(words, lambda w: ~F.exists("found", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    fields = lambda w, left, right, kind: F.struct(w["start"], w["end"], w["value"], left.alias("left"), right.alias("right"), kind.alias("kind"))
+    seeds = F.transform("found", lambda b: fields(b, b["left"], b["right"], b["kind"]))
+    others = F.transform(free, lambda w: fields(w, F.lower(w["left"]), F.lower(w["right"]), F.lit(None).cast("int")))
+    base = F.transform("found", lambda b: F.struct(b["start"], b["kind"], b["end"]))
+    return rows.select("doc_id", F.xxhash64("text").alias("_h"), base.alias("base"), F.concat(seeds, others).alias("near"))
 
 
 def pattern_graph(scanned: DataFrame) -> DataFrame:
@@ -152,12 +161,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = scanned
     if good.rows:
         near = scanned.select("doc_id", "_h", F.explode("near").alias("n")).select("doc_id", "_h", "n.*")
-        shaped = (F.length(_digits(F.col("value"))) >= MIN_DIGITS) & (F.length("value") >= MIN_CHARS)
-        near = near.filter(F.col("kind").isNull() & shaped).drop("kind")
+        near = near.filter(F.col("kind").isNull() & (F.length("value") >= MIN_CHARS)).drop("kind")
+        # an e-mail address needs no digit; everything else does
+        shaped = (F.length(_digits(F.col("value"))) >= MIN_DIGITS) | ((F.col("kind") == 0) & F.col("value").rlike(f"^(?:{SPELLED}|{SIGNED})$"))
         patterns = F.broadcast(good.df) if good.small else good.df
         hits = None
         for side in ("left", "right"):
-            one = near.join(patterns.filter(F.col("side") == side).drop("side"), F.col(side) == F.col("word"))
+            one = near.join(patterns.filter(F.col("side") == side).drop("side"), F.col(side) == F.col("word")).filter(shaped)
             one = one.select("doc_id", "_h", F.struct("start", "kind", "end").alias("span"))
             hits = one if hits is None else hits.unionByName(one)
         # spans of one text

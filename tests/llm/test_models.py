@@ -129,6 +129,22 @@ def test_patterns_discover_identifiers(documents, unbroadcast):
     assert got[5].spans == "email:17:36" or got[5].spans.startswith("email:17:")
 
 
+def test_whole_entities_are_seeds(documents):
+    rnd = random.Random(8)
+    names = [f"{a}.{b}" for a in ("ann", "bob", "cid", "dee") for b in ("oak", "elm", "fir", "ash")]
+    rows = [(k, f"please ring +1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} before noon") for k in range(20)]
+    cards = ["4111 1111 1111 1111", "4012 8888 8888 1881", "5555 5555 5555 4444", "5105 1051 0510 5100", "4222 2222 2222 2220", "6011 1111 1111 1117", "6011 0009 9013 9424", "3530 1113 3330 0000"]
+    cards = [c for c in cards if personal(c)]
+    assert len(cards) >= 6
+    rows += [(100 + k, f"charge {c} today please") for k, c in enumerate(cards)]
+    rows += [(200 + k, f"write mailto {n}@site.com, thanks") for k, n in enumerate(names)]
+    hidden = {300: ("we ring 555 123 4567 often", "phone:8:20"), 301: ("they charge 4111 1111 1111 1112 now", "card:12:31"), 302: ("or mailto john at site dot com maybe", "email:10:30"), 303: ("or mailto john.doe(at)site maybe", "email:10:26")}
+    hidden |= {304: ("we ring nobody at all", ""), 305: ("john at site dot com", "")}
+    got = found(documents(rows + [(k, t) for k, (t, _) in hidden.items()]))
+    assert {k: got[k].spans for k in hidden} == {k: want for k, (_, want) in hidden.items()}
+    assert all(got[k].n_found == 0 for k, _ in rows)
+
+
 def test_no_long_run_is_slow(documents):
     texts = ["a" * 200_000, "@" + "a" * 200_000, "a@" + "b." * 50_000 + "c", "1." * 50_000, "+1" + "." * 100_000, "1 " * 50_000]
     got = found(documents(list(enumerate(texts))))
