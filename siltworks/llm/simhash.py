@@ -39,7 +39,7 @@ WORDS = 4
 DISTANCE = 4
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8  # links by the texts' word shingles, at any distance of the fingerprints
-COMMON, MOST_COMMON = 8, 100_000  # shingles that so many sampled documents have come last; at most so many of them
+ORDERED, COMMON, MOST_COMMON = 1024, 4, 100_000  # of so many documents; shingles that so many of them have come last; at most so many
 LANE = 2048
 SAMPLE = 4096  # fingerprints from which bit correlations and candidate counts are estimated
 MOST_PARTITIONS = 8
@@ -258,7 +258,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that many documents of a sample have. They only decide the order of shingles, hence what the search costs."""
-    found = _sets(bounded_sample(docs, "doc_id", SAMPLE)).dropDuplicates(["key"]).select(F.explode("s").alias("x"))
+    found = _sets(bounded_sample(docs, "doc_id", ORDERED)).select(F.explode("s").alias("x"))
     often = found.groupBy("x").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "x").limit(MOST_COMMON)
     return np.sort(often.select("x").toArrow().column("x").to_numpy())
 
@@ -289,23 +289,27 @@ def near_units(docs: DataFrame, common: np.ndarray, similarity: float) -> DataFr
 
 def alike(docs: DataFrame, units: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of fingerprints of texts that share at least ``similarity`` of their word shingles, all of them but
-    those that ``roots`` (node, root) already joins. Exact: texts of that similarity meet at a shingle of both prefixes. Starts jobs.
+    those that ``roots`` (node, root) already joins. Exact: texts of that similarity meet at a shingle of both prefixes, and
+    at so many that the rest behind a prefix can make up what they must share. Starts jobs.
     """
     kinds = units.select("key", "fp", "size", "first").dropDuplicates(["key"])
     kinds = kinds.join(roots, kinds["fp"] == roots["node"], "left").select("key", "fp", "size", "first", F.coalesce("root", "fp").alias("root"))
-    rows = stored(kinds.select(F.explode("first").alias("shingle"), "key", "fp", "size", "root"), "near-shingles")
+    rows = stored(kinds, "near-kinds").select(F.explode("first").alias("shingle"), "key", "fp", "size", "root", (F.col("size") - F.size("first")).alias("rest"))
     full = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     # where all are joined already there is nothing to find
-    full = stored(full.filter("n > 1 AND low < high").select("shingle", F.ceil(F.col("n") / LANE).cast("int").alias("lanes")), "near-met")
-    rows = rows.join(full, "shingle")
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("key", "fp", "size", "root")]
+    full = cut(full.filter("n > 1 AND low < high").select("shingle", F.ceil(F.col("n") / LANE).cast("int").alias("lanes")), "near-met")
+    rows = rows.join(F.broadcast(full.df) if full.small else full.df, "shingle")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("key", "fp", "size", "root", "rest")]
     x = rows.select("shingle", F.pmod(F.xxhash64("key"), F.col("lanes")).cast("int").alias("lane"), *side("x"))
     y = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *side("y"))
     met = x.join(y, ["shingle", "lane"]).filter(
         (F.col("x_key") < F.col("y_key")) & (F.col("x_root") != F.col("y_root"))
         & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size"))
     )
-    pairs = cut(met.select("x_key", "x_fp", "y_key", "y_fp").distinct(), "near-candidates").df
+    ends = met.groupBy("x_key", "y_key").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("x_fp", "y_fp", "x_size", "y_size", "x_rest", "y_rest")))
+    needed = similarity / (1 + similarity) * (F.col("x_size") + F.col("y_size")) - 1e-9
+    enough = ends.filter(F.col("n") + F.greatest("x_rest", "y_rest") >= needed)
+    pairs = stored(enough.select("x_key", "x_fp", "y_key", "y_fp"), "near-candidates")
     ends = pairs.select(F.col("x_key").alias("key")).union(pairs.select("y_key")).distinct()
     wanted = cut(ends.join(units, "key").groupBy("key").agg(F.min("doc_id").alias("least")).select("least").distinct(), "near-owners")
     chosen = F.broadcast(wanted.df) if wanted.small else wanted.df
