@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import bpe, chat, exact, language, leaks, lines, pii, simhash, tokens, toxicity
+from siltworks.llm import bpe, chat, collocations, exact, language, leaks, lines, packing, pii, simhash, tokens, toxicity, turns
 from siltworks.llm.common import table
 
-COUNT_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
+COUNT_FILE, RANK_FILE, PACK_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_classes(documents(spark, folder))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, folder, "conversations")))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), public_tokenizers.path(PACK_FILE))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -73,6 +85,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_collocations": op12_collocations,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLES = {
@@ -124,5 +139,96 @@ n AS (SELECT x AS line, count(*) AS n_links FROM both_ways GROUP BY x)
 SELECT o.doc_id, o.line_no, f.d AS class_doc, f.l AS class_line, coalesce(n_links, 0) AS n_links,
        o.doc_id = f.d AND o.line_no = f.l AS kept
 FROM o JOIN c USING (line) LEFT JOIN n USING (line)
+""",
+    # the rows of a conversation one after the other; s0 to s3: best edits so far that end at the start, behind s, u, a
+    "op11_conversation_repair": r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS name
+  FROM conversations
+), bits AS (
+  SELECT *, list_prepend(4294967295, flatten(list_transform(range(octet_length(name)),
+         lambda i: [CAST(ord(decode(name[i + 1:i + 1])) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))) AS b FROM raw
+), hashed AS (
+  SELECT *, xor(4294967295, list_reduce(b, lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1)))) % 20 AS kind FROM bits
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         CASE role WHEN '' THEN ' ' ELSE left(role, 1) END AS c,
+         right(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'), 1) AS last FROM damaged
+), faults AS (
+  SELECT *, last = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM placed
+), judged AS (
+  SELECT *, blank OR again AS lost, CASE WHEN NOT blank AND NOT again AND last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS more FROM faults
+), counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (more = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id
+), first AS (SELECT {'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])} AS s0, {'c': 1000000000, 'a': '', 'o': CAST([] AS VARCHAR[])} AS no
+), steps AS (
+  SELECT conv_id, 0 AS i, s0, no AS s1, {'c': 3, 'a': 'I', 'o': ['user:']} AS s2, {'c': 6, 'a': 'II', 'o': ['user:', 'assistant:']} AS s3 FROM counts, first
+  UNION ALL
+  SELECT conv_id, i, s0, s1, t2, least(t3, {'c': t2.c + 3, 'a': t2.a || 'I', 'o': list_append(t2.o, 'assistant:')}) FROM (
+    SELECT conv_id, i, s0, s1, m3 AS t3,
+           least(m2, {'c': s0.c + 3, 'a': s0.a || 'I', 'o': list_append(s0.o, 'user:')}, {'c': s1.c + 3, 'a': s1.a || 'I', 'o': list_append(s1.o, 'user:')},
+                 {'c': m3.c + 3, 'a': m3.a || 'I', 'o': list_append(m3.o, 'user:')}) AS t2
+    FROM (
+      SELECT s.conv_id, r.i,
+        {'c': s.s0.c + 4, 'a': s.s0.a || 'D', 'o': s.s0.o} AS s0,
+        least({'c': s.s1.c + 4, 'a': s.s1.a || 'D', 'o': s.s1.o},
+              {'c': s.s0.c + CASE WHEN NOT lost AND c = 's' THEN more ELSE 1000000000 END, 'a': s.s0.a || 'K', 'o': list_append(s.s0.o, role || ':' || text)}) AS s1,
+        least({'c': s.s2.c + 4, 'a': s.s2.a || 'D', 'o': s.s2.o},
+              {'c': s.s0.c + keep_u, 'a': s.s0.a || 'K', 'o': list_append(s.s0.o, role || ':' || text)}, {'c': s.s0.c + other, 'a': s.s0.a || 'R', 'o': list_append(s.s0.o, 'user:' || text)},
+              {'c': s.s1.c + keep_u, 'a': s.s1.a || 'K', 'o': list_append(s.s1.o, role || ':' || text)}, {'c': s.s1.c + other, 'a': s.s1.a || 'R', 'o': list_append(s.s1.o, 'user:' || text)},
+              {'c': s.s3.c + keep_u, 'a': s.s3.a || 'K', 'o': list_append(s.s3.o, role || ':' || text)}, {'c': s.s3.c + other, 'a': s.s3.a || 'R', 'o': list_append(s.s3.o, 'user:' || text)}) AS m2,
+        least({'c': s.s3.c + 4, 'a': s.s3.a || 'D', 'o': s.s3.o},
+              {'c': s.s2.c + CASE WHEN NOT lost AND c = 'a' THEN more ELSE 1000000000 END, 'a': s.s2.a || 'K', 'o': list_append(s.s2.o, role || ':' || text)},
+              {'c': s.s2.c + other, 'a': s.s2.a || 'R', 'o': list_append(s.s2.o, 'assistant:' || text)}) AS m3
+      FROM steps s JOIN (
+        SELECT *, CASE WHEN lost THEN 1000000000 ELSE 3 + more END AS other, CASE WHEN NOT lost AND c = 'u' THEN more ELSE 1000000000 END AS keep_u FROM judged
+      ) r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+    )
+  )
+), best AS (SELECT steps.conv_id, least(s0, s3) AS b FROM steps JOIN counts ON counts.conv_id IS NOT DISTINCT FROM steps.conv_id AND steps.i = counts.n)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+       sha256(coalesce(array_to_string(b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM k.conv_id
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM w) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+longer AS (
+  SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, a FROM c UNION ALL SELECT lang, array_to_string(w[2:k], ' '), a FROM c
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, s.k, l.f AS l, r.f AS r, CAST(n.n AS BIGINT) AS n,
+         (CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM c, LATERAL (SELECT unnest(range(1, c.k)) AS k) s
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:s.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[s.k + 1:], ' ')
+  JOIN n ON n.lang = c.lang
+), weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts),
+kept AS (
+  SELECT * FROM weakest WHERE o = 1 AND NOT EXISTS (
+    SELECT 1 FROM longer WHERE longer.lang = weakest.lang AND longer.phrase = weakest.phrase AND 100 * longer.a >= 100 * weakest.a)
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept
+) WHERE rank <= 2000
 """,
 }
