@@ -15,7 +15,7 @@ PATH_CALLS = {"parquet", "csv", "json", "orc", "text", "load", "save"}
 # Statement text is kept only when it can be a read or a write.
 TEXT_MARKS = (".read", ".write", ".table(", ".sql(")
 
-PIECE = pa.struct([("text", pa.string()), ("name", pa.string())])
+PIECE = pa.struct([("text", pa.string()), ("name", pa.string()), ("at", pa.int32())])
 STATEMENT = pa.struct(
     [
         ("line", pa.int32()),
@@ -26,6 +26,10 @@ STATEMENT = pa.struct(
         ("methods", pa.list_(pa.string())),
         ("value", pa.list_(PIECE)),
         ("calls", pa.list_(pa.struct([("method", pa.string()), ("args", pa.list_(pa.list_(PIECE)))]))),
+        ("root_at", pa.int32()),
+        ("used", pa.list_(pa.int32())),
+        ("before", pa.int32()),
+        ("last", pa.bool_()),
     ]
 )
 SCRIPT_ROW = pa.schema(
@@ -33,8 +37,9 @@ SCRIPT_ROW = pa.schema(
 )
 SCRIPT_DDL = """script_path string,
 statements array<struct<line:int,target:string,text:string,root:string,names:array<string>,
-  methods:array<string>,value:array<struct<text:string,name:string>>,
-  calls:array<struct<method:string,args:array<array<struct<text:string,name:string>>>>>>>,
+  methods:array<string>,value:array<struct<text:string,name:string,at:int>>,
+  calls:array<struct<method:string,args:array<array<struct<text:string,name:string,at:int>>>>>,
+  root_at:int,used:array<int>,before:int,last:boolean>>,
 error string"""
 
 JOB_ROW = pa.schema(
@@ -55,9 +60,9 @@ def pieces(node: ast.expr) -> list[dict] | None:
     """A text expression as literal and variable pieces; None when it is anything else."""
     match node:
         case ast.Constant(value=str(text)):
-            return [{"text": text, "name": None}]
+            return [{"text": text, "name": None, "at": None}]
         case ast.Name(id=name):
-            return [{"text": None, "name": name}]
+            return [{"text": None, "name": name, "at": None}]
         case ast.Subscript(value=base):
             return pieces(base)
         case ast.FormattedValue(value=inner):
@@ -115,13 +120,34 @@ def statement(node: ast.stmt) -> dict | None:
     }
 
 
-def parse_scripts(batches):
-    for batch in batches:
+def link(found: list[dict]) -> list[dict]:
+    """Number the assignments and note for every name which of them it means, in one pass.
+
+    Names in values, chains and lists mean the assignment before them; names in call arguments the last of the script.
+    ``before`` is the assignment of the same name that this one follows, ``last`` marks the final one.
+    """
+    latest: dict[str, int] = {}
+    for at, s in enumerate(found, 1):
+        s["root_at"], s["before"], s["last"] = latest.get(s["root"]), latest.get(s["target"]), False
+        s["used"] = [latest[n] for n in s["names"] if n in latest]
+        for p in s["value"] or ():
+            p["at"] = latest.get(p["name"])
+        if s["target"]:
+            latest[s["target"]] = at
+    for at in latest.values():
+        found[at - 1]["last"] = True
+    for p in (p for s in found for c in s["calls"] for a in c["args"] for p in a):
+        p["at"] = latest.get(p["name"])
+    return found
+
+
+def parse_scripts(batches, at_once: int = 256):
+    for batch in (b.slice(k, at_once) for b in batches for k in range(0, b.num_rows, at_once)):
         rows = []
         for path, source in zip(*(batch.column(c).to_pylist() for c in ("script_path", "source"))):
             found, error = [], None
             try:
-                found = [s for s in map(statement, blocks(ast.parse(source))) if s]
+                found = link([s for s in map(statement, blocks(ast.parse(source))) if s])
             except SyntaxError as e:
                 error = f"SyntaxError: {e}"
             except Exception as e:  # a script that cannot be read is a row, not a failed task
@@ -130,8 +156,8 @@ def parse_scripts(batches):
         yield pa.RecordBatch.from_pylist(rows, schema=SCRIPT_ROW)
 
 
-def parse_jobs(batches):
-    for batch in batches:
+def parse_jobs(batches, at_once: int = 256):
+    for batch in (b.slice(k, at_once) for b in batches for k in range(0, b.num_rows, at_once)):
         rows = []
         columns = (batch.column(c).to_pylist() for c in ("dag_path", "source", "scripts"))
         for path, source, scripts in zip(*columns):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions.text import display_id, first_swap, job_label, short_name
-from siltworks.operators.skew import skew_join
-from siltworks.sources.scratch import cut
+from siltworks.operators.skew import hot_among, skew_join
+from siltworks.sources.scratch import Stored, cut
 
 # Layers that are shown, in order.
 SHOWN = ["bronze", "silver", "gold", "unknown"]
@@ -30,22 +28,29 @@ def _winners(keyed: DataFrame) -> DataFrame:
     row = F.struct(*order, *[F.col(c) for c in keyed.columns if c not in ("table_name", "node_id", "name_key")])
     is_table = F.col("node_type") == "hive_table"
     return keyed.groupBy("name_key").agg(
+        F.count(F.lit(1)).alias("members"),
         F.coalesce(F.max(F.when(is_table, row)), F.min(row)).alias("winner"),
         F.min(F.struct(*order)).alias("first_seen"),
     )
 
 
-def _canonical_map(keyed: DataFrame, winners: DataFrame) -> DataFrame:
-    """Every node with the columns of its group's row in ``winners(name_key, ...)``."""
-    return skew_join(keyed.select("node_id", "name_key"), winners, "name_key", "left").drop("name_key")
+def _canonical_map(keyed: DataFrame, winners: Stored, *columns: str) -> DataFrame:
+    """Every node with ``columns`` of its group's row in ``winners(name_key, members, ...)``.
+
+    The groups were counted when they were made, so that hot names need no search.
+    """
+    named = winners.select("name_key", *columns)
+    hot = [] if named.small else hot_among(winners.df, "name_key", "members")
+    return skew_join(keyed.select("node_id", "name_key"), named, "name_key", "left", hot_left=hot).drop("name_key")
 
 
 def canonical_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes that stay, and ``(node_id, canonical_id)`` for every node."""
+    """The nodes that stay, and ``(node_id, canonical_id)`` for every node. Starts a job."""
     keyed = _keyed(nodes)
     winners = _winners(keyed)
-    named = winners.select("name_key", F.col("winner.node_id").alias("canonical_id"))
-    return winners.select("winner.*").select(nodes.columns), _canonical_map(keyed, named)
+    few = _winners(keyed.select("node_id", "node_type", "table_name", "name_key"))
+    named = cut(few.select("name_key", "members", F.col("winner.node_id").alias("canonical_id")), "name-winners")
+    return winners.select("winner.*").select(nodes.columns), _canonical_map(keyed, named, "canonical_id")
 
 
 def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,6 +65,7 @@ def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     winners = cut(
         _winners(keyed).select(
             "name_key",
+            "members",
             F.col("winner.node_id").alias("canonical_id"),
             F.col("winner.table_name").alias("table_name"),
             rank.alias("rank"),
@@ -67,8 +73,8 @@ def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.col("first_seen.node_id").alias("first_id"),
         ),
         "name-winners",
-    ).df
-    shown = winners.filter(F.col("rank") > 0).withColumn("shown_id", display_id(F.col("canonical_id")))
+    )
+    shown = winners.df.filter(F.col("rank") > 0).withColumn("shown_id", display_id(F.col("canonical_id")))
     by_name = (
         shown.filter(F.col("table_name") != "")
         .groupBy(F.concat(F.lit("name "), "table_name").alias("wanted"))
@@ -81,7 +87,7 @@ def _endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
         .filter(F.col("node_id").isNotNull())
         .distinct()
-        .join(_canonical_map(keyed, winners.select("name_key", "canonical_id", "rank")), "node_id", "left")
+        .join(_canonical_map(keyed, winners, "canonical_id", "rank"), "node_id", "left")
         .select("node_id", "canonical_id", settled.alias("shown_id")),
         "edge-ends",
     ).df
@@ -106,8 +112,8 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = edges = cut(edges.select(names).distinct(), "edges").df
     shown = cut(_endpoints(nodes, edges), "shown-ends")
     for end, name in (("source_id", "source"), ("target_id", "target")):
-        renamed = shown.df.select(F.col("node_id").alias(end), F.col("shown_id").alias(name))
-        found = skew_join(found, replace(shown, df=renamed), end, left_keys=edges.select(end))
+        renamed = shown.renamed({"node_id": end, "shown_id": name})
+        found = skew_join(found, renamed, end, left_keys=edges.select(end))
     return found.filter(F.col("source") != F.col("target")).select("source", "target", *names)
 
 

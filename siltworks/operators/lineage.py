@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from siltworks.operators.adjacency import EDGE, NUMBERS, OTHER, GraphStore, graph_store
 from siltworks.operators.skew import skew_join
 from siltworks.sources.scratch import Stored, cut
 
 SUMMARY = ["node_id", "node_type", "layer", "table_name", "full_name", "format", "row_count", "column_count", "scanned_at"]
-EDGE = ["source_id", "target_id", "script", "dag_id", "layer", "transformations"]
 MAX_DEPTH = 10
 
 
@@ -113,29 +113,21 @@ def node_detail(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame
     )
 
 
-def _reach(edges: DataFrame, seeds: DataFrame, depth: int, near: str, far: str) -> Stored:
-    """(seed_id, node_id, hop): everything at least hop ``0 .. depth-1`` away, by shortest way.
+def _reach(store: GraphStore, seeds: DataFrame, depth: int, near: str) -> Stored:
+    """(seed, id, hop), by number: everything at least hop ``0 .. depth-1`` away, by shortest way.
 
     One step joins the whole frontier of all seeds to the edges. Every frontier is written to the
-    shared folder, so no plan grows with the depth and a lost executor costs one step. A frontier
-    that was measured small is broadcast: then two edge columns are scanned and nothing of them is
-    shuffled. Otherwise the distinct links are stored once, and both sides of the join are salted,
-    since a hub node can be frequent in both.
+    shared folder, so no plan grows with the depth and a lost executor costs one step. No step moves an edge
+    (see ``GraphStore.met``); what is shuffled are pairs of numbers.
     """
-    first = seeds.select(F.col("node_id").alias("seed_id"), "node_id").distinct()
-    frontier = cut(first, "frontier")
+    frontier = cut(seeds.select(F.col("id").alias("seed"), "id"), "frontier")
     visited = frontier.df.withColumn("hop", F.lit(0))
     rows, size = frontier.rows, frontier.bytes
-    pairs = edges.select(F.col(near).alias("node_id"), F.col(far).alias("next_id"))
-    links = None
+    next_one = NUMBERS[OTHER[near]]
     for hop in range(1, depth):
-        if frontier.small:
-            met = (pairs if links is None else links).join(F.broadcast(frontier.df), "node_id")
-        else:
-            links = links if links is not None else cut(pairs.distinct(), "links").df
-            met = skew_join(links, frontier.df, "node_id", both=True)
-        step = met.select("seed_id", F.col("next_id").alias("node_id")).distinct()
-        frontier = cut(step.join(visited, ["seed_id", "node_id"], "left_anti"), "frontier")
+        met = store.met(frontier, near, next_one).filter(F.col(next_one).isNotNull())
+        step = met.select("seed", F.col(next_one).alias("id")).distinct()
+        frontier = cut(step.join(visited, ["seed", "id"], "left_anti"), "frontier")
         if frontier.rows == 0:
             break
         rows, size = rows + frontier.rows, size + frontier.bytes
@@ -144,34 +136,43 @@ def _reach(edges: DataFrame, seeds: DataFrame, depth: int, near: str, far: str)
 
 
 def _traverse(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, near: str, far: str
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, near: str, store: GraphStore | None
 ) -> tuple[DataFrame, DataFrame]:
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
-    reached = _reach(edges, seeds, depth, near, far)
-    attributes = nodes.select(*SUMMARY[:-1], "location")
-    met = edges.select(EDGE).withColumn("node_id", F.col(near))
-    at = reached.df.select("seed_id", "node_id")
-    if reached.small:  # measured: scan nodes and edges, shuffle only what was found
-        found = attributes.join(F.broadcast(reached.df), "node_id")
-        crossed = met.join(F.broadcast(at), "node_id").select("seed_id", *EDGE).distinct()
+    if store is None:
+        store = graph_store(nodes, edges, [near])
+    # only known ids: an unknown one reaches nothing, and its number could be another node's
+    known = store.names.df.select("id", "node_id").join(seeds.select("node_id").distinct(), "node_id")
+    start = cut(known, "seeds")
+    reached = _reach(store, start.df, depth, near)
+    attributes = store.numbered(nodes.select(*SUMMARY[:-1], "location"), "node_id", "id")
+    seed_names = start.renamed({"id": "seed", "node_id": "seed_id"})
+    at = Stored(reached.df.select("seed", "id"), reached.rows, reached.bytes)
+    if reached.small:  # measured
+        found = attributes.join(F.broadcast(reached.df), "id")
     else:
-        found = skew_join(reached.df, attributes, "node_id")
-        stored = cut(met.distinct(), "edges").df
-        crossed = skew_join(stored, at, "node_id", both=True).select("seed_id", *EDGE)
-    return found.select("seed_id", "node_id", "hop", *attributes.columns[1:]), crossed
+        found = skew_join(reached.df, attributes, "id")
+    found = skew_join(found, seed_names, "seed", left_keys=reached.df)
+    crossed = skew_join(store.met(at, near, *EDGE), seed_names, "seed", left_keys=reached.df)
+    return found.select("seed_id", "node_id", "hop", *SUMMARY[1:-1], "location"), crossed.select("seed_id", *EDGE)
 
 
-def upstream(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def upstream(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, store: GraphStore | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Where the data of ``seeds(node_id)`` comes from, up to ``depth`` edges away.
 
     Returns nodes with their hop (0 .. depth-1) per seed and the edges crossed per seed. Ids
     without a node row are passed through but not listed. The result has one row per seed and thing reached, so
-    many seeds over hubs give a result of the size of the closure; that is what is asked for. Starts jobs.
+    many seeds over hubs give a result of the size of the closure; that is what is asked for. ``store`` is the graph laid
+    out before (``adjacency.graph_store``), for many questions to one graph. Starts jobs.
     """
-    return _traverse(nodes, edges, seeds, depth, "target_id", "source_id")
+    return _traverse(nodes, edges, seeds, depth, "target_id", store)
 
 
-def downstream(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def downstream(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, store: GraphStore | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Where the data of ``seeds(node_id)`` goes to; see ``upstream``."""
-    return _traverse(nodes, edges, seeds, depth, "source_id", "target_id")
+    return _traverse(nodes, edges, seeds, depth, "source_id", store)

@@ -1,8 +1,9 @@
 """Data flows of PySpark scripts: a corpus table in, one scan record per script out.
 
-Parsing yields statement records (``functions.syntax``); everything after that is Catalyst
-expressions over the statement array of the row. There is no shuffle after the initial spread of
-the texts, whatever the size of the corpus.
+Parsing yields statement records (``functions.syntax``), in which each name refers to the assignment that it means by its
+number. Everything after that is Catalyst expressions over the statement array of the row: what an assignment holds is
+found once and kept in an array by number, so that the work grows with the script, not with its square. Nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -43,35 +44,41 @@ INSERT_INTO = r"""(?Ud)\.insertInto\s*\(\s*["']([^"']+)["']\s*\)"""
 PLAIN_NAME = r"^[a-zA-Z_][a-zA-Z0-9_.]*$"
 FILE_FORMATS = ["parquet", "csv", "json", "orc", "text"]
 
-ENV = "struct<env:map<string,array<string>>,flows:array<struct<line:int,target:string,sources:array<string>,at:int>>>"
 ACCESS = "struct<paths:array<string>,format:string>"
 
 
-def _put(mapping: Column, key: Column, value: Column) -> Column:
-    return F.map_concat(F.map_filter(mapping, lambda k, _: k != key), F.create_map(key, value))
+def _held(values: Column, at: Column) -> Column:
+    """What assignment number ``at`` (from 1) holds; NULL without one."""
+    return F.get(values, at - 1)
 
 
-def _resolve(parts: Column, variables: Column) -> Column:
+def _resolve(parts: Column, known: Column) -> Column:
     """Text of an expression; NULL when it is not a text or a variable is unknown."""
-    return F.aggregate(
-        parts, F.lit(""), lambda text, p: F.concat(text, F.coalesce(p["text"], F.try_element_at(variables, p["name"])))
-    )
+    return F.aggregate(parts, F.lit(""), lambda text, p: F.concat(text, F.coalesce(p["text"], _held(known, p["at"]))))
 
 
-def _variables(statements: Column) -> Column:
-    """Text variables of the script; the last assignment wins."""
+def _known_texts(statements: Column) -> Column:
+    """The text that each assignment's variable has behind it, by number; one that is no text keeps the text before."""
 
     def step(known: Column, s: Column) -> Column:
-        value = _resolve(s["value"], known)
-        keep = F.contains(value, F.lit("/")) | F.contains(value, F.lit("jdbc:")) | F.rlike(value, F.lit(PLAIN_NAME))
+        value = F.when(s["target"].isNotNull() & s["value"].isNotNull(), _resolve(s["value"], known))
         # one-element array: the value is computed once and used by the lambda
-        return F.element_at(
-            F.transform(F.array(F.when(keep, value)), lambda v: F.when(v.isNull(), known).otherwise(_put(known, s["target"], v))),
-            1,
-        ).cast("map<string,string>")
+        kept = F.transform(
+            F.array(value),
+            lambda v: F.when(
+                F.contains(v, F.lit("/")) | F.contains(v, F.lit("jdbc:")) | F.rlike(v, F.lit(PLAIN_NAME)), v
+            ).otherwise(_held(known, s["before"])),
+        )
+        return F.concat(known, kept)
+
+    return F.aggregate(statements, F.array().cast("array<string>"), step)
 
-    texts = F.filter(statements, lambda s: s["target"].isNotNull() & s["value"].isNotNull())
-    return F.aggregate(texts, F.create_map().cast("map<string,string>"), step)
+
+def _variables(statements: Column, known: Column) -> Column:
+    """Text variables of the script as they are at its end."""
+    ends = F.transform(statements, lambda s, i: F.struct(s["target"].alias("key"), F.get(known, i).alias("value"), s["last"].alias("last")))
+    named = F.filter(ends, lambda e: e["last"] & e["value"].isNotNull())
+    return F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"], e["value"])))
 
 
 def _first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -151,45 +158,76 @@ def _write(s: Column) -> Column:
     return F.when(s["target"].isNull() & F.contains(text, F.lit(".write")), found)
 
 
-def _flows(events: Column) -> Column:
-    """Folds the statements in source order: which addresses each variable holds, and what is written."""
+def _used_sources(held: Column, used: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(used, lambda at: _held(held, at))))
+
+
+def _held_sources(events: Column) -> Column:
+    """The addresses that each assignment's variable stands for behind it, by number; without any, those from before."""
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, s: Column) -> Column:
+        found = F.coalesce(s["read"]["paths"], _used_sources(held, s["used"]))
+        new = F.transform(
+            F.array(F.when(s["target"].isNotNull(), found)),
+            lambda f: F.when(F.size(f) > 0, f).otherwise(F.coalesce(_held(held, s["before"]), none)),
+        )
+        return F.concat(held, new)
+
+    return F.aggregate(events, F.array().cast("array<array<string>>"), step)
 
-    def sources_of(env: Column, names: Column) -> Column:
-        held = F.transform(names, lambda n: F.try_element_at(env, n))
-        return F.array_distinct(F.flatten(F.filter(held, lambda h: h.isNotNull())))
 
-    def step(acc: Column, s: Column) -> Column:
-        env, flows = acc["env"], acc["flows"]
-        from_root = F.try_element_at(env, s["root"])
-        write = F.struct(
+def _flows(events: Column, held: Column) -> Column:
+    """What is written, and from which addresses: those of the variable that is written, else of all names there."""
+
+    def flow(s: Column) -> Column:
+        root = _held(held, s["root_at"])
+        return F.struct(
             s["line"].alias("line"),
             s["write"]["paths"][0].alias("target"),
-            F.coalesce(from_root, sources_of(env, s["names"])).alias("sources"),
+            F.when(F.size(root) > 0, root).otherwise(_used_sources(held, s["used"])).alias("sources"),
             s["at"].alias("at"),
         )
-        held = F.coalesce(s["read"]["paths"], sources_of(env, s["names"]))
-        assigned = F.element_at(
-            F.transform(F.array(held), lambda h: F.when(F.size(h) > 0, _put(env, s["target"], h)).otherwise(env)), 1
-        )
-        return F.struct(
-            F.when(s["target"].isNotNull(), assigned).otherwise(env).alias("env"),
-            F.when(s["write"].isNotNull(), F.concat(flows, F.array(write))).otherwise(flows).alias("flows"),
-        ).cast(ENV)
 
-    start = F.struct(F.create_map().alias("env"), F.array().alias("flows")).cast(ENV)
-    return F.aggregate(events, start, step)["flows"]
+    return F.transform(F.filter(events, lambda s: s["write"].isNotNull()), flow)
 
 
 def _seen_once(items: Column) -> Column:
-    """The first record of every path."""
-    paths = F.transform(items, lambda x: x["path"])
-    return F.filter(items, lambda x, i: F.array_position(paths, x["path"]) == i + 1)
+    """The first record of every path, in order: records sorted by path, the first of each taken, sorted back."""
+    numbered = F.array_sort(F.transform(items, lambda x, i: F.struct(x["path"].alias("path"), i.alias("i"), x.alias("x"))))
+    return F.transform(
+        F.array(numbered),
+        lambda n: F.transform(
+            F.array_sort(
+                F.transform(
+                    F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1)["path"] != x["path"])),
+                    lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")),
+                )
+            ),
+            lambda x: x["x"],
+        ),
+    )[0]
 
 
-def _ops(statements: Column) -> Column:
+def _first_ops(statements: Column) -> Column:
+    """(method, number of the statement that first names it) of every transformation, in order."""
     known = F.array(*[F.lit(t) for t in TRANSFORMS])
-    every = F.flatten(F.transform(statements, lambda s: s["methods"]))
-    return F.array_distinct(F.filter(every, lambda m: F.array_contains(known, m)))
+    every = F.flatten(
+        F.transform(
+            statements,
+            lambda s, i: F.transform(
+                F.filter(s["methods"], lambda m: F.array_contains(known, m)), lambda m: F.struct(m.alias("method"), (i + 1).alias("at"))
+            ),
+        )
+    )
+
+    def first(e: Column) -> Column:
+        names = F.transform(e, lambda x: x["method"])
+        return F.transform(
+            F.array(names), lambda n: F.transform(F.array_distinct(n), lambda m: F.get(e, (F.array_position(n, m) - 1).cast("int")))
+        )[0]
+
+    return F.transform(F.array(every), first)[0]
 
 
 def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool = False) -> DataFrame:
@@ -197,12 +235,14 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
 
     ``all_sql_tables`` takes every table of a SQL read as a source; otherwise only the first.
     ``fallback`` links every read to every write of a script that has both but no flow with a source.
-    Scripts are parsed where their splits lie; repartition a corpus of few splits before handing it in.
+    Scripts are parsed where their splits lie; spread the keys of a corpus of few splits before its texts are read.
     """
     parsed = corpus.select("script_path", "source").mapInArrow(parse_scripts, SCRIPT_DDL)
     statements = F.col("statements")
-    with_paths = parsed.withColumn("variables", _variables(statements)).withColumn(
-        "statements", F.transform(statements, lambda s: s.withField("hits", _path_hits(s, F.col("variables"))))
+    with_paths = (
+        parsed.withColumn("known", _known_texts(statements))
+        .withColumn("variables", _variables(statements, F.col("known")))
+        .withColumn("statements", F.transform(statements, lambda s: s.withField("hits", _path_hits(s, F.col("known")))))
     )
     with_access = with_paths.withColumn(
         "statements",
@@ -210,7 +250,7 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
             statements,
             lambda s, i: F.struct(
                 (i + 1).alias("at"),
-                *[s[c].alias(c) for c in ("line", "target", "root", "names", "methods")],
+                *[s[c].alias(c) for c in ("line", "target", "root_at", "used", "before", "methods")],
                 _read(s, all_sql_tables).cast(ACCESS).alias("read"),
                 _write(s).cast(ACCESS).alias("write"),
             ),
@@ -238,7 +278,7 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
             f["line"].alias("line"),
             f["target"].alias("target"),
             F.array_sort(f["sources"]).alias("sources"),
-            _ops(F.slice(statements, F.lit(1), f["at"] - 1)).alias("transformations"),
+            F.transform(F.filter("ops", lambda o: o["at"] < f["at"]), lambda o: o["method"]).alias("transformations"),
         ),
     )
     if fallback:
@@ -254,10 +294,12 @@ def script_flows(corpus: DataFrame, all_sql_tables: bool = True, fallback: bool
         linked = F.exists("raw_flows", lambda f: F.size(f["sources"]) > 0)
         flows = F.when(~linked & (F.size("reads") > 0), crossed).otherwise(flows)
     return (
-        with_access.withColumn("raw_flows", _flows(statements))
+        with_access.withColumn("ops", _first_ops(statements))
+        .withColumn("held", _held_sources(statements))
+        .withColumn("raw_flows", _flows(statements, F.col("held")))
         .withColumn("reads", _seen_once(reads))
         .withColumn("writes", _seen_once(writes))
-        .withColumn("transformations", _ops(statements))
+        .withColumn("transformations", F.transform("ops", lambda o: o["method"]))
         .select(
             last_part(F.col("script_path")).alias("script"),
             "script_path",

@@ -75,6 +75,16 @@ def hot_keys(df: DataFrame, key: str) -> list[tuple]:
     return sorted(hot, key=repr)
 
 
+def hot_among(counted: DataFrame, key: str, count: str) -> list[tuple]:
+    """As ``hot_keys``, from a table that holds each key once with its number of rows. Runs two small jobs."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    share = max(LEAST_SHARE, HOT / tasks(counted))
+    lane_rows = max(1.0, total / (2 * LANES * tasks(counted)))
+    # at most 1 / share of them
+    found = counted.filter(F.col(key).isNotNull() & (F.col(count) > share * total)).select(key, count).collect()
+    return sorted(((r[key], math.ceil(r[count] / lane_rows)) for r in found), key=repr)
+
+
 def _dealt(df: DataFrame, other: DataFrame, key: str, hot: list[tuple], salt: str, missing: bool) -> tuple[DataFrame, DataFrame]:
     """``df`` with a lane for each row of a hot key (and each row without key), ``other`` copied once per lane."""
     kind = T.StructType([df.schema[key], T.StructField("_lanes", T.IntegerType())])
@@ -99,13 +109,14 @@ def skew_join(
     how: str = "inner",
     both: bool = False,
     left_keys: DataFrame | None = None,
+    hot_left: list[tuple] | None = None,
 ) -> DataFrame:
     """Join on ``key`` with the hot keys of the left side dealt over lanes. Starts a job to find them.
 
     ``how`` is inner, left, left_semi or left_anti. ``both`` also deals out the hot keys of the right side (inner only). A
     stored right side whose measured bytes fit is broadcast, which needs no shuffle of the left side at all and no
     job. ``left_keys`` is a cheaper input with the same ``key`` to look for hot keys in, when ``left`` itself is
-    costly to compute twice.
+    costly to compute twice; ``hot_left`` are the hot keys of the left side where they are known (see ``hot_among``).
     """
     if isinstance(right, Stored):
         if right.small and not both:
@@ -115,7 +126,8 @@ def skew_join(
         raise ValueError("only an inner join can salt both sides")
 
     missing = how in ("left", "left_anti")  # rows without key stay, and must not meet in one task
-    hot_left = hot_keys(left if left_keys is None else left_keys, key)
+    if hot_left is None:
+        hot_left = hot_keys(left if left_keys is None else left_keys, key)
     hot_right = hot_keys(right, key) if both else []
     on = [key]
     if hot_left or missing:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siltworks.operators.skew import tasks
 from siltworks.samples.views import load
 
 SCRIPTS = [
@@ -72,7 +73,8 @@ def script_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """One script per part."""
     k = F.col("p_partkey")
     stage = F.when(k % 3 == 0, "bronze_to_silver").when(k % 3 == 1, "ingesta").otherwise("other")
-    return load(spark, sf, "part").select(
+    # the table is one split: spread its keys, before they become texts
+    return load(spark, sf, "part").select("p_partkey").repartition(tasks(load(spark, sf, "part"))).select(
         F.concat(F.lit("/etl/"), stage, F.lit("/job_"), k, F.lit(".py")).alias("script_path"),
         _fill(SCRIPTS, k, {"#K": k, "#M": k % 50}).alias("source"),
     )

@@ -6,9 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 # A stored table up to this many (uncompressed) bytes may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -62,32 +62,53 @@ class Stored:
     df: DataFrame
     rows: int
     bytes: int
+    widths: dict[str, int] = field(default_factory=dict)
 
     @property
     def small(self) -> bool:
         return self.bytes <= BROADCAST_BYTES
 
-
-def _width(field: T.StructField):
-    """Bytes one value takes in memory: measured for text, fixed for scalars, via JSON for nested."""
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + F.lit(16)
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0))
+    def select(self, *columns: str) -> Stored:
+        """Some of the columns, with the bytes that were measured for them."""
+        widths = {c: self.widths[c] for c in columns}
+        return Stored(self.df.select(*columns), self.rows, sum(widths.values()), widths)
+
+    def renamed(self, names: dict[str, str]) -> Stored:
+        """The same rows under other column names."""
+        widths = {names.get(c, c): w for c, w in self.widths.items()}
+        return Stored(self.df.withColumnsRenamed(names), self.rows, self.bytes, widths)
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes one value takes in memory: measured for text, fixed for other scalars, the sum of the parts for the rest."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(value), T.ArrayType(kind.keyType)) + _width(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            each = F.aggregate(value, F.lit(0).cast("bigint"), lambda n, x: n + _width(x, inner))
+        else:
+            each = F.size(value) * 16
+        return F.coalesce(F.when(value.isNotNull(), each), F.lit(0)) + F.lit(16)
     return F.lit(16)
 
 
 def cut(df: DataFrame, label: str) -> Stored:
     """Write ``df`` once to the shared folder and go on from the written table."""
     seen = Observation(f"cut-{uuid.uuid4().hex}")
-    width = F.lit(0)
-    for field in df.schema.fields:
-        width = width + _width(field)
     path = scratch_path(df.sparkSession, label)
-    df.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("bytes"),
-    ).write.parquet(path)
+    # columns of fixed width follow from the row count
+    measured = {
+        f"w{k}": _width(F.col(f"`{f.name}`"), f.dataType)
+        for k, f in enumerate(df.schema.fields)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType))
+    }
+    sums = [F.coalesce(F.sum(w.cast("bigint")), F.lit(0)).alias(k) for k, w in measured.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums).write.parquet(path)
     counts = seen.get
-    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), counts["rows"], counts["bytes"])
+    widths = {f.name: counts.get(f"w{k}", 16 * counts["rows"]) for k, f in enumerate(df.schema.fields)}
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), counts["rows"], sum(widths.values()), widths)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from siltworks.operators.jobs import job_defs
@@ -218,3 +220,31 @@ with DAG(
     assert [tuple(d) for d in good["dependencies"]] == [("one >> two", "[three, four]"), ("one", "two")]
     assert good["scripts"] == ["/opt/airflow/scripts/in/one.py", "scripts/in/one.py", "scripts/two.py"]
     assert bad["error"] and bad["scripts"] == [] and bad["dag_id"] is None
+
+
+def test_long_script_takes_work_in_proportion(spark):
+    """Thousands of assignments, each of which follows the one before, with a write every few lines."""
+
+    def script(n):
+        lines = ['base = "s3a://bronze/zone"', 'd0 = spark.read.parquet(base + "/t0")']
+        for k in range(1, n):
+            lines.append(f'p{k} = base + "/t{k % 40}"')
+            lines.append(f"d{k} = d{k - 1}.filter('x > {k}')" if k % 50 else f"d{k} = spark.read.parquet(p{k}).join(d{k - 1}, 'id')")
+            if k % 25 == 0:
+                lines.append(f'd{k}.write.parquet("s3a://silver/zone/r{k}")')
+        return "\n".join(lines)
+
+    def seconds(n):
+        frame = spark.createDataFrame([("/etl/long.py", script(n))], "script_path string, source string")
+        start = time.perf_counter()
+        row = script_flows(frame).first()
+        return time.perf_counter() - start, row
+
+    _, small = seconds(200)
+    took, row = seconds(5000)  # 10,000 statements
+    assert len(row.flows) == 199 and len(small.flows) == 7
+    assert row.flows[0].sources == ["s3a://bronze/zone/t0"] and row.flows[0].transformations == ["filter"]
+    assert row.flows[1].sources == ["s3a://bronze/zone/t10"] and row.flows[1].transformations == ["filter", "join"]
+    assert row.variables["p4999"] == "s3a://bronze/zone/t39" and len(row.variables) == 5000
+    assert took < 20, took
+    print("seconds", took)
