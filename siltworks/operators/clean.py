@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions.columns import conform, rounded, stamped
 from siltworks.functions.text import full_name
-from siltworks.operators.skew import lookup, skew_join
+from siltworks.operators.skew import hot_lookup, lookup, skew_join
+from siltworks.sources.scratch import cut
 
 STAMP = "_silver_at"
 
@@ -116,10 +117,12 @@ def silver_products(product: DataFrame, subcategory: DataFrame, category: DataFr
     """Products with subcategory and category names.
 
     The two small tables are joined first, so products meet one dimension instead of two; a
-    product whose subcategory is missing has no category either.
+    product whose subcategory is missing has no category either. The dimension is stored and measured; a subcategory with
+    a large part of all products meets a broadcast of its own row. Starts a job.
     """
     kinds = lookup(conform(subcategory, SUBCATEGORIES), conform(category, CATEGORIES), "category_id")
-    named = lookup(conform(product, PRODUCTS), kinds.drop("category_id"), "subcategory_id").drop("subcategory_id")
+    kinds = cut(kinds.drop("category_id"), "product-kinds")
+    named = hot_lookup(conform(product, PRODUCTS), kinds, "subcategory_id").drop("subcategory_id")
     return stamped(rounded(named, 2, "standard_cost", "list_price"), STAMP)
 
 

@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from siltworks.sources.scratch import Stored
+from siltworks.sources.scratch import Stored, cut
 
 # Lanes per task: with one lane per task, hashing would put several lanes of a hot key together.
 LANES = 8
@@ -57,6 +57,35 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     )
 
 
+def hot_lookup(facts: DataFrame, dimension: Stored, key: str) -> DataFrame:
+    """Left join on ``key`` to a measured dimension; a hot key of the facts costs no task more than others.
+
+    A dimension that fits is broadcast. Otherwise the dimension rows of just the hot keys are (they are few; should a hot
+    key itself have many, the salted join takes over), and only facts of other keys are shuffled to meet the rest.
+    Facts of hot keys and without key are spread. Looks for hot keys in one narrow job, if the dimension is large.
+    """
+    if dimension.small:
+        return facts.join(F.broadcast(dimension.df), key, "left")
+    hot = hot_keys(facts.select(key), key)
+    if not hot:
+        return lookup(facts, dimension.df, key)
+    kind = T.StructType([facts.schema[key]])
+    keys = F.broadcast(facts.sparkSession.createDataFrame([(k,) for k, _ in hot], kind))  # bounded as in hot_keys
+    near = cut(dimension.df.join(keys, key, "left_semi"), "hot-dimension")
+    if not near.small:
+        return skew_join(facts, dimension.df, key, "left", hot_left=hot)
+    others = [c for c in dimension.df.columns if c != key]
+    held = near.df.select(F.col(key).alias("_key"), F.struct(*others).alias("_near"))
+    known = keys.withColumnRenamed(key, "_hot")
+    met = facts.join(F.broadcast(known), facts[key] == F.col("_hot"), "left").join(F.broadcast(held), F.col("_hot") == F.col("_key"), "left")
+    # hot facts go on without a key: they are spread and meet nothing more
+    met = met.withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(key)))
+    far = dimension.df.select(F.col(key).alias("_cold"), F.struct(*others).alias("_far"))
+    met = lookup(met, far, "_cold")
+    found = F.coalesce("_near", "_far")
+    return met.select(*facts.columns, *(found[c].alias(c) for c in others))
+
+
 def hot_keys(df: DataFrame, key: str) -> list[tuple]:
     """(value, lanes) of the keys with more than ``HOT`` of the rows that a task has on average.
 

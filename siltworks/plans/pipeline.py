@@ -50,13 +50,14 @@ COMMENTS = {
 class LakeConfig:
     """Where the lake lives and what feeds it.
 
+    ``sources`` holds (source, target), or (source, target, split) with a ``readers.Split`` that is handed to the reader.
     ``scripts`` and ``jobs`` are folders or corpus tables; without them no lineage is built.
     ``spanish`` writes silver and gold with Spanish table and column names.
     """
 
     root: str
-    reader: Callable[[SparkSession, str], DataFrame]
-    sources: list[tuple[str, str]] = field(default_factory=lambda: [(t, t) for t in RAW])
+    reader: Callable[..., DataFrame]
+    sources: list[tuple] = field(default_factory=lambda: [(t, t) for t in RAW])
     scripts: str | DataFrame | None = None
     jobs: str | DataFrame | None = None
     prefix: str = "aw_"
@@ -84,18 +85,17 @@ def run_layer(
         def build() -> int:
             given = [spark.read.parquet(f"{source}/{named(i)}") for i in inputs]
             given = [names.to_english(df) for df in given] if spanish else given
-            made = operator(*given)
-            return write_layer(names.to_spanish(made) if spanish else made, f"{target}/{named(name)}")
+            with scratch_scope(spark):
+                made = operator(*given)
+                return write_layer(names.to_spanish(made) if spanish else made, f"{target}/{named(name)}")
 
         rows.append((",".join(map(named, inputs)), named(name), *attempt(build)))
     return spark.createDataFrame(rows, STATUS)
 
 
 def save_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
-    """Write both lineage tables and register them."""
-    write_layer(nodes, f"{base}/lineage_metadata")
-    write_layer(edges, f"{base}/lineage_graph_edges")
-    return cat.register_lineage_tables(spark, base)
+    """Publish both lineage tables: a new version of each, seen at once and whole; one status row per table."""
+    return cat.publish_lineage_tables(spark, nodes, edges, base)
 
 
 def run_lineage(
@@ -120,7 +120,7 @@ def _lineage(spark: SparkSession, scripts: DataFrame, jobs: DataFrame, base: str
     tables = cat.scan_catalog(spark, exclude)
     nodes, edges = build_graph(flows, defs, tables)
     save_graph(spark, nodes, edges, base)
-    saved = [spark.read.parquet(f"{base}/{t}") for t in ("lineage_metadata", "lineage_graph_edges")]
+    saved = [spark.table(f"lineage.{t}") for t in ("lineage_metadata", "lineage_graph_edges")]
     return run_summary(flows, defs, tables, *saved)
 
 
@@ -148,7 +148,7 @@ def run_pipeline(spark: SparkSession, config: LakeConfig) -> DataFrame:
 
     report = [
         written("ingest", ingest(spark, config.sources, config.reader, bronze)),
-        registered("bronze", [target for _, target in config.sources]),
+        registered("bronze", [source[1] for source in config.sources]),
         written("clean", run_layer(spark, SILVER, bronze, silver, config.spanish)),
         registered("silver", named(SILVER)),
         written("marts", run_layer(spark, GOLD, silver, gold, config.spanish)),

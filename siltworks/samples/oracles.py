@@ -367,9 +367,13 @@ SELECT concat('loose_', s_suppkey, '.py') AS script, unnest([concat('s3a://bronz
 
 # ---- what is written and read back -------------------------------------------------------
 
-add("audit_stamps", [], """
-SELECT 'orders' AS table_name, count(*) AS rows, count(*) AS stamped FROM orders
-UNION ALL SELECT 'order_lines', count(*), count(*) FROM lineitem UNION ALL SELECT 'addresses', count(*), count(*) FROM supplier""")
+STAMPED = [f"{layer}_{t}" for layer, tables in (
+    ("silver", ["orders", "order_lines", "customers", "territories", "products", "addresses"]),
+    ("gold", ["sales_by_territory", "sales_by_category", "sales_by_period", "product_ranking"]),
+) for t in tables]
+add("audit_stamps", [], "\nUNION ALL\n".join(
+    f"SELECT '{t.split('_', 1)[1]}' AS table_name, count(*) AS rows, count(*) AS stamped FROM ({ORACLES[t]})" for t in STAMPED))
+add("republished_layer", [], "SELECT p_partkey, upper(p_name) AS p_name FROM part")
 add("catalog_table_read", [], "SELECT p_partkey, p_name FROM part")
 add("catalog_lost_table", [], """
 SELECT 'part' AS table_name, count(*) AS row_count, false AS failed FROM part UNION ALL SELECT 'supplier', NULL, true""")

@@ -20,6 +20,7 @@ from siltworks.sources.sinks import ingest, total_rows, write_layer, write_repor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+QUERIES_RAW: dict[str, Query] = {}  # with audit stamps
 DATABASE = "given"
 
 
@@ -32,6 +33,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def query(f: Query) -> Query:
+    QUERIES_RAW[f.__name__] = f
     QUERIES[f.__name__] = lambda spark, sf: plain(f(spark, sf))
     return f
 
@@ -174,16 +176,28 @@ def catalog_lost_table(spark, sf):
 
 @query
 def audit_stamps(spark, sf):
-    """Rows and stamped rows of every conformed table."""
-    made = {
-        "orders": clean.silver_orders(load(spark, sf, "raw_order_header")),
-        "order_lines": clean.silver_order_lines(load(spark, sf, "raw_order_detail")),
-        "addresses": clean.silver_addresses(load(spark, sf, "raw_address")),
-    }
-    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count(clean.STAMP).alias("stamped")) for name, df in made.items()]
+    """Rows and stamped rows of every conformed table and mart."""
+    marts_of = {n: (QUERIES_RAW[f"gold_{n}"], marts.STAMP) for n in ("sales_by_territory", "sales_by_category", "sales_by_period", "product_ranking")}
+    tables = {n: (QUERIES_RAW[f"silver_{n}"], clean.STAMP) for n in ("orders", "order_lines", "customers", "territories", "products", "addresses")}
+    counts = [
+        make(spark, sf).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count(stamp).alias("stamped"))
+        for name, (make, stamp) in (tables | marts_of).items()
+    ]
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def republished_layer(spark, sf):
+    """A layer that was published twice, read through the catalog: the second version only."""
+    base = scratch_path(spark, "published")
+    cat.create_layer(spark, "published")
+    spark.sql("DROP TABLE IF EXISTS published.part")
+    parts = load(spark, sf, "part").select("p_partkey", "p_name")
+    cat.publish(spark, "published", "part", parts, f"{base}/part")
+    cat.publish(spark, "published", "part", read_table(spark, "published.part").withColumn("p_name", F.upper("p_name")), f"{base}/part")
+    return read_table(spark, "published.part")
+
+
 @query
 def catalog_nodes(spark, sf):
     nodes = graph.catalog_nodes(_catalog(spark, sf))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from siltworks.sources.sinks import attempt
+from siltworks.sources.sinks import attempt, remove, write_new
 
 REGISTERED = "`table` string, rows bigint, error string"
 CATALOG = """database string, `table` string, full_name string, columns array<struct<name:string,type:string>>,
 location string, format string, layer string, error string"""
 COUNTED_AT_ONCE = 100
+VERSIONS = "published.versions"
 
 # The comment of the lineage layer, and the column lists of its two tables.
 LINEAGE_COMMENT = "Capa Lineage"
@@ -40,8 +42,53 @@ def register_table(spark: SparkSession, db: str, table: str, path: str, schema:
     spark.catalog.createTable(_quoted(db, table), path=path, source="parquet", schema=schema)
 
 
+def publish(spark: SparkSession, db: str, table: str, df: DataFrame, base: str, keep: int = 2) -> int:
+    """Write ``df`` as a new version below ``base`` and switch the catalog table to it; returns the number of rows.
+
+    Readers see the rows of before or all new ones: the version is written completely before the table's location changes,
+    and a failed write leaves the table as it is. The last ``keep`` versions stay, for readers that have begun.
+    """
+    base, name = base.rstrip("/"), _quoted(db, table)
+    path = f"{base}/version-{uuid.uuid4().hex}"
+    rows = write_new(df, path)
+    there = spark.catalog.tableExists(name)
+    known = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == VERSIONS).first() if there else None
+    versions = json.loads(known["value"]) if known else []
+    if there and spark.table(name).schema.simpleString() == df.schema.simpleString():
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        register_table(spark, db, table, path, df.schema)
+    left = [*versions, path][-keep:]
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{VERSIONS}' = '{json.dumps(left)}')")
+    for old in versions:
+        if old not in left:
+            remove(spark, old)
+    return rows
+
+
+def _place(path: Column) -> Column:
+    """A path without scheme and slashes at its end, to compare what the catalog and the file source call a folder."""
+    return F.regexp_replace(F.regexp_replace(path, "^[a-zA-Z0-9]+:/+", "/"), "/+$", "")
+
+
+def count_files(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Rows below each path, all in one job whatever their columns: no column is read, tasks take the counts from footers.
+
+    A path that holds no file is not listed. Folders of partitions (``name=value``) belong to the path above them.
+    """
+    # an empty schema: nothing is inferred on the driver and nothing but footers is read
+    found = spark.read.schema(T.StructType([])).option("recursiveFileLookup", "true").parquet(*paths)
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(F.regexp_replace(file, "/[^/]*$", ""), "(/[^/=]+=[^/]*)+$", "")
+    counted = found.select(F.explode(F.array(_place(file), _place(folder))).alias("place")).groupBy("place").count()
+    wanted = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("place", _place(F.col("path")))
+    # one row per path: the catalog's tables
+    return {r.path: r["count"] for r in counted.join(F.broadcast(wanted), "place").collect()}
+
+
 def count_tables(spark: SparkSession, names: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
-    """Row counts, many tables per job; Parquet answers from file footers."""
+    """Row counts of tables of any format, many tables per job."""
     counts = {}
     for start in range(0, len(names), COUNTED_AT_ONCE):
         union = None
@@ -53,12 +100,25 @@ def count_tables(spark: SparkSession, names: list[tuple[str, str]]) -> dict[tupl
     return counts
 
 
-def count_each(spark: SparkSession, names: list[tuple[str, str]]) -> dict[tuple[str, str], tuple]:
-    """(rows, error) per table: all in shared jobs, one by one only when a shared job fails."""
+def count_each(
+    spark: SparkSession, names: list[tuple[str, str]], parquet: dict[tuple[str, str], str] | None = None
+) -> dict[tuple[str, str], tuple]:
+    """(rows, error) per table: all in shared jobs, one by one only when a shared job fails.
+
+    ``parquet`` gives the locations of Parquet tables; all of these are counted in one job from their footers.
+    """
+    found: dict[tuple[str, str], tuple] = {}
+    if parquet:
+        try:
+            counts = count_files(spark, sorted(set(parquet.values())))
+            found = {name: (counts[path], None) for name, path in parquet.items() if path in counts}
+        except Exception:
+            found = {}  # some location cannot be read; the tables are counted below
+    left = [name for name in names if name not in found]
     try:
-        return {name: (n, None) for name, n in count_tables(spark, names).items()}
+        return found | {name: (n, None) for name, n in count_tables(spark, left).items()}
     except Exception:
-        return {name: attempt(lambda: count_tables(spark, [name])[name]) for name in names}
+        return found | {name: attempt(lambda: count_tables(spark, [name])[name]) for name in left}
 
 
 def _register(spark: SparkSession, db: str, tables: dict[str, tuple[str, T.StructType | None]]) -> DataFrame:
@@ -71,7 +131,8 @@ def _register(spark: SparkSession, db: str, tables: dict[str, tuple[str, T.Struc
             return 0
 
         errors[name] = attempt(add)[1]
-    counts = count_each(spark, [(db, n) for n, e in errors.items() if e is None])
+    good = [n for n, e in errors.items() if e is None]
+    counts = count_each(spark, [(db, n) for n in good], {(db, n): tables[n][0] for n in good})
     rows = [(n, *(counts[(db, n)] if e is None else (None, e))) for n, e in errors.items()]
     return spark.createDataFrame(rows, REGISTERED)
 
@@ -90,6 +151,16 @@ def register_lineage_tables(spark: SparkSession, base: str, db: str = "lineage")
     return _register(spark, db, fixed)
 
 
+def publish_lineage_tables(spark: SparkSession, nodes: DataFrame, edges: DataFrame, base: str, db: str = "lineage") -> DataFrame:
+    """Publish the node and edge tables with their fixed columns; one status row per table."""
+    create_layer(spark, db, LINEAGE_COMMENT)
+    rows = []
+    for (table, columns), df in zip(LINEAGE_TABLES.items(), (nodes, edges), strict=True):
+        fixed = df.select([F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(columns).fields])
+        rows.append((table, *attempt(lambda: publish(spark, db, table, fixed, f"{base.rstrip('/')}/{table}"))))
+    return spark.createDataFrame(rows, REGISTERED)
+
+
 def list_databases(spark: SparkSession, exclude: tuple[str, ...] = ("default", "information_schema")) -> list[str]:
     return [d.name for d in spark.catalog.listDatabases() if d.name not in exclude]
 
@@ -134,6 +205,7 @@ def scan_catalog(spark: SparkSession, exclude: tuple[str, ...] = ("default", "in
             except Exception as e:
                 error = str(e)
             rows.append((db, table, f"{db}.{table}", columns, location, kind, db, error))
-    counts = count_each(spark, [(r[0], r[1]) for r in rows if r[-1] is None])
+    good = [r for r in rows if r[-1] is None]
+    counts = count_each(spark, [(r[0], r[1]) for r in good], {(r[0], r[1]): r[4] for r in good if r[5] == "parquet" and r[4]})
     full = [(*r[:-1], r[-1] or counts[(r[0], r[1])][1], counts.get((r[0], r[1]), (None, None))[0]) for r in rows]
     return spark.createDataFrame(full, f"{CATALOG}, row_count bigint")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions.text import last_part
@@ -30,9 +33,53 @@ def jdbc_options(
     return options
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """One source table over JDBC; user, password and driver come in as options."""
-    return spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
+@dataclass(frozen=True)
+class Split:
+    """How a source table is read in parts: by ranges of ``column`` between ``cuts``, in order."""
+
+    column: str
+    cuts: tuple[int | str, ...] = ()
+
+    def predicates(self) -> list[str]:
+        """One condition per part; every row meets exactly one, those without a value the first."""
+
+        def text(value: int | str) -> str:
+            return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+        c, cuts = self.column, [text(v) for v in self.cuts]
+        if not cuts:
+            return ["1 = 1"]
+        middle = [f"{c} >= {a} AND {c} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [f"{c} < {cuts[0]} OR {c} IS NULL", *middle, f"{c} >= {cuts[-1]}"]
+
+
+def plan_split(probe: Callable[[str], Sequence], table: str, column: str, rows_per_part: int = 1_000_000, buckets: int = 1000) -> Split:
+    """Cut points of ``column`` that give parts of about ``rows_per_part`` rows.
+
+    ``probe`` runs a query at the source and returns its rows; it is asked for the range of an integer column, then for a
+    histogram of ``buckets`` equal ranges, so that gaps and dense stretches get parts of their own. At most ``buckets``
+    rows come back, at any size of the table. A single value is never parted.
+    """
+    ((low, high, rows),) = probe(f"SELECT MIN({column}), MAX({column}), COUNT(*) FROM {table}")
+    if low is None or rows <= rows_per_part:
+        return Split(column)
+    width = max(1, -(-(high - low + 1) // buckets))
+    bucket = f"({column} - ({low}) - ({column} - ({low})) % {width}) / {width}"  # whole-number division in every dialect
+    found = probe(f"SELECT {bucket} AS b, COUNT(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY {bucket}")
+    cuts, held = [], 0
+    for b, n in sorted((int(b), n) for b, n in found):
+        if held and held + n > rows_per_part:
+            cuts.append(low + b * width)
+            held = 0
+        held += n
+    return Split(column, tuple(cuts))
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, split: Split | None = None, **options) -> DataFrame:
+    """One source table over JDBC, in the parts of ``split``; user, password and driver come in as options."""
+    if split is None:
+        return spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
+    return spark.read.jdbc(url, table, predicates=split.predicates(), properties=options)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -11,13 +11,55 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 STATUS = "source string, target string, rows bigint, error string"
 
 
-def write_layer(df: DataFrame, path: str) -> int:
-    """Overwrite a Parquet directory; the row count is observed while writing."""
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path under any scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def write_new(df: DataFrame, path: str) -> int:
+    """Write a new Parquet directory; the row count is observed while writing. What a failed write left is removed."""
     seen = Observation(f"rows-{uuid.uuid4().hex}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    except Exception:
+        remove(df.sparkSession, path)
+        raise
     return seen.get["rows"]
 
 
+def write_layer(df: DataFrame, path: str) -> int:
+    """Replace a Parquet directory; returns the number of rows.
+
+    The rows are written beside the old directory and take its place only when all of them are there, so that a failed
+    write loses nothing and a layer can be made from itself. Readers that must not see the moment of the change go
+    through a catalog table (``catalog.publish``).
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    # names that Spark's file sources do not list
+    folder, name = path.rpartition("/")[::2]
+    new, old = (f"{folder}/_{name}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    rows = write_new(df, new)
+    (files, at), was = _files(spark, path), _files(spark, old)[1]
+    there = files.exists(at)
+    if there and not files.rename(at, was):
+        remove(spark, new)
+        raise OSError(f"cannot set {path} aside")
+    if not files.rename(_files(spark, new)[1], at):
+        if there:
+            files.rename(was, at)
+        raise OSError(f"cannot move the new rows to {path}")
+    if there:
+        remove(spark, old)
+    return rows
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Write a small result (scores, totals) as JSON lines."""
     df.write.mode("overwrite").json(path)
@@ -33,20 +75,22 @@ def attempt(action: Callable[[], int]) -> tuple[int | None, str | None]:
 
 def ingest(
     spark: SparkSession,
-    tables: list[tuple[str, str]],
-    reader: Callable[[SparkSession, str], DataFrame],
+    tables: list[tuple],
+    reader: Callable[..., DataFrame],
     out: str,
     at_once: int = 4,
 ) -> DataFrame:
     """Copy source tables to ``out/<target>``; one status row per table.
 
+    ``tables`` holds (source, target) or (source, target, split); a split (``readers.Split``) is handed to the reader.
+
     Tables are independent Spark jobs, ``at_once`` of them submitted together so that the tail of
     one table does not leave the cluster idle. Error texts are whole; ``shortened`` cuts them for display.
     """
 
-    def copy(pair: tuple[str, str]):
-        source, target = pair
-        rows, error = attempt(lambda: write_layer(reader(spark, source), f"{out.rstrip('/')}/{target}"))
+    def copy(table: tuple):
+        source, target, *split = table
+        rows, error = attempt(lambda: write_layer(reader(spark, source, *split), f"{out.rstrip('/')}/{target}"))
         return source, target, rows, error
 
     with ThreadPoolExecutor(at_once) as pool:

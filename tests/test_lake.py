@@ -1,6 +1,7 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from siltworks.operators.scan import script_flows
 from siltworks.plans import pipeline
 from siltworks.samples.views import load
 from siltworks.sources import catalog as cat
-from siltworks.sources.readers import jdbc_options, read_jobs, read_scripts
+from siltworks.sources.readers import Split, jdbc_options, plan_split, read_jobs, read_scripts
 from siltworks.sources.scratch import cut, scratch_scope, shared_folder
 from siltworks.sources.sinks import ingest, shortened, total_rows, write_layer, write_report
 
@@ -247,3 +248,69 @@ def test_a_failed_lineage_step_keeps_the_report(spark, tmp_path):
     report = pipeline.run_pipeline(spark, config).collect()
     assert [r["rows"] for r in report if r["step"] == "ingest"] == [1]
     assert [r["table"] for r in report if r["step"] == "lineage"] == [None] and report[-1]["error"]
+
+
+@pytest.fixture
+def failing(spark):
+    """Rows whose last one cannot be made."""
+    return spark.range(0, 1000, 1, 4).select(F.when(F.col("id") < 999, F.col("id")).otherwise(F.raise_error(F.lit("made to fail")).cast("bigint")).alias("id"))
+
+
+def test_failed_write_keeps_the_old_rows(spark, tmp_path, failing):
+    path = str(tmp_path / "layer")
+    assert write_layer(spark.range(5), path) == 5
+    with pytest.raises(Exception, match="made to fail"):
+        write_layer(failing, path)
+    assert spark.read.parquet(path).count() == 5
+    assert write_layer(spark.read.parquet(path).union(spark.range(2)), path) == 7  # from itself
+    assert spark.read.parquet(path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["layer"]
+
+
+def test_published_versions(spark, tmp_path, failing):
+    cat.create_layer(spark, "versions")
+    base = str(tmp_path / "a b" / "t")
+    assert cat.publish(spark, "versions", "t", spark.range(3), base) == 3
+    begun = spark.table("versions.t")
+    assert cat.publish(spark, "versions", "t", begun.union(spark.range(10)), base) == 13
+    assert (begun.count(), spark.table("versions.t").count()) == (3, 13)  # a reader that has begun goes on
+    with pytest.raises(Exception, match="made to fail"):
+        cat.publish(spark, "versions", "t", failing, base)
+    assert spark.table("versions.t").count() == 13
+    cat.publish(spark, "versions", "t", spark.range(2).withColumn("more", F.lit("x")), base)
+    assert spark.table("versions.t").columns == ["id", "more"] and spark.table("versions.t").count() == 2
+    assert len(list((tmp_path / "a b" / "t").iterdir())) == 2
+
+
+def test_counts_of_many_tables_in_one_job(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "plain+x"))
+    spark.range(9).withColumn("p", F.col("id") % 3).write.partitionBy("p").parquet(str(tmp_path / "parted y"))
+    spark.range(0).write.parquet(str(tmp_path / "empty"))
+    paths = [f"file:{tmp_path}/plain+x", f"{tmp_path}/parted y/", f"file://{tmp_path}/empty"]
+    assert cat.count_files(spark, paths) == {paths[0]: 7, paths[1]: 9}
+
+
+@pytest.mark.parametrize("per_part", [100, 5000, 10**9])
+def test_planned_split_gives_every_row_once(per_part):
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t AS SELECT CASE WHEN i % 50 = 0 THEN NULL WHEN i % 3 = 0 THEN 7 ELSE i * i - 90 END AS k FROM range(20000) r(i)")
+    split = plan_split(lambda q: duck.sql(q).fetchall(), "t", "k", per_part)
+    sizes = [duck.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in split.predicates()]
+    assert sum(sizes) == 20000
+    heavy = duck.sql("SELECT max(n) FROM (SELECT count(*) n FROM t GROUP BY k)").fetchall()[0][0]
+    assert max(sizes) <= max(2 * per_part, 2 * heavy)
+    assert (len(sizes) == 1) == (per_part == 10**9)
+
+
+def test_split_reaches_the_reader(spark, tmp_path):
+    seen = []
+
+    def reader(session, table, split=None):
+        seen.append((table, split))
+        return session.range(3)
+
+    split = Split("id", (10, 20))
+    assert [r.rows for r in ingest(spark, [("a", "a"), ("b", "b", split)], reader, str(tmp_path)).collect()] == [3, 3]
+    assert sorted(seen, key=str) == [("a", None), ("b", split)]
+    assert split.predicates() == ["id < 10 OR id IS NULL", "id >= 10 AND id < 20", "id >= 20"]
+    assert Split("d", ("o'x",)).predicates() == ["d < 'o''x' OR d IS NULL", "d >= 'o''x'"]

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators.skew import hot_keys, lookup, skew_join
+from siltworks.operators.skew import hot_keys, hot_lookup, lookup, skew_join
+from siltworks.sources import scratch
 from siltworks.sources.scratch import cut
 
 
@@ -93,3 +94,20 @@ def test_lanes_follow_the_count(spark, shuffled):
     df = spark.range(8000).select(F.when(n % 2 == 0, "half").when(n % 8 == 1, "eighth").otherwise(n.cast("string")).alias("key"))
     lanes = dict(hot_keys(df, "key"))
     assert lanes["half"] == 32 and "7" not in lanes and lanes.get("eighth", 8) == 8
+
+
+def test_hot_lookup_meets_a_broadcast_of_hot_rows_only(spark, rows, shuffled, monkeypatch):
+    """A third of the facts has one key, and the dimension is too large to broadcast."""
+    facts = spark.range(0, 6000, 1, 6).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.col("id") % 900).cast("bigint").alias("k"))
+    dimension = spark.range(800).select(F.col("id").alias("k"), F.concat(F.lit("name "), "id").alias("name")).union(spark.createDataFrame([(7, "again")], "k bigint, name string"))
+    stored = cut(dimension, "dimension")
+    want = rows(facts.join(dimension, "k", "left").select("id", "k", "name"))
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 200)
+    got = hot_lookup(facts, stored, "k")
+    assert rows(got, "id", "k", "name") == want
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 6000 / len(sizes) * 1.3
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)  # even the hot rows are too many
+    assert rows(hot_lookup(facts, stored, "k"), "id", "k", "name") == want
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 1 << 20)
+    assert rows(hot_lookup(facts, stored, "k"), "id", "k", "name") == want
