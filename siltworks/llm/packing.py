@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ class WordIds:
     """Token ids of whole texts, remembered by word.
 
     The tokenizer never joins letters over a blank, so the ids of a text are those of its words, one after the other.
-    Only ASCII blanks part words here; any other white space stays inside a word and is left to the library.
+    Only ASCII blanks part words here; any other white space stays inside a word and is left to the library. It lowers
+    letters and parts them from the mark behind them, so that ``Word,`` is looked up as ``word`` and ``,``.
     """
 
     def __init__(self, path: str):
@@ -49,39 +51,53 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
+        self.cores: dict[str, int] = {"": 0}
         self.at: dict[str, int] = {"": 0}
-        self.flat = [np.zeros(0, dtype=np.uint32)]
-        self.sizes = [0]
+        self.two = [np.zeros((1, 2), dtype=np.int32)]  # by word: its core and its mark
+        self.flat = [np.zeros(0, dtype=np.uint32)]  # ids of the cores
+        self.sizes = [np.zeros(1, dtype=np.int64)]
         self.held = 0
         self.table: tuple | None = None
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
-        self.at.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.sizes.extend(map(len, found))
-        self.flat.append(np.fromiter((i for ids in found for i in ids), dtype=np.uint32))
-        self.held += sum(map(len, words))
-        self.table = None
-
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.at)
         if new and self.held > SEEN:
             self.forget()
             new = words.difference(self.at)
-        if new:
-            self._learn(sorted(new))
+        if not new:
+            return
+        parts = [core_and_mark(w) for w in new]
+        cores = sorted(set(chain.from_iterable(parts)).difference(self.cores))
+        found = [e.ids for e in self.library.encode_batch_fast(cores, add_special_tokens=False)]
+        self.cores.update(zip(cores, range(len(self.cores), len(self.cores) + len(cores)), strict=True))
+        self.sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        self.flat.append(np.array(list(chain.from_iterable(found)), dtype=np.uint32))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        numbers = np.fromiter(map(self.cores.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=2 * len(parts))
+        self.two.append(numbers.reshape(-1, 2))
+        self.held += sum(map(len, new))
+        self.table = None
 
     def ids(self, words: list[str]) -> np.ndarray:
-        """Ids of words that are all known."""
+        try:
+            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        except KeyError:  # not seen yet, or forgotten
+            self.learn(set(words))
+            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
         if self.table is None:
-            self.flat = [np.concatenate(self.flat)]
-            sizes = np.array(self.sizes, dtype=np.int64)
-            self.table = sizes, np.cumsum(sizes) - sizes
-        sizes, starts = self.table
-        at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        each = sizes[at]
-        shift = starts[at] - (np.cumsum(each) - each)
-        return self.flat[0][np.repeat(shift, each) + np.arange(each.sum())]
+            self.two, self.flat, self.sizes = ([np.concatenate(x)] for x in (self.two, self.flat, self.sizes))
+            self.table = self.two[0], self.flat[0], self.sizes[0], np.cumsum(self.sizes[0]) - self.sizes[0]
+        two, flat, sizes, starts = self.table
+        parts = two[at].ravel()
+        each = sizes[parts]
+        shift = starts[parts] - (np.cumsum(each) - each)
+        return flat[np.repeat(shift, each) + np.arange(each.sum())]
+
+
+def core_and_mark(word: str) -> tuple[str, str]:
+    """Two parts that the tokenizer keeps apart: ASCII letters, lowered, and one mark behind them. Else the word as it is."""
+    core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+    return (core.lower(), mark) if core.isascii() and core.isalpha() else (word, "")
 
 
 def words(text: str) -> Iterator[list[str]]:
@@ -108,7 +124,6 @@ def encode(known: WordIds, batch: list[str]) -> Iterator[np.ndarray]:
     for text, parts in zip(batch, short, strict=True):
         found = []
         for some in [parts] if parts is not None else words(text):
-            known.learn(set(some))
             found.append(known.ids(some))
         yield np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
 
