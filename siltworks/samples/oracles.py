@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siltworks.samples.frames import JOBS as JOB_TEXTS, LOOSE
 from siltworks.samples.views import TABLES, with_views
 
 ORACLES: dict[str, str] = {}
@@ -367,6 +368,27 @@ SELECT concat('loose_', s_suppkey, '.py') AS script, unnest([concat('s3a://bronz
 
 # ---- what is written and read back -------------------------------------------------------
 
+
+def filled(text: str, values: dict[str, str]) -> str:
+    """A template of the corpora as SQL text with its tokens replaced."""
+    out = "'" + text.replace("'", "''") + "'"
+    for token, value in values.items():
+        out = f"replace({out}, '{token}', CAST({value} AS VARCHAR))"
+    return out
+
+
+LOOSE_TEXT = filled(LOOSE, {"#K": "s_suppkey", "#M": "s_suppkey % 7"})
+add("script_files", [], f"""
+SELECT concat('/etl/loose_', s_suppkey, '.py') AS path, CAST(length(t) AS INT) AS chars, md5(t) AS digest
+FROM (SELECT s_suppkey, {LOOSE_TEXT} AS t FROM supplier)""")
+JOB_TEXT = "CASE s_suppkey % 4 " + " ".join(
+    f"WHEN {v} THEN " + filled(text, {"#K": "s_suppkey", "#M": "s_suppkey % 7", "#H": "s_suppkey % 24", "#T": "s_suppkey % 3"})
+    for v, text in enumerate(JOB_TEXTS)
+) + " END"
+add("job_files", [], f"""
+SELECT concat('/dags/', CASE WHEN s_suppkey % 2 = 0 THEN 'silver_to_gold' ELSE 'other' END, '/dag_', s_suppkey, '.py') AS path,
+  CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM (SELECT s_suppkey, {JOB_TEXT} AS t FROM supplier)""")
+
 STAMPED = [f"{layer}_{t}" for layer, tables in (
     ("silver", ["orders", "order_lines", "customers", "territories", "products", "addresses"]),
     ("gold", ["sales_by_territory", "sales_by_category", "sales_by_period", "product_ranking"]),

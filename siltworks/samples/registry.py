@@ -14,9 +14,9 @@ from siltworks.plans.pipeline import save_graph
 from siltworks.samples.frames import job_corpus, job_records, loose_scripts, scan_records, script_corpus
 from siltworks.samples.views import TABLES, load
 from siltworks.sources import catalog as cat
-from siltworks.sources.readers import read_parquet, read_table
+from siltworks.sources.readers import read_jobs, read_parquet, read_scripts, read_table
 from siltworks.sources.scratch import cut, scratch_path
-from siltworks.sources.sinks import ingest, total_rows, write_layer, write_report
+from siltworks.sources.sinks import ingest, total_rows, write_corpus, write_layer, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,6 +482,24 @@ def script_transforms(spark, sf):
     return _scripts(spark, sf).select("script", F.explode("transformations").alias("transform"))
 
 
+def _read_back(corpus: DataFrame, column: str, read: Callable) -> DataFrame:
+    """A corpus written to one file per text and read again: path below the folder, length and digest of each."""
+    root = scratch_path(corpus.sparkSession, "corpus")
+    write_corpus(corpus, column, root)
+    path = F.substring_index(F.col(column), root.rsplit("/", 1)[1], -1).alias("path")
+    return read(corpus.sparkSession, root).select(path, F.length("source").alias("chars"), F.md5("source").alias("digest"))
+
+
+@query
+def script_files(spark, sf):
+    return _read_back(loose_scripts(spark, sf), "script_path", read_scripts)
+
+
+@query
+def job_files(spark, sf):
+    return _read_back(job_corpus(spark, sf), "dag_path", read_jobs)
+
+
 @query
 def script_variables(spark, sf):
     return _scripts(spark, sf).select("script", F.explode("variables").alias("name", "value"))

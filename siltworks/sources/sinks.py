@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -60,6 +61,28 @@ def write_layer(df: DataFrame, path: str) -> int:
     return rows
 
 
+def write_corpus(corpus: DataFrame, path_column: str, root: str) -> None:
+    """Write every text of ``corpus(<path_column>, source)`` to a file of its own, at its path below ``root``.
+
+    Tasks write the texts; the driver only renames the files. A text ends with one line break in its file.
+    """
+    spark = corpus.sparkSession
+    root = root.rstrip("/")
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    named = corpus.select(F.regexp_replace(path_column, "^/+", "").alias("at"), F.regexp_replace("source", r"\n\z", "").alias("value"))
+    named.write.partitionBy("at").text(staged)
+    files, top = _files(spark, staged)
+    for folder in files.listStatus(top):
+        name = folder.getPath().getName()
+        if not name.startswith("at="):
+            continue
+        target = _files(spark, f"{root}/{unquote(name[3:])}")[1]
+        files.mkdirs(target.getParent())
+        for written in files.listStatus(folder.getPath()):
+            files.rename(written.getPath(), target)
+    remove(spark, staged)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Write a small result (scores, totals) as JSON lines."""
     df.write.mode("overwrite").json(path)
