@@ -3,8 +3,9 @@
 A node's number is a hash of its id. That no two nodes share one is proved when the store is built; should some do, all
 but the first of them get numbers below zero, which no hash has. Numbering an edge therefore needs no join.
 
-The edges are written once for each end, bucketed by (number of that end, lane). A hop joins a frontier to the bucketed
-copy: only the frontier is shuffled, no edge moves. Ends with more edges than a task should read are found when the store
+The edges are stored once as they come, with their numbers. A frontier that was measured small is broadcast to them. For
+larger ones they are written once more for each end, bucketed by (number of that end, lane), when first needed. A hop joins
+a frontier to the bucketed copy: only the frontier is shuffled, no edge moves. Ends with more edges than a task should read are found when the store
 is built, from exact counts; their edges are dealt over lanes, and a frontier row of such a node is copied per lane.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -45,10 +46,12 @@ def bucketed(df: DataFrame, columns: Sequence[str], buckets: int, label: str) ->
 
 @dataclass(frozen=True)
 class GraphStore:
-    """``names``: (id, node_id, source_edges, target_edges) of every node; ``edges``: by end, the edges bucketed by it."""
+    """``names``: (id, node_id, source_edges, target_edges) of every node; ``plain``: the edges as they came, with numbers;
+    ``edges``: by end, the distinct edges bucketed by it."""
 
     names: Stored
     clashes: Stored | None
+    plain: DataFrame
     buckets: int
     edges: dict[str, DataFrame] = field(default_factory=dict)
     hot: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
@@ -62,15 +65,13 @@ class GraphStore:
         met = skew_join(df, Stored(named, self.clashes.rows, self.clashes.bytes), column, "left")
         return met.withColumn(alias, F.coalesce("_other", number)).drop("_other")
 
-    def add_end(self, edges: DataFrame, near: str) -> None:
-        """Write the distinct ``edges`` bucketed by their end ``near``."""
+    def add_end(self, near: str) -> None:
+        """Write the distinct edges bucketed by their end ``near``."""
         count = f"{NUMBERS[near]}_edges"
         self.hot[near] = hot = hot_among(self.names.df, "id", count)
-        rows = edges.select(EDGE).filter(F.col(near).isNotNull())
+        rows = self.plain.filter(F.col(near).isNotNull())
         if hot:  # many copies of one edge make its ends hot; fold them before they meet
             rows = rows.distinct()
-        for end, number in NUMBERS.items():
-            rows = self.numbered(rows, end, number)
         rows = self._laned(rows, near, NUMBERS[near]).withColumn(
             "lane", F.when(F.col("_lanes").isNotNull(), F.pmod(F.xxhash64(*EDGE), F.col("_lanes"))).otherwise(F.lit(0)).cast("int")
         )
@@ -84,16 +85,20 @@ class GraphStore:
         # bounded as in hot_among
         return rows.join(F.broadcast(rows.sparkSession.createDataFrame(self.hot[near], kind)), number, "left")
 
-    def met(self, at: Stored, near: str, *columns: str) -> DataFrame:
+    def met(self, at: Stored, near: str, *columns: str, once: bool = True) -> DataFrame:
         """Rows of ``at`` (with a node number ``id``) joined to the edges whose ``near`` end that node is.
 
-        A measured small ``at`` is broadcast. Otherwise only ``at`` is shuffled, to the buckets of the edges. A node that is
+        A measured small ``at`` is broadcast. An edge that comes several times counts once, unless ``once`` is off. Otherwise only ``at`` is shuffled, to the buckets of the edges. A node that is
         frequent in ``at`` itself is met apart: the edges of such nodes are few and go to its rows.
         """
         number = NUMBERS[near]
-        edges = self.edges[near].select(F.col(number).alias("id"), "lane", *columns)
         if at.small:
-            return edges.drop("lane").join(F.broadcast(at.df), "id")
+            edges = self.edges.get(near, self.plain).select(F.col(number).alias("id"), *columns)
+            found = edges.join(F.broadcast(at.df), "id")
+            return found.distinct() if once and near not in self.edges else found  # of what was met only
+        if near not in self.edges:
+            self.add_end(near)
+        edges = self.edges[near].select(F.col(number).alias("id"), "lane", *columns)
         rows, apart = at.df, None
         often = hot_keys(rows.select("id"), "id")
         if often:
@@ -110,15 +115,17 @@ class GraphStore:
         return found if apart is None else found.unionByName(apart)
 
 
-def graph_store(nodes: DataFrame, edges: DataFrame, ends: Sequence[str] = tuple(NUMBERS)) -> GraphStore:
-    """Number all nodes of ``nodes`` and ``edges``, and write the edges for questions from each of ``ends``. Starts jobs."""
+def graph_store(nodes: DataFrame, edges: DataFrame, ends: Sequence[str] = ()) -> GraphStore:
+    """Number all nodes of ``nodes`` and ``edges`` and store the edges; bucketed at once by each of ``ends``. Starts jobs."""
+    numbers = {number: node_number(F.col(end)) for end, number in NUMBERS.items()}
+    plain = cut(edges.select(EDGE).withColumns(numbers), "edges").df
     one, none = F.lit(1), F.lit(0)
     both = F.array(
-        F.struct(F.col("source_id").alias("node_id"), one.alias("source_edges"), none.alias("target_edges")),
-        F.struct(F.col("target_id").alias("node_id"), none.alias("source_edges"), one.alias("target_edges")),
+        F.struct(F.col("source").alias("id"), F.col("source_id").alias("node_id"), one.alias("source_edges"), none.alias("target_edges")),
+        F.struct(F.col("target").alias("id"), F.col("target_id").alias("node_id"), none.alias("source_edges"), one.alias("target_edges")),
     )
-    every = edges.select(F.inline(both)).unionByName(nodes.select("node_id", none.alias("source_edges"), none.alias("target_edges")))
-    every = every.filter(F.col("node_id").isNotNull()).withColumn("id", node_number(F.col("node_id")))
+    lone = nodes.select(node_number(F.col("node_id")).alias("id"), "node_id", none.alias("source_edges"), none.alias("target_edges"))
+    every = plain.select(F.inline(both)).unionByName(lone).filter(F.col("node_id").isNotNull())
     sums = [F.sum(c).alias(c) for c in ("source_edges", "target_edges")]
     names = cut(every.groupBy("id", "node_id").agg(*sums), "node-names")
     shared = names.df.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
@@ -129,7 +136,11 @@ def graph_store(nodes: DataFrame, edges: DataFrame, ends: Sequence[str] = tuple(
         clashes = cut(behind.select("node_id", (-1 - F.monotonically_increasing_id()).alias("_other")), "node-clashes")
         moved = names.df.join(clashes.df, "node_id", "left").withColumn("id", F.coalesce("_other", "id")).drop("_other")
         names = cut(moved, "node-names")
-    store = GraphStore(names, clashes, tasks(edges))
+    store = GraphStore(names, clashes, plain, tasks(edges))
+    if clashes is not None:
+        for end, number in NUMBERS.items():
+            plain = store.numbered(plain, end, number)
+        store = replace(store, plain=cut(plain, "edges").df)
     for near in ends:
-        store.add_end(edges, near)
+        store.add_end(near)
     return store

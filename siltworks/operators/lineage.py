@@ -125,7 +125,7 @@ def _reach(store: GraphStore, seeds: DataFrame, depth: int, near: str) -> Stored
     rows, size = frontier.rows, frontier.bytes
     next_one = NUMBERS[OTHER[near]]
     for hop in range(1, depth):
-        met = store.met(frontier, near, next_one).filter(F.col(next_one).isNotNull())
+        met = store.met(frontier, near, next_one, once=False).filter(F.col(next_one).isNotNull())
         step = met.select("seed", F.col(next_one).alias("id")).distinct()
         frontier = cut(step.join(visited, ["seed", "id"], "left_anti"), "frontier")
         if frontier.rows == 0:
@@ -141,7 +141,7 @@ def _traverse(
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
     if store is None:
-        store = graph_store(nodes, edges, [near])
+        store = graph_store(nodes, edges)
     # only known ids: an unknown one reaches nothing, and its number could be another node's
     known = store.names.df.select("id", "node_id").join(seeds.select("node_id").distinct(), "node_id")
     start = cut(known, "seeds")

@@ -16,7 +16,7 @@ def plan(df):
 def test_a_hop_moves_no_edge(spark, shuffled, unbroadcast):
     names = [f"n{k}" for k in range(50)]
     pairs = [(names[k % 50], names[(k * 7 + 1) % 50]) for k in range(400)]
-    store = graph_store(nodes(spark, *names), edges(spark, *pairs))
+    store = graph_store(nodes(spark, *names), edges(spark, *pairs), list(adjacency.NUMBERS))
     at = cut(store.names.df.select(F.col("id").alias("seed"), "id"), "at")
     for near, far in (("source_id", "target"), ("target_id", "source")):
         text = plan(store.met(at, near, far))

@@ -111,3 +111,16 @@ def test_hot_lookup_meets_a_broadcast_of_hot_rows_only(spark, rows, shuffled, mo
     assert rows(hot_lookup(facts, stored, "k"), "id", "k", "name") == want
     monkeypatch.setattr(scratch, "BROADCAST_BYTES", 1 << 20)
     assert rows(hot_lookup(facts, stored, "k"), "id", "k", "name") == want
+
+
+def test_stored_tables_know_the_bytes_of_their_columns(spark):
+    kind = "k bigint, t string, l array<string>, n array<bigint>, m map<string,int>, s struct<a:string,b:int>"
+    data = [(1, "abc", ["x", "yz"], [1, 2, 3], {"k": 1}, ("q", 1)), (2, None, None, None, None, None), (3, "é", [], [], {}, None)]
+    stored = cut(spark.createDataFrame(data, kind), "widths")
+    assert stored.rows == 3 and stored.bytes == sum(stored.widths.values())
+    # 16 a scalar; a text its bytes and 16; a list 16 and its elements
+    assert stored.widths["k"] == 48 and stored.widths["t"] == 3 + 2 + 48
+    assert stored.widths["l"] == 3 * 16 + (1 + 16) + (2 + 16) and stored.widths["n"] == 3 * 16 + 3 * 16
+    few = stored.select("k", "t")
+    assert few.bytes == 48 + 53 and few.df.columns == ["k", "t"]
+    assert stored.renamed({"k": "key"}).select("key").bytes == 48
