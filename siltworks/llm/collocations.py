@@ -6,11 +6,14 @@ words of the language). No phrase is more frequent than its parts (a <= r), so t
 above 1000 * n / (count of its first word): an admissible bound that a prefix count gives. Rounds grow the best part of
 every language's frontier, until no bound left reaches the language's 2000th score among survivors.
 
-A round is one pass over the texts. Tasks count the children of the nodes that grow (with a node, its suffixes grow,
-so that all parts of a child get counted), and, for phrases found in the round before, whether one same word always
-stands before or behind them: such a phrase lies in a longer one of the same count and is dropped. Which phrases grow
-is told to the tasks by bitmaps of a fixed size; what a bitmap lets through wrongly is removed by exact joins, so that
-results don't depend on it. Counts are exact: tasks name phrases pair by pair and send words, no digests.
+A round counts the children of the nodes that grow (with a node, its suffixes grow, so that all parts of a child get
+counted). A first pass counts children by hash, as numbers only: where all phrases of a hash together are too few, none is
+frequent. A second pass counts the others exactly. When single words have grown, the texts are reduced in between to the
+stretches in which frequent pairs may lie, with one word on either side; all further passes read these. They also
+note, for phrases found in the round before, whether one same word always stands before or behind them: such a phrase
+lies in a longer one of the same count and is dropped. Which phrases grow is told to the tasks by bitmaps of a fixed size; what
+a bitmap lets through wrongly is removed by exact counts and joins, so that results don't depend on it. Exact counts name
+phrases pair by pair and send words, no digests.
 
 At scale: a task's counts are folded in slices of ``AT_ONCE`` words, then by Spark before and after one shuffle; a word, line
 or language with a third of all words is one row per slice. Counts, frontiers and scores are tables; only the bitmaps
@@ -19,6 +22,7 @@ or language with a third of all words is one row per slice. Counts, frontiers an
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +38,11 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BITS = 1 << 27  # bits of a bitmap: 16 MB
 BUCKET = 1 << 15  # bits that Spark's bitmap functions put into one value
 WIDTH = 1 << 16  # nodes of a language that the first round grows; doubles each round
-AT_ONCE = 3_000_000  # words that are counted together
+AT_ONCE = 2_000_000  # words that are counted together
+KNOWN = 1_500_000  # different words that a task remembers
 WINDOW = 1 << 20  # bytes of a text that are split at a time
 OUT_ROWS = 200_000
+STRETCH = 20_000  # words of a row of reduced text
 SHARES = 64
 
 # fixed values of the text rules: ends of pieces become STOP, letters A-Z lower case, a tab a blank
@@ -86,16 +92,11 @@ def phrase_bits(langs: list[str], phrases: list[str], bits: int) -> np.ndarray:
     return out
 
 
-def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap (packed, little bits first) of a table's phrases (lang, phrase); ``bits`` / 8 bytes at any size."""
-
-    def run(batches):
-        for batch in slices(batches, 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(phrase_bits(*(c.to_pylist() for c in batch.columns), bits))], ["bit"])
-
-    at = phrases.select("lang", "phrase").mapInArrow(run, "bit bigint")
+def bitmap_of(bits_set: DataFrame, bits: int) -> np.ndarray:
+    """A table's bit numbers (column bit) as a bitmap, packed little bits first; ``bits`` / 8 bytes at any size."""
     # bucket numbers of the bitmap functions start at 1 for bits from 1 on
-    made = at.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("map"))
+    at = F.col("bit") + 1
+    made = bits_set.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
     out = np.zeros(max(bits, BUCKET) // 8, dtype=np.uint8)
     for row in made.collect():  # bits / BUCKET rows at most
         start = (row.bucket - 1) * (BUCKET // 8)
@@ -103,6 +104,16 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of a table's phrases (lang, phrase)."""
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_bits(*(c.to_pylist() for c in batch.columns), bits))], ["bit"])
+
+    return bitmap_of(phrases.select("lang", "phrase").mapInArrow(run, "bit bigint"), bits)
+
+
 def _holds(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     at = (hashes & np.uint64(bits - 1)).astype(np.int64)
     return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -115,38 +126,72 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
+class LangWords(dict):
+    """Numbers of one language's words; a new word gets the next number of all."""
+
+    def __init__(self, lang: int, names: list[tuple[int, bytes]]):
+        super().__init__({STOP: 0})
+        self.lang, self.names = lang, names
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        self.names.append((self.lang, word))
+        return number
+
+
 class Slice:
     """The words of some documents as numbers; word 0 ends a piece."""
 
     def __init__(self):
-        self.langs: dict[str, int] = {}
-        self.numbers: list[dict[bytes, int]] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, LangWords] = {}
         self.names: list[tuple[int, bytes]] = [(0, b"")]
+        self._hashes = np.zeros(1, dtype=np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
         self.parts: list[np.ndarray] = []
+        self.owners: list[tuple[int, int]] = []  # (language, number of words) of each document
         self.words = 0
 
+    def go_on(self) -> None:
+        """Empty for the next documents; words stay known up to a bound."""
+        self.forget() if len(self.names) > KNOWN else self.clear()
+
     def add(self, lang: str, text: str) -> None:
-        k = self.langs.setdefault(lang, len(self.langs))
-        if k == len(self.numbers):
-            self.numbers.append({STOP: 0})
-        known = self.numbers[k]
+        if lang not in self.known:
+            self.known[lang] = LangWords(len(self.known), self.names)
+        number, before = self.known[lang], self.words
         for words in split_words(text):
-            for w in set(words).difference(known):
-                known[w] = len(self.names)
-                self.names.append((k, w))
-            self.parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+            self.parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
             self.words += len(words)
-        self.parts.append(np.zeros(1, dtype=np.int64))
+        self.parts.append(np.zeros(1, dtype=np.int32))
+        self.words += 1
+        self.owners.append((number.lang, self.words - before))
 
     def tokens(self) -> np.ndarray:
-        return np.concatenate([np.zeros(1, dtype=np.int64), *self.parts, np.zeros(LONGEST, dtype=np.int64)])
+        return np.concatenate([np.zeros(1, dtype=np.int32), *self.parts, np.zeros(LONGEST, dtype=np.int32)])
+
+    def hashes(self) -> np.ndarray:
+        new, langs = self.names[len(self._hashes) :], list(self.known)
+        if new:
+            found = np.fromiter((_word_hash(langs[k], w) for k, w in new), dtype=np.uint64, count=len(new))
+            self._hashes = np.concatenate([self._hashes, found])
+        return self._hashes
 
-    def columns(self) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        """(words, languages, hashes), all by number."""
-        langs = list(self.langs)
-        words = pa.array([w for _, w in self.names], pa.binary()).cast(pa.string())
-        owners = pa.array(langs, pa.string()).take(pa.array([k for k, _ in self.names])) if langs else pa.array([""])
-        return words, owners, np.array([_word_hash(langs[k] if langs else "", w) for k, w in self.names], dtype=np.uint64)
+    def text(self, numbers: np.ndarray, stop: bytes = b"") -> pa.Array:
+        """The words of these numbers; ``stop`` for 0."""
+        picks, back = np.unique(numbers, return_inverse=True)
+        words = pa.array([self.names[k][1] if k else stop for k in picks.tolist()], pa.binary()).cast(pa.string())
+        return words.take(pa.array(back))
+
+    def langs(self, numbers: np.ndarray) -> pa.Array:
+        """The languages of the words of these numbers."""
+        picks, back = np.unique(numbers, return_inverse=True)
+        langs = list(self.known)
+        return pa.array([langs[self.names[k][0]] for k in picks.tolist()], pa.string()).take(pa.array(back))
 
 
 COUNTS = "lang string, n_words int, phrase string, side int, word string, n bigint"
@@ -161,82 +206,136 @@ def _batches(lang, n_words, phrase, n, side=0, word=None) -> Iterator[pa.RecordB
 
 def count_words(held: Slice) -> Iterator[pa.RecordBatch]:
     """Counts of single words, and under n_words 0 those of all words of a language."""
-    counts = np.bincount(held.tokens(), minlength=len(held.names))[1:]
-    words, owners, _ = held.columns()
-    yield from _batches(owners.slice(1), 1, words.slice(1), counts)
-    langs = list(held.langs)
+    counts = np.bincount(held.tokens(), minlength=len(held.names))
+    counts[0] = 0
+    there = np.flatnonzero(counts)
+    yield from _batches(held.langs(there), 1, held.text(there), counts[there])
+    langs = list(held.known)
     sums = np.zeros(len(langs), dtype=np.int64)
-    np.add.at(sums, np.array([k for k, _ in held.names[1:]], dtype=np.int64), counts)
-    yield from _batches(pa.array(langs, pa.string()), 0, pa.array([""] * len(langs)), sums)
+    np.add.at(sums, np.array([held.names[k][0] for k in there.tolist()], dtype=np.int64), counts[there])
+    yield from _batches(pa.array(langs, pa.string()), 0, pa.array([""] * len(langs), pa.string()), sums)
 
 
-def count_grown(held: Slice, frequent: np.ndarray, growing: np.ndarray, fresh: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the children of growing phrases. And for the phrases found last, as n_words of less than 0, the word that
-    always stands before (side 0) and behind them (1) in this slice; '' is the end of a piece, NULL several words."""
-    token = held.tokens()
-    words, owners, hashes = held.columns()
+def _levels(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int):
+    """For phrases of one word, two words and so on: (token, size, where frequent ones start, their names and hashes, which
+    of them have a child that is to be counted, their next words, hashes with these)."""
+    token, hashes = held.tokens(), held.hashes()
     alive_word = _holds(frequent, hashes, bits)
     alive_word[0] = False
-    at = np.flatnonzero(alive_word[token])  # where a frequent phrase of this many words starts
-    name, code = token[at], hashes[token[at]]
+    at = np.flatnonzero(alive_word[token])
+    name, code = token[at].astype(np.int64), hashes[token[at]]
     grew = np.zeros(len(token), dtype=bool)  # does a growing phrase of one word less start here?
+    for size in range(1, LONGEST):
+        grows = _holds(growing, code, bits)
+        here, live = np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=bool)
+        here[at[grows]] = live[at] = True
+        last = token[at + size]
+        # the last words of a child must be frequent, unless they are only counted now
+        child = grows & alive_word[last] & (live[at + 1] | grew[at + 1])
+        longer = _mixed(code, hashes[last])
+        yield token, size, at, name, code, child, last, longer
+        grew = here
+        stay = alive_word[last] & _holds(frequent, longer, bits)
+        pair = name[stay] * len(held.names) + last[stay]
+        at, code = at[stay], longer[stay]
+        order, starts = _groups(pair)
+        name = np.empty(len(pair), dtype=np.int64)
+        name[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
 
-    def texts(picks):
-        parts = [words.take(pa.array(p)) for p in picks]
-        return pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
 
-    for size in range(1, LONGEST):
+def count_hashes(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Numbers of children by hash."""
+    for _, _, _, _, _, child, _, longer in _levels(held, frequent, growing, bits):
+        found, n = np.unique((longer[child] & np.uint64(bits - 1)).astype(np.int64), return_counts=True)
+        for start in range(0, len(n), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[start : start + OUT_ROWS]) for x in (found, n)], ["bit", "n"])
+
+
+def reduced_texts(held: Slice, frequent: np.ndarray, growing: np.ndarray, enough: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The stretches in which pairs may be frequent, with one word on either side: lang, text."""
+    token, _, at, _, _, child, last, longer = next(_levels(held, frequent, growing, bits))
+    pair = at[(child & _holds(enough, longer, bits)) | ((last > 0) & _holds(frequent, longer, bits))]
+    keep = np.zeros(len(token) + 1, dtype=bool)
+    for shift in (-1, 0, 1, 2):
+        keep[pair + shift] = True
+    keep = keep[:-1] & (token > 0)
+    where = np.flatnonzero(keep)
+    if not len(where):
+        return
+    owner = np.repeat([0, *(k for k, _ in held.owners), 0], [1, *(n for _, n in held.owners), LONGEST])[where]
+    order = np.argsort(owner, kind="stable")
+    where, owner = where[order], owner[order]
+    fresh = np.r_[True, np.diff(where) != 1]  # a stop before each stretch
+    place = np.arange(len(where)) + np.cumsum(fresh)
+    words = np.zeros(place[-1] + 1, dtype=np.int64)
+    words[place] = token[where]
+    begins = place[fresh] - 1
+    # rows of some length, cut at stops and between languages
+    block = np.cumsum(np.r_[True, (np.diff(begins // STRETCH) > 0) | (np.diff(owner[fresh]) > 0)])
+    offsets = np.r_[begins[np.r_[True, np.diff(block) > 0]], len(words)]
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held.text(words, b"\n")), " ")
+    yield pa.RecordBatch.from_arrays([held.langs(words[offsets[:-1] + 1]), text], ["lang", "text"])
+
+
+def count_grown(
+    held: Slice, frequent: np.ndarray, growing: np.ndarray, enough: np.ndarray, fresh: np.ndarray, bits: int
+) -> Iterator[pa.RecordBatch]:
+    """Counts of the children of growing phrases. And for the phrases found last, as n_words of less than 0, the word that
+    always stands before (side 0) and behind them (1) in this slice; '' is the end of a piece, NULL several words."""
+
+    def phrases(token, where, size):
+        picks = [token[where + k] for k in range(size)]
+        parts = [held.text(p) for p in picks]
+        return held.langs(picks[0]), pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+
+    for token, size, at, name, code, child, last, longer in _levels(held, frequent, growing, bits):
         if size > 1:
             new = _holds(fresh, code, bits)
             order, starts = _groups(name[new])
             if len(starts):
                 where = at[new][order]
-                picks = [token[where[starts] + k] for k in range(size)]
+                langs, texts = phrases(token, where[starts], size)
                 n = np.diff(np.r_[starts, len(where)])
                 for side, next_to in enumerate((token[where - 1], token[where + size])):
                     least, most = np.minimum.reduceat(next_to, starts), np.maximum.reduceat(next_to, starts)
-                    word = pc.if_else(pa.array(least == most), words.take(pa.array(least)), pa.scalar(None, pa.string()))
-                    yield from _batches(owners.take(pa.array(picks[0])), -size, texts(picks), n, side, word)
-        grows = _holds(growing, code, bits)
-        here = np.zeros(len(token), dtype=bool)
-        here[at[grows]] = True
-        live = np.zeros(len(token), dtype=bool)
-        live[at] = True
-        # one word more: the last ``size`` words must be frequent, unless they are only counted now
-        last = token[at + size]
-        tail = alive_word[last] & (live[at + 1] | (grew[at + 1] if size > 1 else False))
-        pair = name * len(held.names) + last
-        child = grows & tail
-        order, starts = _groups(pair[child])
+                    word = pc.if_else(pa.array(least == most), held.text(least), pa.scalar(None, pa.string()))
+                    yield from _batches(langs, -size, texts, n, side, word)
+        child &= _holds(enough, longer, bits)
+        order, starts = _groups(name[child] * len(held.names) + last[child])
         if len(starts):
             where = at[child][order][starts]
-            picks = [token[where + k] for k in range(size + 1)]
-            yield from _batches(owners.take(pa.array(picks[0])), size + 1, texts(picks), np.diff(np.r_[starts, len(order)]))
-        # frequent phrases of one word more, by name
-        grew = here
-        code = _mixed(code, hashes[last])
-        stay = alive_word[last] & _holds(frequent, code, bits)
-        at, code, pair = at[stay], code[stay], pair[stay]
-        order, starts = _groups(pair)
-        name = np.empty(len(pair), dtype=np.int64)
-        name[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+            langs, texts = phrases(token, where, size + 1)
+            yield from _batches(langs, size + 1, texts, np.diff(np.r_[starts, len(order)]))
 
 
-def _counted(docs: DataFrame, count) -> DataFrame:
-    """One pass over the texts: partial counts of every slice, summed."""
+@functools.cache
+def _slice() -> Slice:
+    """The slice of this worker: what one task has learned of words, the next one knows."""
+    return Slice()
+
+
+def _passed(docs: DataFrame, each, schema: str) -> DataFrame:
+    """One pass over the texts: what ``each`` makes of every slice."""
 
     def run(batches):
-        held = Slice()
+        held = _slice()
+        held.go_on()
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.add(lang, text)
                 if held.words >= AT_ONCE:
-                    yield from count(held)
-                    held = Slice()
-        if held.words or held.langs:
-            yield from count(held)
+                    yield from each(held)
+                    held.go_on()
+        if held.words:
+            yield from each(held)
+            held.go_on()
 
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "n_words", "phrase", "side", "word").agg(F.sum("n").alias("f"))
+    return docs.select("lang", "text").mapInArrow(run, schema)
+
+
+def _counted(docs: DataFrame, count) -> DataFrame:
+    """Partial counts of every slice, summed."""
+    return _passed(docs, count, COUNTS).groupBy("lang", "n_words", "phrase", "side", "word").agg(F.sum("n").alias("f"))
 
 
 def scored(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -305,6 +404,7 @@ def collocations(
     fresh: DataFrame | None = None
     dropped = spark.createDataFrame([], "lang string, phrase string, lone boolean")
     scores: DataFrame | None = None
+    reduced: DataFrame | None = None  # the texts without what can't be in a phrase
     while True:
         # (language, score to reach): only survivors that are known to survive count
         needed = totals.select("lang", F.lit(-1).cast("bigint").alias("needed"))
@@ -331,12 +431,20 @@ def collocations(
         if nothing and (pending is None or pending.isEmpty()):
             break
         width *= 2
-        maps = spark.sparkContext.broadcast(
-            (bitmap(nodes, bits), bitmap(growing, bits), bitmap(fresh, bits) if fresh is not None else np.zeros(max(bits, BUCKET) // 8, dtype=np.uint8))
-        )
-        made = _counted(source, lambda held, maps=maps: count_grown(held, *maps.value, bits))
+        empty = np.zeros(max(bits, BUCKET) // 8, dtype=np.uint8)
+        maps = [spark.sparkContext.broadcast(m) for m in (bitmap(nodes, bits), bitmap(growing, bits))]
+        words_grow = not growing.filter(~F.contains("phrase", F.lit(" "))).isEmpty()
+        hashed = _passed(source if words_grow else reduced, lambda held, maps=tuple(maps): count_hashes(held, *(m.value for m in maps), bits), "bit bigint, n bigint")
+        enough = hashed.groupBy("bit").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        maps.append(spark.sparkContext.broadcast(bitmap_of(enough, bits)))
+        if words_grow:
+            shorter = _passed(source, lambda held, maps=tuple(maps): reduced_texts(held, *(m.value for m in maps), bits), "lang string, text string")
+            reduced = stored(shorter, "phrases-texts")
+        maps.append(spark.sparkContext.broadcast(bitmap(fresh, bits) if fresh is not None else empty))
+        made = _counted(reduced, lambda held, maps=tuple(maps): count_grown(held, *(m.value for m in maps), bits))
         made = stored(made.filter((F.col("n_words") < 0) | (F.col("f") >= least)), "phrases-counted")
-        maps.destroy()
+        for m in maps:
+            m.destroy()
         if fresh is not None:
             sides = made.filter("n_words < 0").groupBy("lang", "phrase", "side").agg(F.count(F.lit(1)).alias("_n"), F.max("word").alias("_word"))
             always = (F.col("_n") == 1) & (F.coalesce("_word", F.lit("")) != "")
