@@ -39,7 +39,7 @@ BITS = 1 << 27  # bits of a bitmap: 16 MB
 BUCKET = 1 << 15  # bits that Spark's bitmap functions put into one value
 WIDTH = 1 << 16  # nodes of a language that the first round grows; doubles each round
 AT_ONCE = 2_000_000  # words that are counted together
-KNOWN = 1_500_000  # different words that a task remembers
+KNOWN = 1_200_000  # different words that a task remembers
 WINDOW = 1 << 20  # bytes of a text that are split at a time
 OUT_ROWS = 200_000
 STRETCH = 20_000  # words of a row of reduced text
@@ -56,9 +56,9 @@ _RULES[9] = 32
 RULES = bytes(_RULES)
 
 
-def split_words(text: str) -> Iterator[list[bytes]]:
+def split_words(text: bytes) -> Iterator[list[bytes]]:
     """Words of a text in lists of about ``WINDOW`` bytes, with ``STOP`` between pieces. Parted at blanks only."""
-    raw = text.encode().translate(RULES)
+    raw = text.translate(RULES)
     start = 0
     while start < len(raw):
         end = len(raw)
@@ -129,13 +129,14 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class LangWords(dict):
     """Numbers of one language's words; a new word gets the next number of all."""
 
-    def __init__(self, lang: int, names: list[tuple[int, bytes]]):
+    def __init__(self, lang: int, names: list[bytes], owners: list[int]):
         super().__init__({STOP: 0})
-        self.lang, self.names = lang, names
+        self.lang, self.names, self.owners = lang, names, owners
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.names)
-        self.names.append((self.lang, word))
+        self.names.append(word)
+        self.owners.append(self.lang)
         return number
 
 
@@ -147,7 +148,7 @@ class Slice:
 
     def forget(self) -> None:
         self.known: dict[str, LangWords] = {}
-        self.names: list[tuple[int, bytes]] = [(0, b"")]
+        self.names, self.name_langs = [b""], [0]
         self._hashes = np.zeros(1, dtype=np.uint64)
         self.clear()
 
@@ -160,9 +161,9 @@ class Slice:
         """Empty for the next documents; words stay known up to a bound."""
         self.forget() if len(self.names) > KNOWN else self.clear()
 
-    def add(self, lang: str, text: str) -> None:
+    def add(self, lang: str, text: bytes) -> None:
         if lang not in self.known:
-            self.known[lang] = LangWords(len(self.known), self.names)
+            self.known[lang] = LangWords(len(self.known), self.names, self.name_langs)
         number, before = self.known[lang], self.words
         for words in split_words(text):
             self.parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
@@ -175,23 +176,24 @@ class Slice:
         return np.concatenate([np.zeros(1, dtype=np.int32), *self.parts, np.zeros(LONGEST, dtype=np.int32)])
 
     def hashes(self) -> np.ndarray:
-        new, langs = self.names[len(self._hashes) :], list(self.known)
+        start, langs = len(self._hashes), list(self.known)
+        new = self.names[start:]
         if new:
-            found = np.fromiter((_word_hash(langs[k], w) for k, w in new), dtype=np.uint64, count=len(new))
+            found = np.fromiter((_word_hash(langs[k], w) for k, w in zip(self.name_langs[start:], new, strict=True)), dtype=np.uint64, count=len(new))
             self._hashes = np.concatenate([self._hashes, found])
         return self._hashes
 
     def text(self, numbers: np.ndarray, stop: bytes = b"") -> pa.Array:
         """The words of these numbers; ``stop`` for 0."""
         picks, back = np.unique(numbers, return_inverse=True)
-        words = pa.array([self.names[k][1] if k else stop for k in picks.tolist()], pa.binary()).cast(pa.string())
+        words = pa.array([self.names[k] if k else stop for k in picks.tolist()], pa.binary()).cast(pa.string())
         return words.take(pa.array(back))
 
     def langs(self, numbers: np.ndarray) -> pa.Array:
         """The languages of the words of these numbers."""
         picks, back = np.unique(numbers, return_inverse=True)
         langs = list(self.known)
-        return pa.array([langs[self.names[k][0]] for k in picks.tolist()], pa.string()).take(pa.array(back))
+        return pa.array([langs[self.name_langs[k]] for k in picks.tolist()], pa.string()).take(pa.array(back))
 
 
 COUNTS = "lang string, n_words int, phrase string, side int, word string, n bigint"
@@ -212,7 +214,7 @@ def count_words(held: Slice) -> Iterator[pa.RecordBatch]:
     yield from _batches(held.langs(there), 1, held.text(there), counts[there])
     langs = list(held.known)
     sums = np.zeros(len(langs), dtype=np.int64)
-    np.add.at(sums, np.array([held.names[k][0] for k in there.tolist()], dtype=np.int64), counts[there])
+    np.add.at(sums, np.array([held.name_langs[k] for k in there.tolist()], dtype=np.int64), counts[there])
     yield from _batches(pa.array(langs, pa.string()), 0, pa.array([""] * len(langs), pa.string()), sums)
 
 
@@ -330,7 +332,7 @@ def _passed(docs: DataFrame, each, schema: str) -> DataFrame:
             yield from each(held)
             held.go_on()
 
-    return docs.select("lang", "text").mapInArrow(run, schema)
+    return docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def _counted(docs: DataFrame, count) -> DataFrame:
