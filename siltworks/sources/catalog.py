@@ -79,9 +79,11 @@ def count_files(spark: SparkSession, paths: list[str]) -> dict[str, int]:
     """
     # an empty schema: nothing is inferred on the driver and nothing but footers is read
     found = spark.read.schema(T.StructType([])).option("recursiveFileLookup", "true").parquet(*paths)
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    # one row per file first: names are taken apart once for each of them
+    files = found.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    file = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
     folder = F.regexp_replace(F.regexp_replace(file, "/[^/]*$", ""), "(/[^/=]+=[^/]*)+$", "")
-    counted = found.select(F.explode(F.array(_place(file), _place(folder))).alias("place")).groupBy("place").count()
+    counted = files.select(F.explode(F.array(_place(file), _place(folder))).alias("place"), "n").groupBy("place").agg(F.sum("n").alias("count"))
     wanted = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("place", _place(F.col("path")))
     # one row per path: the catalog's tables
     return {r.path: r["count"] for r in counted.join(F.broadcast(wanted), "place").collect()}
