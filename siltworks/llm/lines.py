@@ -9,11 +9,16 @@ distance. Lines that are linked, directly or over others, form a class; the firs
 At scale: the text is shuffled once, to fold equal lines (before the shuffle in part, so a line that a third of all
 documents share is one row). Index and probes are 25-byte rows of an equi-join, which AQE may split. Only lines that met a
 partner are read again for verification. Occurrences travel as (document, line number, 128-bit key).
+
+A segment that very many lines have would write all their pairs. With one edit, the lines that meet in such a segment
+are linked by pattern instead, without pairs: two of them are one substitution apart if they are equal but for one
+position, and one insertion apart if one is the other without a character. That takes rows in proportion to their
+characters and gives the same links.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltworks.llm.common import let, stored, texts
 from siltworks.llm.components import components
@@ -23,6 +28,10 @@ EDITS = 1
 MIN_CHARS = 20
 BLANKS = r"[\x20\x09\x0B-\x0D]+"
 KEY = ["a", "b"]
+# Lines of one length that may have a segment in common before they are linked by pattern (with one edit only),
+# and the length up to which they are: a pattern for each character takes time in the square of the length.
+DENSE = 64
+LONGEST = 2048
 
 
 def split_lines(text: Column) -> Column:
@@ -155,25 +164,82 @@ def _with_line(pairs: DataFrame, lines: DataFrame, side: str) -> DataFrame:
     return pairs.join(lines.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("line").alias(f"{side}_line")), [f"{side}a", f"{side}b"])
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Stored:
-    """All pairs of different lines within ``edits`` edits, each once, as keys (xa, xb, ya, yb). Starts jobs."""
-    if not 0 <= edits <= 20 or min_chars < 2 * edits + 2:
-        raise ValueError("edits must be 0 to 20, and lines at least 2 * edits + 2 characters long")
-    lines = occurrences(docs, min_chars).select(*line_keys(F.col("line")), "line")
-    index, probes = index_and_probes(lines.distinct(), edits)
+def _candidates(distinct: DataFrame, edits: int, dense: int) -> Stored:
+    """Pairs (xa, xb, ya, yb) that meet in a piece, and rows (xa, xb, NULL, NULL) for lines that meet in a dense one."""
+    index, probes = index_and_probes(distinct, edits)
+    nothing = F.lit(None).cast("bigint")
+    crowded = None
+    if edits == 1:
+        rows = distinct.withColumn("length", F.length("line")).filter(F.col("length") <= LONGEST)
+        pieces = F.array(*(_piece(F.col("length"), i, F.col("line"), start, size) for i, (start, size) in enumerate(_segments(F.col("length"), edits))))
+        full = rows.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("piece")
+        inside = [side.join(full, "piece", "left_semi").select(F.col("a").alias("xa"), F.col("b").alias("xb"), nothing.alias("ya"), nothing.alias("yb")) for side in (index, probes)]
+        crowded = inside[0].union(inside[1]).distinct()
+        index = index.join(full, "piece", "left_anti")
     x = index.select("piece", F.col("a").alias("xa"), F.col("b").alias("xb"))
     y = probes.select("piece", F.col("a").alias("ya"), F.col("b").alias("yb"), "less")
     ordered = (F.col("less") > 0) | (F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("xb") < F.col("yb")))
-    met = cut(x.join(y, "piece").filter(ordered).select("xa", "xb", "ya", "yb").distinct(), "line-candidates")
+    met = x.join(y, "piece").filter(ordered).select("xa", "xb", "ya", "yb").distinct()
+    return cut(met if crowded is None else met.union(crowded), "line-candidates")
+
+
+def pattern_links(lines: DataFrame) -> DataFrame:
+    """Links between distinct ``lines`` (a, b, line) that are one edit apart, without pairs of those one substitution apart.
+
+    Rows (xa, xb, ya, yb, nx, ny): x and y are in one class, and the row stands for nx links of x and ny of y. Lines that are equal
+    but for one position each point at the first of them; there are no more of them than characters of the alphabet.
+    """
+    length = F.length("line")
+    rest = [F.left("line", F.col("i") - 1), F.substring("line", F.col("i") + 1, length)]
+    at = lines.select(*KEY, "line", F.explode(F.sequence(F.lit(1), length)).alias("i"))
+    whole = Window.partitionBy("p", "q")
+    pattern = [F.xxhash64(F.lit(seed), length, "i", *rest).alias(name) for seed, name in ((2, "p"), (3, "q"))]
+    alike = at.select(*KEY, *pattern).withColumns({"n": F.count(F.lit(1)).over(whole), "first": F.min(F.struct(*KEY)).over(whole)}).filter("n > 1")
+    swapped = alike.select(
+        F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("first.a").alias("ya"), F.col("first.b").alias("yb"),
+        (F.col("n") - 1).alias("nx"), F.lit(0).cast("bigint").alias("ny"),
+    )
+    # a run of equal characters gives one shorter line
+    last = F.substring("line", F.col("i"), F.lit(1)) != F.substring("line", F.col("i") + 1, F.lit(1))
+    shorter = at.filter(last).select(*KEY, F.concat(*rest).alias("short")).select(F.col("a").alias("ya"), F.col("b").alias("yb"), *line_keys(F.col("short")))
+    one = F.lit(1).cast("bigint")
+    grown = lines.select(*KEY).join(shorter, KEY).select(F.col("a").alias("xa"), F.col("b").alias("xb"), "ya", "yb", one.alias("nx"), one.alias("ny"))
+    return swapped.union(grown)
+
+
+def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, dense: int = DENSE) -> Stored:
+    """The links of all different lines within ``edits`` edits, as keys (xa, xb, ya, yb) with (nx, ny). Starts jobs.
+
+    A row says that x and y are in one class, and stands for nx links of x and ny links of y; summed over all rows these
+    are the links of each line. Most rows are one pair (1, 1). With one edit, lines that meet more than ``dense`` lines of one
+    length in a segment are linked by ``pattern_links``.
+    """
+    if not 0 <= edits <= 20 or min_chars < 2 * edits + 2:
+        raise ValueError("edits must be 0 to 20, and lines at least 2 * edits + 2 characters long")
+    lines = occurrences(docs, min_chars).select(*line_keys(F.col("line")), "line")
+    met = _candidates(lines.distinct(), edits, dense)
+    crowded = cut(met.df.filter(F.col("ya").isNull()).select(F.col("xa").alias("a"), F.col("xb").alias("b")), "crowded-lines")
+    by_pattern = None
+    if crowded.rows:
+        keys = F.broadcast(crowded.df) if crowded.small else crowded.df
+        both = met.df.filter(F.col("ya").isNotNull())
+        for side in ("x", "y"):
+            marks = keys.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.lit(True).alias(f"{side}_in"))
+            both = both.join(marks, [f"{side}a", f"{side}b"], "left")
+        # two crowded lines are linked by pattern
+        met = cut(both.filter(F.col("x_in").isNull() | F.col("y_in").isNull()).select("xa", "xb", "ya", "yb"), "line-candidates")
+        by_pattern = pattern_links(stored(lines.join(keys, KEY, "left_semi").distinct(), "crowded-texts"))
     wanted = met.df.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(met.df.select("ya", "yb")).distinct()
     partners = lines.join(F.broadcast(wanted) if met.small else wanted, KEY, "left_semi").distinct()
     pairs = _with_line(_with_line(met.df, partners, "x"), partners, "y")
     parts = unlike_part(F.col("x_line"), F.col("y_line"), edits + 1)
     near = pairs.filter(let(parts, lambda p: band_distance(p["x"], p["y"], edits)) <= edits)
-    return cut(near.select("xa", "xb", "ya", "yb"), "line-links")
+    one = F.lit(1).cast("bigint")
+    near = near.select("xa", "xb", "ya", "yb", one.alias("nx"), one.alias("ny"))
+    return cut(near if by_pattern is None else near.union(by_pattern), "line-links")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, dense: int = DENSE) -> DataFrame:
     """One row per line of at least ``min_chars`` characters: doc_id, line_no, class_doc, class_line, n_links, kept.
 
     Lines are compared with runs of blanks as one space and none at the ends. Equal lines and lines within ``edits`` edits
@@ -181,11 +247,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     n_links counts the different lines it is linked to directly. kept: the line is that first occurrence. Shorter lines,
     NULL and empty texts give no row. A document that is repeated has its lines in each copy, all with the same marks.
     Lines without doc_id come after all others; a class of only such lines has a NULL class_doc and keeps all of them.
-    Starts jobs.
+    ``dense`` changes how links are found, never the result. Starts jobs.
     """
-    found = line_links(docs, edits, min_chars)
-    ends = found.df.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(found.df.select("ya", "yb"))
-    nodes = cut(ends.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_links")).withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    found = line_links(docs, edits, min_chars, dense)
+    ends = found.df.select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("nx").alias("n")).union(found.df.select("ya", "yb", "ny"))
+    nodes = cut(ends.groupBy(*KEY).agg(F.sum("n").alias("n_links")).withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     x = nodes.df.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("node").alias("x"))
     y = nodes.df.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("node").alias("y"))
     roots = components(found.df.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -26,12 +26,12 @@ def plain(pairs, edits, least):
     return sorted(out, key=repr)
 
 
-def answer(df, edits, least):
-    return sorted(((r.doc_id, r.line_no, r.class_doc, r.n_links, r.kept) for r in lines.line_classes(df, edits, least).collect()), key=repr)
+def answer(df, edits, least, dense=lines.DENSE):
+    return sorted(((r.doc_id, r.line_no, r.class_doc, r.n_links, r.kept) for r in lines.line_classes(df, edits, least, dense).collect()), key=repr)
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
-def test_against_all_pairs(documents, edits):
+@pytest.mark.parametrize("edits, dense", [(0, 64), (1, 64), (1, 1), (1, 3), (2, 64), (3, 64)])
+def test_against_all_pairs(documents, edits, dense):
     rnd = random.Random(edits)
     base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(9, 16))).strip() for _ in range(25)]
     pairs = []
@@ -44,7 +44,22 @@ def test_against_all_pairs(documents, edits):
                 line[at : at + 1] = rnd.choice([[], ["x"], [line[at], "y"]])
             some.append("".join(line))
         pairs.append((k, "\n".join(some)))
-    assert answer(documents(pairs), edits, 8) == plain(pairs, edits, 8)
+    assert answer(documents(pairs), edits, 8, dense) == plain(pairs, edits, 8)
+
+
+@pytest.mark.parametrize("dense", [1, 5, 1000])
+def test_many_lines_one_edit_from_one(documents, unbroadcast, dense):
+    """Lines that all share a segment are linked by pattern: same classes and numbers of links, no pairs."""
+    rnd = random.Random(dense)
+    base = "aab cdd éef ggh iij"
+    kinds = {base}
+    for _ in range(90):
+        line = list(rnd.choice([base, rnd.choice(sorted(kinds))]))
+        at = rnd.randrange(len(line))
+        line[at : at + 1] = rnd.choice([[rnd.choice("axyé")], [], [line[at], line[at]], ["z", line[at]]])
+        kinds.add(" ".join("".join(line).split()))
+    pairs = [(k, line + "\n" + rnd.choice(sorted(kinds))) for k, line in enumerate(sorted(kinds))]
+    assert answer(documents(pairs), 1, 8, dense) == plain(pairs, 1, 8)
 
 
 def test_band_distance(spark):
