@@ -167,19 +167,21 @@ def _with_line(pairs: DataFrame, lines: DataFrame, side: str) -> DataFrame:
 def _candidates(distinct: DataFrame, edits: int, dense: int) -> Stored:
     """Pairs (xa, xb, ya, yb) that meet in a piece, and rows (xa, xb, NULL, NULL) for lines that meet in a dense one."""
     index, probes = index_and_probes(distinct, edits)
-    nothing = F.lit(None).cast("bigint")
+    nothing, none = F.lit(None).cast("bigint"), F.lit(0).cast("byte")
     crowded = None
     if edits == 1:
-        rows = distinct.withColumn("length", F.length("line")).filter(F.col("length") <= LONGEST)
-        pieces = F.array(*(_piece(F.col("length"), i, F.col("line"), start, size) for i, (start, size) in enumerate(_segments(F.col("length"), edits))))
-        full = rows.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("piece")
-        inside = [side.join(full, "piece", "left_semi").select(F.col("a").alias("xa"), F.col("b").alias("xb"), nothing.alias("ya"), nothing.alias("yb")) for side in (index, probes)]
+        # no filter by length, and all columns of the probes: one shuffle of lines, index and probes serves all
+        length = F.length("line")
+        pieces = F.array(*(F.when(length <= LONGEST, _piece(length, i, F.col("line"), start, size)) for i, (start, size) in enumerate(_segments(length, edits))))
+        full = distinct.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("piece").alias("n")).filter(F.col("n") > dense).select("piece")
+        sides = [index.withColumn("less", none), probes]
+        inside = [side.join(full, "piece", "left_semi").select(F.col("a").alias("xa"), F.col("b").alias("xb"), nothing.alias("ya"), nothing.alias("yb"), "less") for side in sides]
         crowded = inside[0].union(inside[1]).distinct()
         index = index.join(full, "piece", "left_anti")
     x = index.select("piece", F.col("a").alias("xa"), F.col("b").alias("xb"))
     y = probes.select("piece", F.col("a").alias("ya"), F.col("b").alias("yb"), "less")
     ordered = (F.col("less") > 0) | (F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("xb") < F.col("yb")))
-    met = x.join(y, "piece").filter(ordered).select("xa", "xb", "ya", "yb").distinct()
+    met = x.join(y, "piece").filter(ordered).select("xa", "xb", "ya", "yb").distinct().withColumn("less", none)
     return cut(met if crowded is None else met.union(crowded), "line-candidates")
 
 
@@ -218,7 +220,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         raise ValueError("edits must be 0 to 20, and lines at least 2 * edits + 2 characters long")
     lines = occurrences(docs, min_chars).select(*line_keys(F.col("line")), "line")
     met = _candidates(lines.distinct(), edits, dense)
-    crowded = cut(met.df.filter(F.col("ya").isNull()).select(F.col("xa").alias("a"), F.col("xb").alias("b")), "crowded-lines")
+    crowded = cut(met.df.filter(F.col("ya").isNull()).select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), "crowded-lines")
     by_pattern = None
     if crowded.rows:
         keys = F.broadcast(crowded.df) if crowded.small else crowded.df
