@@ -95,14 +95,30 @@ def edge_quality_by_script(gen: DataFrame, truth: DataFrame) -> DataFrame:
     return confusion(edge_items(gen, "script"), edge_items(truth, "script"), ["script"])
 
 
+def _edge_keys(edges: DataFrame) -> DataFrame:
+    """(script, a, b, proof): 128 bits that stand for both ends of an edge, and 64 others that show if two edges share them."""
+    ends = [F.isnull("source_id"), F.col("source_id"), F.isnull("target_id"), F.col("target_id")]
+    keys = [F.xxhash64(F.lit(seed), *ends).alias(name) for seed, name in enumerate(("a", "b", "proof"))]
+    return edge_items(edges, "script").select("script", *keys)
+
+
 def edge_scores(gen: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edge_quality`` and ``edge_quality_by_script`` from one pass over the edges.
 
-    The long ids are normalized and sent once, by (script, source, target); the scores over all scripts roll those rows up.
+    Edges are compared by 128-bit keys, so that no long id is shuffled; every group of equal keys is checked by 64 further
+    bits, and the query fails if they differ. The scores over all scripts roll up the rows by script.
     """
-    sides = _sides(edge_items(gen, "script"), edge_items(truth, "script"))
-    ends = sides.groupBy("source_id", "target_id").agg(F.max("in_gen").alias("in_gen"), F.max("in_truth").alias("in_truth"))
-    return _scored(ends, []), _scored(sides, ["script"])
+
+    def alike(sides: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
+        flags = [F.max(c).alias(c) for c in ("in_gen", "in_truth")]
+        found = sides.groupBy(*by, "a", "b").agg(*flags, F.min(low).alias("low"), F.max(high).alias("high"))
+        clash = F.raise_error(F.lit("two edges have one key")).cast("boolean")
+        return found.withColumn("in_gen", F.when(F.col("low") == F.col("high"), F.col("in_gen")).otherwise(clash))
+
+    yes, no = F.lit(True), F.lit(False)
+    both = _edge_keys(gen).withColumns({"in_gen": yes, "in_truth": no}).unionByName(_edge_keys(truth).withColumns({"in_gen": no, "in_truth": yes}))
+    sides = alike(both, ["script"], "proof", "proof")
+    return _scored(alike(sides, [], "low", "high"), []), _scored(sides, ["script"])
 
 
 def transform_quality(gen: DataFrame, truth: DataFrame) -> DataFrame:
