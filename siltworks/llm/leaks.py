@@ -6,6 +6,11 @@ same bits fall into step again soon after an edit, so few edits become few diffe
 distance). A table of the LSH hashes the symbols at sampled steps; ``repeats`` tables, each with walk bits and sampled
 steps of its own, are made so that an item with ``edits`` edits is found with the target recall.
 
+The tables find what is copied with few edits; the rest up to the threshold is found by pieces, exactly. An item that may have
+k edits is cut into (k + 1) / 2 pieces (rounded up), so that one of them has one edit at most wherever the item matches. The
+documents are looked up at every place among all strings within one edit of a piece, and what is hit must also hold in groups of
+2, 4, ... neighbouring pieces with the edits that these may share, before the whole item is verified.
+
 Items of ``SHORT`` to ``BRIEF`` characters have no room for walks. They are found by exact counting: an item of n characters
 with k edits keeps n - q + 1 - k * q of its q-grams, at places that are at most k apart from the item's start.
 
@@ -37,13 +42,18 @@ RECALL = 0.95
 STEPS = 64
 SAMPLED = 12
 LEAST, MOST = 4, 12  # tables
-CHUNK = 1 << 19  # characters of items indexed at a time
+CHUNK = 1 << 17  # characters of items indexed at a time
 AT_ONCE = 1 << 21  # characters of documents searched at a time
 SHORT = 24  # items of fewer characters are looked for as they are
 BRIEF = 48  # items of fewer characters are not embedded: their q-grams are counted
 GRAM = 4
 AT_A_TIME = 1 << 14  # characters whose q-grams are counted at a time
 PAD = 32  # the symbol behind the end
+PIECE = 9  # characters of a piece that are looked up, at most
+LEAST_PIECE = 4  # items whose pieces are shorter are verified everywhere
+WORD = 64  # characters of a group of pieces, at most
+PLACES = 1 << 14  # places of documents looked up at a time
+MARKS = 22  # bits of the marks of strings
 
 _KEEP = np.full(256, PAD, dtype=np.uint8)
 for _b in range(256):
@@ -51,6 +61,9 @@ for _b in range(256):
     if _b >= 128 or _c.isalnum():
         _KEEP[_b] = ord(_c) if _b < 128 else _b
 
+# 32 classes of symbols: texts within some edits are within as many of them by class
+_CLASS = np.array([b - 96 if 97 <= b <= 122 else 0 if b == 32 else 27 + b % 5 for b in range(256)], dtype=np.uint64)
+
 
 def reduced(raw: bytes) -> bytes:
     """ASCII letters lower-cased, bytes of other characters kept, everything else one space."""
@@ -140,8 +153,165 @@ def repeats_for(items: list[bytes], stride: int, share: float = EDITS, recall: f
     return MOST if p <= 0 else max(LEAST, min(MOST, math.ceil(math.log(1 - recall) / math.log(1 - p))))
 
 
+def within_one(codes: np.ndarray, size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, codes, which) of the strings within one edit of strings of ``size`` classes, five bits each. An edit before the
+    first or behind the last symbol is seen as none or as another symbol there, one place on."""
+    which = np.arange(len(codes))
+    out = [(size, codes, which)]
+    for j in range(size):
+        at = np.uint64(5 * j)
+        low, high = codes & ((np.uint64(1) << at) - np.uint64(1)), codes >> at
+        for c in range(32):
+            symbol = np.uint64(c) << at
+            out.append((size, low | symbol | high >> np.uint64(5) << at + np.uint64(5), which))
+            if j:
+                out.append((size + 1, low | symbol | high << at + np.uint64(5), which))
+        if 0 < j < size - 1:
+            out.append((size - 1, low | high >> np.uint64(5) << at, which))
+    return out
+
+
+def _codes(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The next ``size`` classes from each place on, five bits each."""
+    if size == 1:
+        return symbols
+    half = _codes(symbols, (size + 1) // 2)
+    step = size // 2
+    return half[:-step] | half[step:] << np.uint64(5 * step)
+
+
+class Pieces:
+    """The pieces of items, all strings within one edit of them, and the groups of pieces that a hit must hold in."""
+
+    def __init__(self, items: list[tuple[int, bytes, int]]):
+        self.everywhere: list[int] = []
+        self.item, self.offset = [], []
+        codes: dict[int, list[tuple[int, int]]] = {}
+        patterns: list[tuple[bytes, int]] = []
+        groups: list[list[tuple[int, int]]] = []  # by piece: (pattern, its offset), from few pieces to many
+        for k, text, allowed in items:
+            n = allowed // 2 + 1
+            ends = [len(text) * j // n for j in range(n + 1)]
+            if len(text) // n < LEAST_PIECE:
+                self.everywhere.append(k)
+                continue
+            first = len(self.item)
+            for j in range(n):
+                piece = text[ends[j] : ends[j + 1]][:PIECE]
+                codes.setdefault(len(piece), []).append((sum(int(_CLASS[b]) << 5 * i for i, b in enumerate(piece)), first + j))
+                self.item.append(k)
+                self.offset.append(ends[j])
+                groups.append([])
+            size = 1
+            while size < 2 * n:
+                for j in range(0, n, size):
+                    last = min(n, j + size)
+                    if size > 1 and last - j <= size // 2:  # one group of the level before, again
+                        for one in range(first + j, first + last):
+                            groups[one].append(groups[one][-1])
+                    elif ends[last] - ends[j] <= WORD:
+                        patterns.append((text[ends[j] : ends[last]], 2 * (last - j) - 1))
+                        for one in range(first + j, first + last):
+                            groups[one].append((len(patterns) - 1, ends[j]))
+                size *= 2
+        self.item, self.offset = np.array(self.item, dtype=np.int64), np.array(self.offset, dtype=np.int64)
+        self.edits = np.array([e for _, e in patterns], dtype=np.int64)
+        self.sizes = np.array([len(t) for t, _ in patterns], dtype=np.int64)
+        self.peq = np.zeros((len(patterns), 32), dtype=np.uint64)
+        for p, (text, _) in enumerate(patterns):
+            for i, b in enumerate(text):
+                self.peq[p, int(_CLASS[b])] |= np.uint64(1 << i)
+        levels = max(map(len, groups), default=0)
+        # the first group is the piece by itself; a piece without a further group keeps its last one
+        self.groups = [np.array([g[min(level, len(g) - 1)] for g in groups], dtype=np.int64) for level in range(1, levels)]
+        parts = []
+        for size, some in codes.items():
+            ids = np.array([i for _, i in some], dtype=np.int64)
+            for length, strings, which in within_one(np.array([c for c, _ in some], dtype=np.uint64), size):
+                parts.append((strings << np.uint64(4) | np.uint64(length), ids[which].astype(np.int32)))
+        self.lengths = sorted({n + e for n in codes for e in (-1, 0, 1)})
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
+        ids = np.concatenate([np.zeros(0, np.int32), *(i for _, i in parts)])
+        order = np.lexsort((ids, keys, self._mark(keys)))
+        keys, ids = keys[order], ids[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        self.keys, self.ids = keys[new], ids[new]
+
+    @staticmethod
+    def _mark(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARKS)).astype(np.int64)
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmap of the first symbols of the known strings, as many as the shortest has; and where the strings of a mark begin."""
+        seen = np.zeros(1 << MARKS, dtype=bool)
+        seen[self._mark(self.keys >> np.uint64(4) & np.uint64((1 << 5 * self.lengths[0]) - 1))] = True
+        return seen, np.searchsorted(self._mark(self.keys), np.arange((1 << MARKS) + 1)).astype(np.int32)
+
+    def hits(self, buffer: np.ndarray, marks: tuple[np.ndarray, np.ndarray]):
+        """(place of the piece in ``buffer``, piece), by arrays, where every group holds. ``buffer`` begins and ends in pads."""
+        symbols = _CLASS[buffer]
+        shortest, longest = self.lengths[0], self.lengths[-1]
+        seen, starts = marks
+        held, rows = [], 0
+        for begin in range(0, len(buffer) - longest + 1, PLACES):
+            some = symbols[begin : begin + PLACES + longest - 1]
+            whole = _codes(some, shortest)[: len(some) - longest + 1]
+            at = np.flatnonzero(seen[self._mark(whole)])
+            code = whole[at]
+            for length in range(shortest, longest + 1):
+                if length > shortest:
+                    code |= some[at + length - 1] << np.uint64(5 * (length - 1))
+                if length in self.lengths:
+                    keys = code << np.uint64(4) | np.uint64(length)
+                    mark = self._mark(keys)
+                    left = starts[mark].astype(np.int64)
+                    count = starts[mark + 1] - left
+                    total = np.cumsum(count)
+                    which = np.repeat(np.arange(len(count)), count)
+                    entry = np.arange(len(which)) + np.repeat(left - total + count, count)
+                    same = self.keys[entry] == keys[which]
+                    held.append((at[which[same]] + begin, self.ids[entry[same]].astype(np.int64)))
+                    rows += len(held[-1][0])
+            if rows >= PLACES or begin + PLACES >= len(buffer) - longest + 1:
+                place, piece = (np.concatenate(x) for x in zip(*held, strict=True))
+                for i in range(0, len(place), PLACES):
+                    p, q = place[i : i + PLACES], piece[i : i + PLACES]
+                    for group in self.groups:
+                        near = self._held(symbols, p, q, group)
+                        p, q = p[near], q[near]
+                    if len(p):
+                        yield p, q
+                held, rows = [], 0
+
+    def _held(self, symbols: np.ndarray, place: np.ndarray, piece: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Whether the group of each piece is near its place within its edits: ``best_distance`` of many at once, by class."""
+        pattern, offset = group[piece, 0], group[piece, 1]
+        edits, size = self.edits[pattern], self.sizes[pattern]
+        at = place - (self.offset[piece] - offset) - edits
+        kind = np.uint32 if size.max(initial=0) <= 32 else np.uint64
+        peq, row = self.peq.ravel().astype(kind), pattern * 32
+        one, top = kind(1), (size - 1).astype(kind)
+        vp, vn = np.full(len(place), ~kind(0)), np.zeros(len(place), dtype=kind)
+        signed = np.int32 if kind is np.uint32 else np.int64
+        score = size.astype(signed)
+        best = score.copy()
+        for step in range(int((size + 2 * edits).max(initial=0))):
+            x = peq[row + np.take(symbols, at + step, mode="clip").view(np.int64)] | vn
+            d0 = ((vp + (x & vp)) ^ vp) | x
+            hn = vp & d0
+            hp = vn | ~(vp | d0)
+            score += (hp >> top & one).view(signed)
+            score -= (hn >> top & one).view(signed)
+            hp <<= one
+            vn = hp & d0
+            vp = (hn << one) | ~(hp | d0)
+            np.minimum(best, score, out=best)
+        return best <= edits
+
+
 class Index:
-    """Hashes of all items at all offsets, and the verification of hits."""
+    """Hashes of all items at all offsets, the pieces of the items, and the verification of hits."""
 
     def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY):
         self.items = items
@@ -151,6 +321,7 @@ class Index:
         self.stride = max(1, min((len(t) for _, t in long), default=BRIEF) // 3)
         self._count_grams([(k, t) for k, (_, t) in enumerate(items) if SHORT <= len(t) < BRIEF])
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pieces = Pieces([(k, t, self.allowed[k]) for k, t in long])
         if not long:
             return
         self.walks = Walks.make(repeats_for([t for _, t in long], self.stride))
@@ -209,12 +380,13 @@ class Index:
                 yield k, max(0, c * size - BRIEF - edits), (c + 2) * size - BRIEF + len(self.items[k][1]) + edits
 
     def _filters(self) -> list[np.ndarray]:
+        """Of each table, and of the pieces behind them."""
         out = []
         for keys, _, _ in self.tables:
             seen = np.zeros(1 << 22, dtype=bool)
             seen[(keys >> np.uint64(42)).astype(np.int64)] = True
             out.append(seen)
-        return out
+        return [*out, self.pieces.marks()] if len(self.pieces.keys) else out
 
     def search(self, documents: list[bytes], filters: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, distance): the best match of each item in each of the reduced documents."""
@@ -237,9 +409,23 @@ class Index:
                         d = int(np.searchsorted(starts, g, "right")) - 1
                         # offsets of one item that hash alike say the same place within the slack below
                         guesses.update((d, int(k), (g - int(starts[d]) - int(o)) // 16) for k, o in zip(item[a:b], offset[a:b], strict=True))
-            for d, k, near in sorted(guesses):
+            if len(self.pieces.keys):
+                for place, piece in self.pieces.hits(np.concatenate([pad, buffer]), filters[-1]):
+                    place = place - STEPS
+                    which = np.maximum(np.searchsorted(starts, place, "right") - 1, 0)
+                    near = (place - starts[which] - self.pieces.offset[piece]) // 16
+                    guesses.update(zip(which.tolist(), self.pieces.item[piece].tolist(), near.tolist(), strict=True))
+            ahead = iter([*sorted(guesses), None])
+            run = next(ahead)
+            while run is not None:  # neighbouring guesses are verified at once
+                (d, k, first), last = run, run[2]
+                while (run := next(ahead)) is not None and run[:2] == (d, k) and run[2] <= last + 2:
+                    last = run[2]
                 slack = self.allowed[k] + 16
-                self._verify(d, k, max(0, near * 16 - slack), near * 16 + len(self.items[k][1]) + slack, documents[d], best)
+                self._verify(d, k, max(0, first * 16 - slack), max(0, last * 16 + len(self.items[k][1]) + slack), documents[d], best)
+            for k in self.pieces.everywhere:
+                for d, text in enumerate(documents):
+                    self._verify(d, k, 0, len(text), text, best)
         if len(self.grams):
             for d, text in enumerate(documents):
                 for k, low, high in self._brief(text):

@@ -90,3 +90,30 @@ def test_awkward_rows(awkward, nothing, benchmark):
     assert stay.columns == awkward.columns
     assert {r.doc_id for r in stay.collect()} == {r.doc_id for r in awkward.collect()} - {1, 2, 12}
     assert leaks.find_leaks(nothing, items).count() == leaks.find_leaks(awkward, items.limit(0)).count() == 0
+
+
+def test_every_match_up_to_the_threshold_is_found():
+    rnd = random.Random(13)
+    items = [(k, leaks.reduced(words(rnd, rnd.randint(10, 60)).encode())) for k in range(24)]
+    items = [(k, t) for k, t in items if len(t) >= leaks.BRIEF]
+    docs = [b""]
+    for k, (_, t) in enumerate(items):
+        for edits in (int(0.2 * len(t) + 1e-9), int(0.16 * len(t))):  # at the threshold, and below
+            changed = bytearray(t)
+            for j, at in enumerate(sorted(rnd.sample(range(len(t)), edits) if k % 2 else [i * len(t) // edits for i in range(edits)], reverse=True)):
+                changed[at : at + 1] = (b"", b"#", bytes([changed[at]]) + b"7")[(j + k) % 3]
+            around = [b"", leaks.reduced(words(rnd, 40).encode())]
+            docs.append(around[k % 2] + bytes(changed) + around[edits % 2])
+    index = leaks.Index(items)
+    got = {(d, k): n for d, k, _, _, n in index.search(docs, index._filters())}
+    best = {(d, k): leaks.best_distance(t, text)[0] for d, text in enumerate(docs) for k, (_, t) in enumerate(items)}
+    assert got == {p: n for p, n in best.items() if n <= int(0.2 * len(items[p[1]][1]) + 1e-9)}
+    assert len(got) >= 2 * len(items)
+
+
+def test_items_of_very_short_pieces_are_verified_everywhere():
+    item = b"a sentence of some length that may be edited in more than half of all its letters"
+    index = leaks.Index([(1, item)], similarity=0.4)
+    text = b"x" * 50 + bytes(c if i % 2 else 35 for i, c in enumerate(item)) + b"y" * 50
+    assert index.pieces.everywhere == [0]
+    assert [(d, k, n) for d, k, _, _, n in index.search([b"", text], index._filters())] == [(1, 0, leaks.best_distance(item, text)[0])]
