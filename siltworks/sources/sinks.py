@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from itertools import groupby
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 STATUS = "source string, target string, rows bigint, error string"
@@ -61,15 +65,46 @@ def write_layer(df: DataFrame, path: str) -> int:
     return rows
 
 
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # the file of texts without a path
+
+
+def _write_texts(rows: Iterable, files, top: str) -> None:
+    """Write rows (at, value), sorted by ``at``, to one file for each ``at`` below ``top``."""
+    local = files.type_name == "local"
+    for at, some in groupby(rows, key=lambda r: r["at"]):
+        path = f"{top}/{at}"
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        if local:  # a checksum that Hadoop left for an older file
+            sums = "/.".join(path.rsplit("/", 1)) + ".crc"
+            if files.get_file_info(sums).is_file:
+                files.delete_file(sums)
+        with files.open_output_stream(path) as out:
+            for row in some:
+                out.write((row["value"] or "").encode() + b"\n")
+
+
 def write_corpus(corpus: DataFrame, path_column: str, root: str) -> None:
     """Write every text of ``corpus(<path_column>, source)`` to a file of its own, at its path below ``root``.
 
-    Tasks write the texts; the driver only renames the files. A text ends with one line break in its file.
+    Tasks write the files where they belong. Texts of one path share its file. A text ends with one line break in its file.
+    Where only Hadoop knows the scheme of ``root``, tasks write the texts and the driver renames the files.
     """
-    spark = corpus.sparkSession
     root = root.rstrip("/")
+    at = F.coalesce(F.nullif(F.regexp_replace(path_column, "^/+", ""), F.lit("")), F.lit(NO_NAME))
+    named = corpus.select(at.alias("at"), F.regexp_replace("source", r"\n\z", "").alias("value"))
+    # texts of one path meet in one task
+    named = named.repartition("at").sortWithinPartitions("at")
+    try:
+        files, top = FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        _write_renamed(named, root)
+        return
+    named.foreachPartition(partial(_write_texts, files=files, top=top))
+
+
+def _write_renamed(named: DataFrame, root: str) -> None:
+    spark = named.sparkSession
     staged = f"{root}/_staged-{uuid.uuid4().hex}"
-    named = corpus.select(F.regexp_replace(path_column, "^/+", "").alias("at"), F.regexp_replace("source", r"\n\z", "").alias("value"))
     named.write.partitionBy("at").text(staged)
     files, top = _files(spark, staged)
     for folder in files.listStatus(top):

@@ -314,3 +314,27 @@ def test_split_reaches_the_reader(spark, tmp_path):
     assert sorted(seen, key=str) == [("a", None), ("b", split)]
     assert split.predicates() == ["id < 10 OR id IS NULL", "id >= 10 AND id < 20", "id >= 20"]
     assert Split("d", ("o'x",)).predicates() == ["d < 'o''x' OR d IS NULL", "d >= 'o''x'"]
+
+
+def test_tasks_write_the_files_of_a_corpus(spark, tmp_path, monkeypatch):
+    from siltworks.sources import sinks
+
+    monkeypatch.setattr(sinks, "_files", None)  # the driver touches no file
+    rows = [("/a/one.py", "x = 1"), ("/a/two=%20 +.py", "y\n"), ("b.py", "first"), ("b.py", "second\n\n"), ("c.py", None), (None, "lost")]
+    sinks.write_corpus(spark.createDataFrame(rows, "p string, source string"), "p", f"{tmp_path}/c/")
+    found = {str(f.relative_to(tmp_path / "c")): f.read_text() for f in (tmp_path / "c").rglob("*") if f.is_file()}
+    assert sorted(found.pop("b.py").split("\n")) == ["", "", "first", "second"]
+    assert found == {"a/one.py": "x = 1\n", "a/two=%20 +.py": "y\n", "c.py": "\n", sinks.NO_NAME: "lost\n"}
+
+
+def test_a_corpus_below_a_scheme_that_only_hadoop_knows(spark, tmp_path, monkeypatch):
+    from siltworks.sources import sinks
+
+    class Unknown:
+        @staticmethod
+        def from_uri(uri):
+            raise sinks.pa.ArrowInvalid(uri)
+
+    monkeypatch.setattr(sinks, "FileSystem", Unknown)
+    sinks.write_corpus(spark.createDataFrame([("/a/one.py", "x = 1")], "p string, source string"), "p", f"{tmp_path}/c")
+    assert (tmp_path / "c/a/one.py").read_text() == "x = 1\n"
