@@ -15,13 +15,18 @@ MARKS = [(100, "✔"), (80, "△")]
 LOWEST_MARK = "✗"
 
 
-def _sides(gen: DataFrame, truth: DataFrame) -> DataFrame:
-    """Distinct items with flags for both sides, in one shuffle with a combine before it."""
+def _sides(gen: DataFrame, truth: DataFrame, met: bool = False) -> DataFrame:
+    """Distinct items with flags for both sides, in one shuffle with a combine before it.
+
+    ``met`` leaves the combine out, for items that hardly repeat: it would hold all items that a task reads.
+    """
     columns = gen.columns
     yes, no = F.lit(True), F.lit(False)
     both = gen.withColumn("in_gen", yes).withColumn("in_truth", no).unionByName(
         truth.select(columns).withColumn("in_gen", no).withColumn("in_truth", yes)
     )
+    if met:
+        both = both.repartition(*columns)
     return both.groupBy(*columns).agg(F.max("in_gen").alias("in_gen"), F.max("in_truth").alias("in_truth"))
 
 
@@ -55,14 +60,14 @@ def _scored(sides: DataFrame, by: list[str]) -> DataFrame:
     return counted.withColumns({"precision": _percent(p), "recall": _percent(r), "f1": _percent(f1)})
 
 
-def outcomes(gen: DataFrame, truth: DataFrame) -> DataFrame:
+def outcomes(gen: DataFrame, truth: DataFrame, met: bool = False) -> DataFrame:
     """Every distinct item with its outcome: tp, fp or fn.
 
     Rows rather than one list per score, since a list would gather a whole graph in one task.
     """
     g, t = F.col("in_gen"), F.col("in_truth")
     label = F.when(g & t, "tp").when(g, "fp").otherwise("fn")
-    sides = _sides(gen, truth)
+    sides = _sides(gen, truth, met)
     items = [c for c in sides.columns if c not in ("in_gen", "in_truth")]
     return sides.select(label.alias("outcome"), *items).orderBy("outcome", *items)
 
@@ -83,16 +88,16 @@ def transform_items(edges: DataFrame) -> DataFrame:
 
 
 def edge_quality(gen: DataFrame, truth: DataFrame) -> DataFrame:
-    return confusion(edge_items(gen), edge_items(truth), [])
+    return _scored(_sides(edge_items(gen), edge_items(truth), met=True), [])
 
 
 def edge_outcomes(gen: DataFrame, truth: DataFrame) -> DataFrame:
-    return outcomes(edge_items(gen), edge_items(truth))
+    return outcomes(edge_items(gen), edge_items(truth), met=True)
 
 
 def edge_quality_by_script(gen: DataFrame, truth: DataFrame) -> DataFrame:
     """Per script of the truth."""
-    return confusion(edge_items(gen, "script"), edge_items(truth, "script"), ["script"])
+    return _scored(_sides(edge_items(gen, "script"), edge_items(truth, "script"), met=True), ["script"])
 
 
 def _edge_keys(edges: DataFrame) -> DataFrame:

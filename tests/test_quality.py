@@ -78,3 +78,10 @@ def test_one_pass_scores_are_the_separate_ones(spark):
     edge, script = quality.edge_scores(gen, truth)
     assert edge.collect() == quality.edge_quality(gen, truth).collect()
     assert sorted(script.collect()) == sorted(quality.edge_quality_by_script(gen, truth).collect())
+
+
+def test_edge_items_are_not_held_before_they_meet(spark):
+    edges = spark.createDataFrame([("a", "b", "s"), ("a", "b", "s"), (None, "c", "s"), ("x", "y", None)], "source_id string, target_id string, script string")
+    for made, n in ((quality.edge_outcomes(edges, edges.limit(1)), 3), (quality.edge_quality(edges, edges), 1), (quality.edge_quality_by_script(edges, edges), 2)):
+        assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == n
