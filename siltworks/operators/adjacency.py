@@ -85,11 +85,12 @@ class GraphStore:
         # bounded as in hot_among
         return rows.join(F.broadcast(rows.sparkSession.createDataFrame(self.hot[near], kind)), number, "left")
 
-    def met(self, at: Stored, near: str, *columns: str, once: bool = True) -> DataFrame:
+    def met(self, at: Stored, near: str, *columns: str, once: bool = True, often: list[tuple] | None = None) -> DataFrame:
         """Rows of ``at`` (with a node number ``id``) joined to the edges whose ``near`` end that node is.
 
         A measured small ``at`` is broadcast. An edge that comes several times counts once, unless ``once`` is off. Otherwise only ``at`` is shuffled, to the buckets of the edges. A node that is
-        frequent in ``at`` itself is met apart: the edges of such nodes are few and go to its rows.
+        frequent in ``at`` itself is met apart: the edges of such nodes are few and go to its rows. ``often`` are these nodes
+        where they are known (see ``hot_keys``).
         """
         number = NUMBERS[near]
         if at.small:
@@ -100,11 +101,11 @@ class GraphStore:
             self.add_end(near)
         edges = self.edges[near].select(F.col(number).alias("id"), "lane", *columns)
         rows, apart = at.df, None
-        often = hot_keys(rows.select("id"), "id")
+        often = hot_keys(rows.select("id"), "id") if often is None else often
         if often:
             keys = rows.sparkSession.createDataFrame([(k,) for k, _ in often], "id bigint")  # bounded as in hot_keys
             some = cut(edges.join(F.broadcast(keys), "id", "left_semi").drop("lane"), "edges-of-frequent")
-            apart = skew_join(rows.join(F.broadcast(keys), "id", "left_semi"), some, "id", both=not some.small)
+            apart = skew_join(rows.join(F.broadcast(keys), "id", "left_semi"), some, "id", both=not some.small, hot_left=often)
             rows = rows.join(F.broadcast(keys), "id", "left_anti")
         rows = self._laned(rows, near, "id")
         # always 0, but no literal: that would leave the join condition and with it the buckets

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.operators.adjacency import EDGE, NUMBERS, OTHER, GraphStore, graph_store
-from siltworks.operators.skew import skew_join
+from siltworks.operators.skew import hot_keys, skew_join
 from siltworks.sources.scratch import Stored, cut
 
 SUMMARY = ["node_id", "node_type", "layer", "table_name", "full_name", "format", "row_count", "column_count", "scanned_at"]
@@ -150,11 +150,15 @@ def _traverse(
     seed_names = start.renamed({"id": "seed", "node_id": "seed_id"})
     at = Stored(reached.df.select("seed", "id"), reached.rows, reached.bytes)
     if reached.small:  # measured
-        found = attributes.join(F.broadcast(reached.df), "id")
+        found = skew_join(attributes.join(F.broadcast(reached.df), "id"), seed_names, "seed", left_keys=reached.df)
+        crossed = skew_join(store.met(at, near, *EDGE), seed_names, "seed", left_keys=reached.df)
     else:
-        found = skew_join(reached.df, attributes, "id")
-    found = skew_join(found, seed_names, "seed", left_keys=reached.df)
-    crossed = skew_join(store.met(at, near, *EDGE), seed_names, "seed", left_keys=reached.df)
+        # seeds get their names while rows are pairs of numbers: no row with its attributes moves for that
+        hot = [] if start.small else hot_keys(reached.df.select("seed"), "seed")
+        named = cut(skew_join(reached.df, seed_names, "seed", hot_left=hot), "reached")
+        often = hot_keys(reached.df.select("id"), "id")
+        found = skew_join(named.df, attributes, "id", hot_left=often)
+        crossed = store.met(named.select("seed_id", "id"), near, *EDGE, often=often)
     return found.select("seed_id", "node_id", "hop", *SUMMARY[1:-1], "location"), crossed.select("seed_id", *EDGE)
 
 

@@ -6,7 +6,7 @@ Two tools:
   dimension when its measured size allows; if not, rows with a NULL key (which never match) are
   spread over all tasks instead of meeting in one.
 * ``skew_join`` joins two inputs that both grow with the data. Keys that hold more rows than a task should are found
-  once (``hot_keys``: a sketch proposes them, an exact count decides) and handed to both sides as the same short list.
+  once (``hot_keys``: counts by hash bucket propose them, an exact count decides) and handed to both sides as the same short list.
   Their rows are dealt over as many lanes as their count asks for, and the matching rows of the other side are
   copied once per lane. Every row of a dealt side meets exactly one copy, so the result is the plain join's.
 """
@@ -23,7 +23,8 @@ from siltworks.sources.scratch import Stored, cut
 LANES = 8
 # A key is hot from this part of a task's mean rows on.
 HOT = 0.5
-LEAST_SHARE = 1e-4  # the sketch takes no smaller one
+LEAST_SHARE = 1e-4
+BUCKETS = 1 << 14  # hash buckets in which rows are counted to find hot keys
 
 
 def tasks(df: DataFrame) -> int:
@@ -89,18 +90,24 @@ def hot_lookup(facts: DataFrame, dimension: Stored, key: str) -> DataFrame:
 def hot_keys(df: DataFrame, key: str) -> list[tuple]:
     """(value, lanes) of the keys with more than ``HOT`` of the rows that a task has on average.
 
-    The sketch misses none of them and proposes at most ``1 / share`` values, so what is collected is bounded by twice
-    the number of tasks (and by 10,000). Runs one job.
+    Rows are counted by hash bucket first. A hot key's bucket has as many rows, and at most ``1 / share`` buckets do; only rows of
+    these are counted by key, so what is collected is bounded by twice the number of tasks (and by 10,000). Runs one job whose
+    work per row is small, and a second one if there is such a bucket.
     """
     share = max(LEAST_SHARE, HOT / tasks(df))
-    proposed = df.stat.freqItems([key], share).select(F.explode(F.col(f"{key}_freqItems")).alias(key))
-    proposed = proposed.filter(F.col(key).isNotNull()).distinct().withColumn("_proposed", F.lit(True))
-    # bounded by 1 / share values
-    met = df.select(key).join(F.broadcast(proposed), key, "left")
-    counted = met.groupBy(F.when(F.col("_proposed"), F.col(key)).alias(key)).count().collect()
-    total = sum(r["count"] for r in counted)
+    rows = df.select(key).withColumn("_bucket", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(BUCKETS))))
+    every = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one list of ``BUCKETS`` pairs of numbers, of which the full ones are kept
+    summed = every.agg(F.sum("_n").alias("total"), F.collect_list(F.struct("_bucket", "_n")).alias("each"))
+    full = F.filter("each", lambda b: b["_bucket"].isNotNull() & (b["_n"] > F.lit(share) * F.col("total")))
+    found = summed.select("total", F.transform(full, lambda b: b["_bucket"]).alias("full")).first()
+    if not found["full"]:
+        return []
+    likely = F.broadcast(df.sparkSession.createDataFrame([(b,) for b in found["full"]], "_bucket bigint"))
+    counted = rows.join(likely, "_bucket", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = found["total"]
     lane_rows = max(1.0, total / (2 * LANES * tasks(df)))
-    hot = [(r[key], math.ceil(r["count"] / lane_rows)) for r in counted if r[key] is not None and r["count"] > share * total]
+    hot = [(r[key], math.ceil(r["_n"] / lane_rows)) for r in counted.filter(F.col("_n") > share * total).collect()]
     return sorted(hot, key=repr)
 
 

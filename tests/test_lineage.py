@@ -129,3 +129,15 @@ def test_lists_are_ordered(spark):
     e = spark.createDataFrame(rows, EDGE).repartition(3)
     got = [(r["layer"], r["dag_id"], r["source_id"], r["target_id"]) for r in lineage.list_edges(e).collect()]
     assert got == sorted((r[4], r[3], r[0], r[1]) for r in rows)
+
+
+def test_seeds_are_named_before_rows_get_wide(spark, unbroadcast, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i}", "t", "l", f"n{i}", f"n{i}", "p", 1, 1, "", "") for i in range(6)], "node_id string, node_type string, layer string, table_name string, full_name string, format string, row_count bigint, column_count bigint, scanned_at string, location string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "s", "d", "l", "x") for i in range(5)] * 2, "source_id string, target_id string, script string, dag_id string, layer string, transformations string")
+    moved = []
+    plain = lineage.skew_join
+    monkeypatch.setattr(lineage, "skew_join", lambda left, right, key, *a, **k: moved.append((key, left.columns)) or plain(left, right, key, *a, **k))
+    found, crossed = lineage.downstream(nodes, edges, spark.createDataFrame([("n0",), ("n3",)], "node_id string"))
+    assert sorted((r.seed_id, r.node_id, r.hop) for r in found.collect()) == [("n0", "n0", 0), ("n0", "n1", 1), ("n0", "n2", 2), ("n3", "n3", 0), ("n3", "n4", 1), ("n3", "n5", 2)]
+    assert sorted((r.seed_id, r.source_id) for r in crossed.collect()) == [("n0", "n0"), ("n0", "n1"), ("n0", "n2"), ("n3", "n3"), ("n3", "n4")]
+    assert all(set(columns) <= {"seed", "id", "hop"} for key, columns in moved if key == "seed")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltworks.operators import skew
 from siltworks.operators.skew import hot_keys, hot_lookup, lookup, skew_join
 from siltworks.sources import scratch
 from siltworks.sources.scratch import cut
@@ -124,3 +125,14 @@ def test_stored_tables_know_the_bytes_of_their_columns(spark):
     few = stored.select("k", "t")
     assert few.bytes == 48 + 53 and few.df.columns == ["k", "t"]
     assert stored.renamed({"k": "key"}).select("key").bytes == 48
+
+
+def test_hot_keys_are_found_by_plain_counts(spark, facts, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "stat", None)  # no sketch, whose work per row grows with the number of tasks
+    total = facts.count()
+    share = skew.HOT / skew.tasks(facts)
+    want = [r["key"] for r in facts.groupBy("key").count().collect() if r["key"] is not None and r["count"] > share * total]
+    assert [k for k, _ in hot_keys(facts, "key")] == sorted(want)
+    assert hot_keys(facts.limit(0), "key") == hot_keys(facts.filter("key IS NULL"), "key") == []
