@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,6 +34,21 @@ CAPACITY = 2048
 END_ID = 0
 SEEN = 16_000_000  # characters of words whose ids a task remembers
 AT_ONCE = 1 << 20  # characters of one text that are split at a time
+JOINED = 1000  # words of letters that the tokenizer gets as one text
+END_OF_WORD = "</w>"  # suffix of tokens that end a word
+
+
+class Numbers(dict):
+    """Words by number; a new word gets the next number and is noted in ``fresh``."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class WordIds:
@@ -40,7 +56,7 @@ class WordIds:
 
     The tokenizer never joins letters over a blank, so the ids of a text are those of its words, one after the other.
     Only ASCII blanks part words here; any other white space stays inside a word and is left to the library. It lowers
-    letters and parts them from the mark behind them, so that ``Word,`` is looked up as ``word`` and ``,``.
+    letters and parts them from the marks behind them, so that ``Word,`` is looked up as ``word`` and ``,``.
     """
 
     def __init__(self, path: str):
@@ -48,56 +64,79 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        known = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(known.values(), default=0) + 1, dtype=bool)  # ids that end a word
+        self.last[[n for token, n in known.items() if token.endswith(END_OF_WORD)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.cores: dict[str, int] = {"": 0}
-        self.at: dict[str, int] = {"": 0}
-        self.two = [np.zeros((1, 2), dtype=np.int32)]  # by word: its core and its mark
+        self.at = Numbers()
+        self.two = [np.zeros((1, 2), dtype=np.int32)]  # by word: its core and its marks
         self.flat = [np.zeros(0, dtype=np.uint32)]  # ids of the cores
         self.sizes = [np.zeros(1, dtype=np.int64)]
         self.held = 0
         self.table: tuple | None = None
 
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.at)
-        if new and self.held > SEEN:
+    def make_room(self) -> None:
+        if self.held > SEEN:
             self.forget()
-            new = words.difference(self.at)
-        if not new:
-            return
-        parts = [core_and_mark(w) for w in new]
-        cores = sorted(set(chain.from_iterable(parts)).difference(self.cores))
-        found = [e.ids for e in self.library.encode_batch_fast(cores, add_special_tokens=False)]
-        self.cores.update(zip(cores, range(len(self.cores), len(self.cores) + len(cores)), strict=True))
-        self.sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-        self.flat.append(np.array(list(chain.from_iterable(found)), dtype=np.uint32))
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        numbers = np.fromiter(map(self.cores.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=2 * len(parts))
-        self.two.append(numbers.reshape(-1, 2))
-        self.held += sum(map(len, new))
-        self.table = None
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        try:
-            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        except KeyError:  # not seen yet, or forgotten
-            self.learn(set(words))
-            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        if self.table is None:
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def learn(self) -> None:
+        """Find the ids of the words that were met for the first time."""
+        new, self.at.fresh = self.at.fresh, []
+        if new:
+            parts = [core_and_marks(w) for w in new]
+            plain = list({core for core, _, letters in parts if letters}.difference(self.cores))
+            self._keep(plain, *self._joined(plain))
+            # after the plain ones are kept: a word may be the core of another
+            other = set(chain.from_iterable((core, marks) for core, marks, _ in parts)).difference(self.cores)
+            self._keep(list(other), *self._by_one(list(other)))
+            number = self.cores.__getitem__
+            self.two.append(np.array([(number(core), number(marks)) for core, marks, _ in parts], dtype=np.int32))
+            self.held += sum(map(len, new))
+        if new or self.table is None:
             self.two, self.flat, self.sizes = ([np.concatenate(x)] for x in (self.two, self.flat, self.sizes))
             self.table = self.two[0], self.flat[0], self.sizes[0], np.cumsum(self.sizes[0]) - self.sizes[0]
+
+    def _keep(self, cores: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.cores.update(zip(cores, range(len(self.cores), len(self.cores) + len(cores)), strict=True))
+        self.flat.append(flat)
+        self.sizes.append(sizes)
+
+    def _by_one(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of any cores."""
+        found = [e.ids for e in self.library.encode_batch_fast(cores, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _joined(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for cores of letters, many to a text: each of them ends in an id that ends a word."""
+        joined = [" ".join(cores[k : k + JOINED]) for k in range(0, len(cores), JOINED)]
+        found = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *found])
+        sizes = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        # a vocabulary without such ids tells no words apart
+        return (flat, sizes) if len(sizes) == len(cores) and sizes.sum() == len(flat) else self._by_one(cores)
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
         two, flat, sizes, starts = self.table
-        parts = two[at].ravel()
+        parts = two[numbers].ravel()
         each = sizes[parts]
         shift = starts[parts] - (np.cumsum(each) - each)
         return flat[np.repeat(shift, each) + np.arange(each.sum())]
 
 
-def core_and_mark(word: str) -> tuple[str, str]:
-    """Two parts that the tokenizer keeps apart: ASCII letters, lowered, and one mark behind them. Else the word as it is."""
-    core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-    return (core.lower(), mark) if core.isascii() and core.isalpha() else (word, "")
+# letters that stay as they are when texts are composed, and lower to one letter
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def core_and_marks(word: str) -> tuple[str, str, bool]:
+    """Two parts that the tokenizer keeps apart: letters, lowered, and ASCII marks behind them (True). Else the word as it is."""
+    found = PLAIN(word)
+    return (found[1].lower(), found[2], True) if found else (word, "", False)
 
 
 def words(text: str) -> Iterator[list[str]]:
@@ -119,13 +158,23 @@ def word_ids(path: str) -> WordIds:
 
 def encode(known: WordIds, batch: list[str]) -> Iterator[np.ndarray]:
     """Ids of every text of a batch, without special tokens."""
-    short = [next(words(t), []) if len(t) <= AT_ONCE else None for t in batch]
-    known.learn(set().union(*(s for s in short if s)))
-    for text, parts in zip(batch, short, strict=True):
-        found = []
-        for some in [parts] if parts is not None else words(text):
-            found.append(known.ids(some))
-        yield np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
+    at = 0
+    while at < len(batch):
+        # numbers hold until words are forgotten: short texts are taken together, a long one part by part
+        upto = next((k for k in range(at, len(batch)) if len(batch[k]) > AT_ONCE), len(batch))
+        known.make_room()
+        numbers = [known.numbers(next(words(t), [])) for t in batch[at:upto]]
+        known.learn()
+        yield from map(known.ids, numbers)
+        if upto < len(batch):
+            found = []
+            for some in words(batch[upto]):
+                known.make_room()
+                few = known.numbers(some)
+                known.learn()
+                found.append(known.ids(few))
+            yield np.concatenate(found)
+        at = upto + 1
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, part int, number bigint"

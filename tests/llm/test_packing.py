@@ -124,5 +124,30 @@ def test_long_texts_are_read_in_parts(documents, monkeypatch):
     assert [list(x) for x in packing.encode(known, [t for _, t in pairs])] == whole
 
 
+def test_words_are_split_as_the_library_splits_them():
+    known, library = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    odd = [chr(c) for c in range(0x21, 0x250)] + ["ΑΣ", "Σ", "\u212a", "\u0958", "e\u0301", "İ", "ǅ", "ŉ"]
+    texts = [f"{c}, a{c}b! {c}### It{c}s 'S{c}' <|endoftext|>{c}. {c}9-Ab?! {c * 3}_{c}" for c in odd]
+    assert [list(x) for x in packing.encode(known, texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_library_is_not_called_word_by_word():
+    class Counted:
+        def __init__(self, library):
+            self.library, self.texts = library, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    known = packing.WordIds(PATH)
+    known.library = counted = Counted(known.library)
+    made = [f"{a}{b}{c}" for a in "klmnoprstä" for b in "aeiouáéíóú" for c in "bdfgjvwxyz"]
+    texts = [" ".join(w + m for w in made) for m in ("", ",", "###", "?!")]
+    whole = [list(x) for x in packing.encode(known, texts)]
+    assert counted.texts <= 10
+    assert whole == [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_empty_table(nothing):
     assert pack(nothing, PATH).collect() == []
