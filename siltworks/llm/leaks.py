@@ -54,6 +54,8 @@ LEAST_PIECE = 4  # items whose pieces are shorter are verified everywhere
 WORD = 64  # characters of a group of pieces, at most
 PLACES = 1 << 14  # places of documents looked up at a time
 MARKS = 22  # bits of the marks of strings
+KNOWN = 25  # bits of the marks that tell whether a string is known
+FEW = 32  # guesses that are verified without a look at their blocks
 
 _KEEP = np.full(256, PAD, dtype=np.uint8)
 for _b in range(256):
@@ -89,11 +91,11 @@ class Walks:
         out = np.zeros(len(at), dtype=np.uint64)
         wanted = set(self.steps[table])
         for step in range(max(self.steps[table]) + 1):
-            symbol = buffer[place]
+            symbol = np.take(buffer, place, mode="clip")
             if step in wanted:
                 out = (out ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
                 out ^= out >> np.uint64(29)
-            place += self.bits[table, step][symbol]
+            place += np.take(self.bits[table, step], symbol, mode="clip")
         return out
 
 
@@ -180,6 +182,13 @@ def _codes(symbols: np.ndarray, size: int) -> np.ndarray:
     return half[:-step] | half[step:] << np.uint64(5 * step)
 
 
+def _set(packed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the bits are set in a bitmap."""
+    found = np.take(packed, bits >> 3, mode="clip")
+    found >>= bits.astype(np.uint8) & 7
+    return np.flatnonzero(found & 1)
+
+
 class Pieces:
     """The pieces of items, all strings within one edit of them, and the groups of pieces that a hit must hold in."""
 
@@ -189,6 +198,7 @@ class Pieces:
         codes: dict[int, list[tuple[int, int]]] = {}
         patterns: list[tuple[bytes, int]] = []
         groups: list[list[tuple[int, int]]] = []  # by piece: (pattern, its offset), from few pieces to many
+        blocks = np.zeros((1 + max((k for k, _, _ in items), default=0), 2), dtype=np.int64)  # by item: first pattern, how many
         for k, text, allowed in items:
             n = allowed // 2 + 1
             ends = [len(text) * j // n for j in range(n + 1)]
@@ -202,6 +212,10 @@ class Pieces:
                 self.item.append(k)
                 self.offset.append(ends[j])
                 groups.append([])
+            # blocks of the whole item: what they are short of adds up
+            cuts = range(0, len(text), -(-len(text) // -(-len(text) // WORD)))
+            blocks[k] = (len(patterns), len(cuts))
+            patterns += [(text[c : c + cuts.step], 0) for c in cuts]
             size = 1
             while size < 2 * n:
                 for j in range(0, n, size):
@@ -214,6 +228,7 @@ class Pieces:
                         for one in range(first + j, first + last):
                             groups[one].append((len(patterns) - 1, ends[j]))
                 size *= 2
+        self.blocks = blocks
         self.item, self.offset = np.array(self.item, dtype=np.int64), np.array(self.offset, dtype=np.int64)
         self.edits = np.array([e for _, e in patterns], dtype=np.int64)
         self.sizes = np.array([len(t) for t, _ in patterns], dtype=np.int64)
@@ -239,65 +254,84 @@ class Pieces:
         self.keys, self.ids = keys[new], ids[new]
 
     @staticmethod
-    def _mark(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARKS)).astype(np.int64)
-
-    def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bitmap of the first symbols of the known strings, as many as the shortest has; and where the strings of a mark begin."""
-        seen = np.zeros(1 << MARKS, dtype=bool)
+    def _mark(keys: np.ndarray, bits: int = MARKS) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bitmaps of the first symbols of the known strings, as many as the shortest has, and of whole strings; and where the
+        strings of a mark begin."""
+        # of bits, not bytes: many workers share a cache
+        seen, known = np.zeros(1 << MARKS, dtype=bool), np.zeros(1 << KNOWN, dtype=bool)
         seen[self._mark(self.keys >> np.uint64(4) & np.uint64((1 << 5 * self.lengths[0]) - 1))] = True
-        return seen, np.searchsorted(self._mark(self.keys), np.arange((1 << MARKS) + 1)).astype(np.int32)
+        known[self._mark(self.keys, KNOWN)] = True
+        starts = np.searchsorted(self._mark(self.keys), np.arange((1 << MARKS) + 1)).astype(np.int32)
+        return np.packbits(seen, bitorder="little"), np.packbits(known, bitorder="little"), starts
 
     def hits(self, buffer: np.ndarray, marks: tuple[np.ndarray, np.ndarray]):
         """(place of the piece in ``buffer``, piece), by arrays, where every group holds. ``buffer`` begins and ends in pads."""
         symbols = _CLASS[buffer]
         shortest, longest = self.lengths[0], self.lengths[-1]
-        seen, starts = marks
-        held, rows = [], 0
+        seen, known, starts = marks
+        held, rows, left_over = [], 0, []
         for begin in range(0, len(buffer) - longest + 1, PLACES):
             some = symbols[begin : begin + PLACES + longest - 1]
             whole = _codes(some, shortest)[: len(some) - longest + 1]
-            at = np.flatnonzero(seen[self._mark(whole)])
+            at = _set(seen, self._mark(whole))
             code = whole[at]
             for length in range(shortest, longest + 1):
                 if length > shortest:
                     code |= some[at + length - 1] << np.uint64(5 * (length - 1))
                 if length in self.lengths:
                     keys = code << np.uint64(4) | np.uint64(length)
+                    there = _set(known, self._mark(keys, KNOWN))
+                    keys = keys[there]
                     mark = self._mark(keys)
-                    left = starts[mark].astype(np.int64)
-                    count = starts[mark + 1] - left
+                    left = np.take(starts, mark, mode="clip").astype(np.int64)
+                    count = np.take(starts, mark + 1, mode="clip") - left
                     total = np.cumsum(count)
                     which = np.repeat(np.arange(len(count)), count)
                     entry = np.arange(len(which)) + np.repeat(left - total + count, count)
-                    same = self.keys[entry] == keys[which]
-                    held.append((at[which[same]] + begin, self.ids[entry[same]].astype(np.int64)))
+                    same = np.flatnonzero(np.take(self.keys, entry, mode="clip") == np.take(keys, which, mode="clip"))
+                    held.append((at[there[which[same]]] + begin, self.ids[entry[same]].astype(np.int64)))
                     rows += len(held[-1][0])
-            if rows >= PLACES or begin + PLACES >= len(buffer) - longest + 1:
-                place, piece = (np.concatenate(x) for x in zip(*held, strict=True))
-                for i in range(0, len(place), PLACES):
-                    p, q = place[i : i + PLACES], piece[i : i + PLACES]
-                    for group in self.groups:
-                        near = self._held(symbols, p, q, group)
-                        p, q = p[near], q[near]
-                    if len(p):
-                        yield p, q
+            ends = begin + PLACES >= len(buffer) - longest + 1
+            if rows >= PLACES or ends:
+                left_over.extend(self._within(symbols, *(np.concatenate(x) for x in zip(*held, strict=True)), self.groups[:1]))
                 held, rows = [], 0
+            # few hold in the first group: the others are looked at for many places at a time
+            if left_over and (ends or sum(len(p) for p, _ in left_over) >= PLACES):
+                yield from self._within(symbols, *(np.concatenate(x) for x in zip(*left_over, strict=True)), self.groups[1:])
+                left_over = []
+
+    def _within(self, symbols: np.ndarray, place: np.ndarray, piece: np.ndarray, groups: list[np.ndarray]):
+        """(place, piece), by arrays, where the groups hold."""
+        for i in range(0, len(place), PLACES):
+            p, q = place[i : i + PLACES], piece[i : i + PLACES]
+            for group in groups:
+                near = self._held(symbols, p, q, group)
+                p, q = p[near], q[near]
+            if len(p):
+                yield p, q
 
     def _held(self, symbols: np.ndarray, place: np.ndarray, piece: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Whether the group of each piece is near its place within its edits: ``best_distance`` of many at once, by class."""
         pattern, offset = group[piece, 0], group[piece, 1]
         edits, size = self.edits[pattern], self.sizes[pattern]
         at = place - (self.offset[piece] - offset) - edits
+        return self._least(symbols, at, pattern, int((size + 2 * edits).max(initial=0))) <= edits
+
+    def _least(self, symbols: np.ndarray, at: np.ndarray, pattern: np.ndarray, steps: int) -> np.ndarray:
+        """The smallest distance of each pattern to any part of the ``steps`` symbols from its place on, by class."""
+        size = self.sizes[pattern]
         kind = np.uint32 if size.max(initial=0) <= 32 else np.uint64
         peq, row = self.peq.ravel().astype(kind), pattern * 32
         one, top = kind(1), (size - 1).astype(kind)
-        vp, vn = np.full(len(place), ~kind(0)), np.zeros(len(place), dtype=kind)
+        vp, vn = np.full(len(at), ~kind(0)), np.zeros(len(at), dtype=kind)
         signed = np.int32 if kind is np.uint32 else np.int64
         score = size.astype(signed)
         best = score.copy()
-        for step in range(int((size + 2 * edits).max(initial=0))):
-            x = peq[row + np.take(symbols, at + step, mode="clip").view(np.int64)] | vn
+        for step in range(steps):
+            x = np.take(peq, row + np.take(symbols, at + step, mode="clip").view(np.int64), mode="clip") | vn
             d0 = ((vp + (x & vp)) ^ vp) | x
             hn = vp & d0
             hp = vn | ~(vp | d0)
@@ -307,7 +341,26 @@ class Pieces:
             vn = hp & d0
             vp = (hn << one) | ~(hp | d0)
             np.minimum(best, score, out=best)
-        return best <= edits
+        return best
+
+    def near(self, buffer: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Whether the blocks of each item can be near the places from ``low`` to ``high`` of ``buffer`` within the allowed edits:
+        together they are no further from a part of it than the item. Never wrong about what is near."""
+        out = np.ones(len(item), dtype=bool)
+        symbols = _CLASS[buffer]
+        order = np.argsort(high - low, kind="stable")  # of like lengths together
+        total = np.cumsum(self.blocks[item[order], 1])
+        begin = 0
+        while len(order) - begin >= FEW:
+            upto = max(begin + FEW, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PLACES, "right")))
+            some = order[begin:upto]
+            first, count = self.blocks[item[some]].T
+            which = np.repeat(np.arange(len(some)), count)
+            pattern = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(which))
+            least = self._least(symbols, low[some][which], pattern, int((high - low)[some].max()))
+            out[some] = np.bincount(which, least, len(some)) <= allowed[some]
+            begin = upto
+        return out
 
 
 class Index:
@@ -316,11 +369,13 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY):
         self.items = items
         self.allowed = [int((1 - similarity) * len(t) + 1e-9) for _, t in items]
+        self.edits = np.array(self.allowed, dtype=np.int64)
         long = [(k, t) for k, (_, t) in enumerate(items) if len(t) >= BRIEF]
         self.short = [(k, t) for k, (_, t) in enumerate(items) if 0 < len(t) < SHORT]
         self.stride = max(1, min((len(t) for _, t in long), default=BRIEF) // 3)
         self._count_grams([(k, t) for k, (_, t) in enumerate(items) if SHORT <= len(t) < BRIEF])
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._made: list | None = None
         self.pieces = Pieces([(k, t, self.allowed[k]) for k, t in long])
         if not long:
             return
@@ -380,7 +435,12 @@ class Index:
                 yield k, max(0, c * size - BRIEF - edits), (c + 2) * size - BRIEF + len(self.items[k][1]) + edits
 
     def _filters(self) -> list[np.ndarray]:
-        """Of each table, and of the pieces behind them."""
+        """Of each table, and of the pieces behind them; made once for all tasks of a worker."""
+        if self._made is None:
+            self._made = self._make_filters()
+        return self._made
+
+    def _make_filters(self) -> list[np.ndarray]:
         out = []
         for keys, _, _ in self.tables:
             seen = np.zeros(1 << 22, dtype=bool)
@@ -415,6 +475,7 @@ class Index:
                     which = np.maximum(np.searchsorted(starts, place, "right") - 1, 0)
                     near = (place - starts[which] - self.pieces.offset[piece]) // 16
                     guesses.update(zip(which.tolist(), self.pieces.item[piece].tolist(), near.tolist(), strict=True))
+            runs: list[tuple[int, int, int, int]] = []
             ahead = iter([*sorted(guesses), None])
             run = next(ahead)
             while run is not None:  # neighbouring guesses are verified at once
@@ -422,7 +483,12 @@ class Index:
                 while (run := next(ahead)) is not None and run[:2] == (d, k) and run[2] <= last + 2:
                     last = run[2]
                 slack = self.allowed[k] + 16
-                self._verify(d, k, max(0, first * 16 - slack), max(0, last * 16 + len(self.items[k][1]) + slack), documents[d], best)
+                runs.append((d, k, max(0, first * 16 - slack), max(0, last * 16 + len(self.items[k][1]) + slack)))
+            if runs:
+                which, item, low, high = np.array(runs, dtype=np.int64).T
+                near = self.pieces.near(buffer, item, starts[which] + low, starts[which] + high, self.edits[item])
+                for i in np.flatnonzero(near).tolist():
+                    self._verify(*runs[i], documents[runs[i][0]], best)
             for k in self.pieces.everywhere:
                 for d, text in enumerate(documents):
                     self._verify(d, k, 0, len(text), text, best)

@@ -111,6 +111,22 @@ def test_every_match_up_to_the_threshold_is_found():
     assert len(got) >= 2 * len(items)
 
 
+def test_parts_of_items_are_not_verified_one_by_one(monkeypatch):
+    rnd = random.Random(17)
+    items = [(k, leaks.reduced(words(rnd, 40).encode())) for k in range(12)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        docs += [leaks.reduced(words(rnd, 60).encode()) + t[at : at + 70] + leaks.reduced(words(rnd, 60).encode()) for at in range(0, len(t) - 70, 30)]
+        docs.append(leaks.reduced(edited(rnd, t.decode(), 0.15).encode()))
+    index = leaks.Index(items)
+    verified, distance = [], leaks.best_distance
+    best = {(d, k): distance(t, text)[0] for d, text in enumerate(docs) for k, (_, t) in enumerate(items)}
+    want = {p: n for p, n in best.items() if n <= index.allowed[p[1]]}
+    monkeypatch.setattr(leaks, "best_distance", lambda item, text: verified.append(item) or distance(item, text))
+    assert {(d, k): n for d, k, _, _, n in index.search(docs, index._filters())} == want
+    assert len(want) < len(docs) / 4 and len(verified) <= 2 * len(want) + leaks.FEW
+
+
 def test_items_of_very_short_pieces_are_verified_everywhere():
     item = b"a sentence of some length that may be edited in more than half of all its letters"
     index = leaks.Index([(1, item)], similarity=0.4)
