@@ -38,8 +38,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BITS = 1 << 27  # bits of a bitmap: 16 MB
 BUCKET = 1 << 15  # bits that Spark's bitmap functions put into one value
 WIDTH = 1 << 16  # nodes of a language that the first round grows; doubles each round
-AT_ONCE = 2_000_000  # words that are counted together
-KNOWN = 1_200_000  # different words that a task remembers
+AT_ONCE = 1_000_000  # words that are counted together
+KNOWN = 600_000  # different words that a task remembers
 WINDOW = 1 << 20  # bytes of a text that are split at a time
 OUT_ROWS = 200_000
 STRETCH = 20_000  # words of a row of reduced text
@@ -72,9 +72,12 @@ def split_words(text: bytes) -> Iterator[list[bytes]]:
 def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a phrase from that of its prefix and that of its last word (wraps at 64 bits)."""
     with np.errstate(over="ignore"):
-        x = (before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) ^ word
+        x = before + np.uint64(0x9E3779B97F4A7C15)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= word
         x ^= x >> np.uint64(29)
-        return x * np.uint64(0x94D049BB133111EB)
+        x *= np.uint64(0x94D049BB133111EB)
+        return x
 
 
 def _word_hash(lang: str, word: bytes) -> int:
@@ -114,11 +117,22 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     return bitmap_of(phrases.select("lang", "phrase").mapInArrow(run, "bit bigint"), bits)
 
 
+def _bit_numbers(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes & np.uint64(bits - 1)).astype(np.int32 if bits <= 1 << 31 else np.int64)
+
+
 def _holds(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    at = _bit_numbers(hashes, bits)
     return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _numbered(numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different ones of these numbers below ``most``, which of them each is)."""
+    used = np.zeros(most, dtype=bool)
+    used[numbers] = True
+    return np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - np.int32(1))[numbers]
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts the keys, where each group starts in it)."""
     order = np.argsort(keys, kind="stable")
@@ -185,13 +199,13 @@ class Slice:
 
     def text(self, numbers: np.ndarray, stop: bytes = b"") -> pa.Array:
         """The words of these numbers; ``stop`` for 0."""
-        picks, back = np.unique(numbers, return_inverse=True)
+        picks, back = _numbered(numbers, len(self.names))
         words = pa.array([self.names[k] if k else stop for k in picks.tolist()], pa.binary()).cast(pa.string())
         return words.take(pa.array(back))
 
     def langs(self, numbers: np.ndarray) -> pa.Array:
         """The languages of the words of these numbers."""
-        picks, back = np.unique(numbers, return_inverse=True)
+        picks, back = _numbered(numbers, len(self.names))
         langs = list(self.known)
         return pa.array([langs[self.name_langs[k]] for k in picks.tolist()], pa.string()).take(pa.array(back))
 
@@ -224,8 +238,8 @@ def _levels(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int):
     token, hashes = held.tokens(), held.hashes()
     alive_word = _holds(frequent, hashes, bits)
     alive_word[0] = False
-    at = np.flatnonzero(alive_word[token])
-    name, code = token[at].astype(np.int64), hashes[token[at]]
+    at = np.flatnonzero(alive_word[token]).astype(np.int32)
+    name, code = token[at], hashes[token[at]]
     grew = np.zeros(len(token), dtype=bool)  # does a growing phrase of one word less start here?
     for size in range(1, LONGEST):
         grows = _holds(growing, code, bits)
@@ -238,19 +252,20 @@ def _levels(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int):
         yield token, size, at, name, code, child, last, longer
         grew = here
         stay = alive_word[last] & _holds(frequent, longer, bits)
-        pair = name[stay] * len(held.names) + last[stay]
+        pair = name[stay].astype(np.int64) * len(held.names) + last[stay]
         at, code = at[stay], longer[stay]
+        del longer, child
         order, starts = _groups(pair)
-        name = np.empty(len(pair), dtype=np.int64)
-        name[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+        name = np.empty(len(pair), dtype=np.int32)
+        name[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(order)]))
 
 
 def count_hashes(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Numbers of children by hash."""
     for _, _, _, _, _, child, _, longer in _levels(held, frequent, growing, bits):
-        found, n = np.unique((longer[child] & np.uint64(bits - 1)).astype(np.int64), return_counts=True)
+        found, n = np.unique(_bit_numbers(longer[child], bits), return_counts=True)
         for start in range(0, len(n), OUT_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(x[start : start + OUT_ROWS]) for x in (found, n)], ["bit", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[start : start + OUT_ROWS], pa.int64()) for x in (found, n)], ["bit", "n"])
 
 
 def reduced_texts(held: Slice, frequent: np.ndarray, growing: np.ndarray, enough: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -261,15 +276,17 @@ def reduced_texts(held: Slice, frequent: np.ndarray, growing: np.ndarray, enough
     for shift in (-1, 0, 1, 2):
         keep[pair + shift] = True
     keep = keep[:-1] & (token > 0)
-    where = np.flatnonzero(keep)
+    del at, child, last, longer, pair
+    where = np.flatnonzero(keep).astype(np.int32)
     if not len(where):
         return
-    owner = np.repeat([0, *(k for k, _ in held.owners), 0], [1, *(n for _, n in held.owners), LONGEST])[where]
-    order = np.argsort(owner, kind="stable")
+    langs = np.array([0, *(k for k, _ in held.owners), 0], dtype=np.int32)
+    owner = np.repeat(langs, [1, *(n for _, n in held.owners), LONGEST])[where]
+    order = np.argsort(owner, kind="stable").astype(np.int32)
     where, owner = where[order], owner[order]
     fresh = np.r_[True, np.diff(where) != 1]  # a stop before each stretch
-    place = np.arange(len(where)) + np.cumsum(fresh)
-    words = np.zeros(place[-1] + 1, dtype=np.int64)
+    place = np.arange(len(where), dtype=np.int32) + np.cumsum(fresh, dtype=np.int32)
+    words = np.zeros(place[-1] + 1, dtype=np.int32)
     words[place] = token[where]
     begins = place[fresh] - 1
     # rows of some length, cut at stops and between languages
@@ -303,7 +320,7 @@ def count_grown(
                     word = pc.if_else(pa.array(least == most), held.text(least), pa.scalar(None, pa.string()))
                     yield from _batches(langs, -size, texts, n, side, word)
         child &= _holds(enough, longer, bits)
-        order, starts = _groups(name[child] * len(held.names) + last[child])
+        order, starts = _groups(name[child].astype(np.int64) * len(held.names) + last[child])
         if len(starts):
             where = at[child][order][starts]
             langs, texts = phrases(token, where, size + 1)

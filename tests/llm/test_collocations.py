@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from siltworks.llm import collocations
@@ -84,3 +86,22 @@ def test_large_products_stay_exact(spark):
 
 def test_empty_table(spark):
     assert mine(frame(spark, [("en", "x")]).limit(0)).collect() == []
+
+
+def test_a_pass_over_a_full_slice_takes_little_memory():
+    rnd = np.random.default_rng(3)
+    held, bits = collocations.Slice(), 1 << 20
+    while held.words < collocations.AT_ONCE:
+        held.add("en", b" ".join(b"w%d" % k for k in rnd.integers(0, 5000, 100_000).tolist()))
+    held.hashes()
+    every = np.full(bits // 8, 255, dtype=np.uint8)
+    for made in (
+        lambda: collocations.count_hashes(held, every, every, bits),
+        lambda: collocations.reduced_texts(held, every, every, every, bits),
+        lambda: collocations.count_grown(held, every, every, every, every, bits),
+    ):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in made()) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 180_000_000
