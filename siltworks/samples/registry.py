@@ -420,7 +420,9 @@ def overall_quality(spark, sf):
 
 
 def _scores(spark, sf) -> tuple[DataFrame, ...]:
-    ready = {"graph_edges": cut(load(spark, sf, "graph_edges"), "edges").df}
+    # the columns of the edges that the views over them read
+    edges = load(spark, sf, "graph_edges").select("source_id", "target_id", "script", "transformations", "k")
+    ready = {"graph_edges": cut(edges, "edges").df}
     gen, truth, ops = (load(spark, sf, v, ready) for v in ("generated", "truth", "truth_ops"))
     nodes = quality.node_quality(load(spark, sf, "graph_nodes"), load(spark, sf, "truth_tables"))
     return *quality.edge_scores(gen, truth), quality.transform_quality(gen, ops), nodes

@@ -85,3 +85,20 @@ def test_edge_items_are_not_held_before_they_meet(spark):
     for made, n in ((quality.edge_outcomes(edges, edges.limit(1)), 3), (quality.edge_quality(edges, edges), 1), (quality.edge_quality_by_script(edges, edges), 2)):
         assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
         assert made.count() == n
+
+
+def test_edges_are_shuffled_once_for_both_scores(spark):
+    edges = spark.createDataFrame([("a", "b", "j.py"), ("a", "b", "k.py"), ("B/", "c", "j.py")], "source_id string, target_id string, script string")
+    whole, by_script = quality.edge_scores(edges, edges.limit(2))
+    for scores, shuffles in ((whole, 1), (by_script, 2)):
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == shuffles  # scores by script are gathered by script
+    assert [(r.total_truth, r.total_generated, r.true_positives) for r in whole.collect()] == [(1, 2, 1)]
+    assert sorted((r.script, r.total_generated) for r in by_script.collect()) == [("j.py", 2), ("k.py", 1)]
+
+
+def test_names_of_nodes_meet_without_a_combine(spark):
+    nodes = spark.createDataFrame([("bronze", "t1"), ("bronze", "t2"), ("gold", "t1")], "layer string, table_name string")
+    plan = quality.node_quality(nodes, nodes)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning(") :]
+    assert "HashAggregate" not in below and "REPARTITION" in below.upper()
