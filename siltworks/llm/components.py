@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from siltworks.llm.common import stored
 
@@ -11,8 +11,12 @@ def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, with their number and a checksum that the writing job takes along."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+    kept = stored(marked, "links")
+    return kept, (seen.get["n"], seen.get["sum"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     # u > v throughout
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stored(edges, "links")
-    before = _mark(edges)
+    edges, before = _kept(edges)
     while before[0]:
         # larger neighbours of a node move to the smallest node of its whole neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,8 +43,7 @@ def components(links: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        edges = stored(small, "links")
-        after = _mark(edges)
+        edges, after = _kept(small)
         if after == before:
             break
         before = after

@@ -104,3 +104,19 @@ def test_similar_texts_far_apart_in_bits(documents, monkeypatch):
     assert [r.doc_id for r in simhash.one_of_each(documents(list(enumerate(texts)))).orderBy("doc_id").collect()] == want
     monkeypatch.setattr(simhash, "LANE", 2)  # dealt over lanes
     assert [r.doc_id for r in simhash.one_of_each(documents(list(enumerate(texts)))).orderBy("doc_id").collect()] == want
+
+
+def test_a_round_of_components_is_one_query(spark, monkeypatch):
+    from siltworks.llm import components
+
+    written, stored = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label: written.append(label) or stored(df, label))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    found = components.components(chain)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() - before == len(written)
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)] + [(100, 100), (101, 100)]
+    assert components.components(chain.limit(0)).collect() == []
