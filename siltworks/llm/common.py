@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltworks.sources.scratch import cut
 
+BATCH = 1_000  # rows of texts that are sent to Python at a time
 FOLDS = 4
 HELD_OUT = 2
 
@@ -30,6 +31,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return cut(df, label).df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, tasks of this session send at most ``BATCH`` rows to Python at a time (a smaller number that is set holds).
+
+    Whole texts are wide: Spark's 10,000 rows take tens of MB four times a task, in and out, in the JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:  # 0 or less: no limit
+        spark.conf.set(key, BATCH)
+
+
 def held_out(doc_id: Column) -> Column:
     """Is the document in the fold that no model learns from? A NULL id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))

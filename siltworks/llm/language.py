@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from siltworks.llm.common import bounded_sample, held_out, slices, texts
+from siltworks.llm.common import bounded_sample, held_out, slices, small_batches, stored, texts
 
 SAMPLE = 20_000
 WORDS = 60_000
@@ -32,20 +32,27 @@ WORD = regex.compile(r"\p{L}+")
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages and, per word and n-gram, the log probability in each of them."""
+    """Languages and, per word and n-gram, the row that holds its log probability in each of them.
+
+    The last row of ``gram_rows`` is for words of which nothing is known.
+    """
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
 
 
-def _log_table(rows, languages: tuple[str, ...]) -> dict[str, np.ndarray]:
+def _log_table(rows, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
     place = {x: k for k, x in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for row in rows:
-        counts.setdefault(row["term"], np.zeros(len(languages)))[place[row["lang"]]] += row["n"]
-    total = sum(counts.values(), np.zeros(len(languages))) + SMOOTH * max(1, len(counts))
-    return {k: np.log((v + SMOOTH) / total) for k, v in counts.items()}
+    terms: dict[str, int] = {}
+    cells = [(terms.setdefault(row["term"], len(terms)), place[row["lang"]], row["n"]) for row in rows]
+    counts = np.zeros((len(terms), len(languages)))
+    for term, lang, n in cells:
+        counts[term, lang] += n
+    total = counts.sum(axis=0) + SMOOTH * max(1, len(terms))
+    return terms, np.log((counts + SMOOTH) / total)
 
 
 def _frequent(counts: DataFrame, most: int) -> list:
@@ -62,7 +69,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = bounded_sample(rows, "doc_id", sample)
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    counts = rows.select("lang", F.explode(found).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).cache()
+    counts = rows.select("lang", F.explode(found).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts, "language-words")
     languages = tuple(sorted(r[0] for r in counts.select("lang").distinct().collect()))
     known = _frequent(counts, words)
     padded = F.concat(F.lit("^"), F.col("term"), F.lit("$"))
@@ -74,6 +82,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
         )
     )
     gram_counts = counts.select("lang", F.explode(pieces).alias("term"), "n").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    gram_counts = stored(gram_counts, "language-grams")  # made once, as every length reads them twice
     # the most frequent n-grams of each length, so that long ones are kept besides single letters
     ranked = gram_counts.groupBy("term").agg(F.sum("n").alias("total"))
     known_grams = []
@@ -81,11 +90,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
         top = ranked.filter(F.length("term") == n).orderBy(F.desc("total"), "term").limit(grams // LONGEST)
         known_grams.append(gram_counts.join(F.broadcast(top.select("term")), "term"))
     rows_of = [frame.select("term", "lang", "n").collect() for frame in known_grams]
-    counts.unpersist()
-    tables: dict[str, np.ndarray] = {}
+    places: dict[str, int] = {}
+    tables = []
     for some in rows_of:
-        tables |= _log_table(some, languages)
-    return LanguageModel(languages, _log_table(known, languages), tables)
+        terms, table = _log_table(some, languages)
+        places |= {g: k + len(places) for g, k in terms.items()}
+        tables.append(table)
+    return LanguageModel(languages, *_log_table(known, languages), places, np.concatenate([*tables, np.zeros((1, len(languages)))]))
 
 
 class Scorer:
@@ -93,18 +104,16 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.gram_rows = {g: k for k, g in enumerate(model.grams)}
-        self.grams = np.array([*model.grams.values(), np.zeros(len(model.languages))])  # the last row: nothing is known
         self.seen: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
 
     def backoff(self, word: str) -> list[int]:
         """Rows of the longest known n-grams of an unseen word."""
-        padded, known = f"^{word}$", self.gram_rows.get
+        padded, known = f"^{word}$", self.model.grams.get
         for n in range(min(LONGEST, len(padded)), 0, -1):
             if rows := [r for k in range(len(padded) - n + 1) if (r := known(padded[k : k + n])) is not None]:
                 return rows
-        return [len(self.gram_rows)]
+        return [len(self.model.grams)]
 
     def _learn(self, words: list[str]) -> None:
         """Add the scores of words not met so far to the table."""
@@ -112,18 +121,21 @@ class Scorer:
         while place + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.seen.update(zip(words, range(place, place + len(words)), strict=True))
-        unseen, rows, sizes = [], [], []
+        known_at, known_rows, unseen, rows, sizes = [], [], [], [], []
         for k, w in enumerate(words, place):
             if (known := self.model.words.get(w)) is not None:
-                self.table[k] = known
+                known_at.append(k)
+                known_rows.append(known)
             else:
                 found = self.backoff(w)
                 unseen.append(k)
                 rows += found
                 sizes.append(len(found))
+        if known_at:
+            self.table[known_at] = self.model.word_rows[known_rows]
         if unseen:
             starts = np.cumsum([0, *sizes[:-1]])
-            self.table[unseen] = np.add.reduceat(self.grams[rows], starts) / np.array(sizes)[:, None]
+            self.table[unseen] = np.add.reduceat(self.model.gram_rows[rows], starts) / np.array(sizes)[:, None]
 
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.seen) > SEEN:
@@ -158,6 +170,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     no language. Ties go to the first language by name. Repeated rows and rows without doc_id are predicted like any
     other. Only the text is used.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
 
     def run(batches):
@@ -175,6 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``reject``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -154,3 +154,19 @@ def test_no_long_run_is_slow(documents):
 def test_awkward_rows(awkward, nothing):
     assert pii.find_personal_data(awkward).count() == awkward.count()
     assert pii.find_personal_data(nothing).count() == 0
+
+
+def test_a_language_model_is_small_and_made_once(tongues, monkeypatch):
+    made = []
+    real = language.stored
+    monkeypatch.setattr(language, "stored", lambda df, label: made.append(label) or real(df, label))
+    tongues.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    model = language.fit(tongues)
+    assert made == ["language-words", "language-grams"]
+    # numbers of rows in two tables, no array for each word
+    assert {type(v) for v in [*model.words.values(), *model.grams.values()]} == {int}
+    assert model.word_rows.shape == (len(model.words), 3) and model.gram_rows.shape == (len(model.grams) + 1, 3)
+    assert sorted(model.words.values()) == list(range(len(model.words)))
+    assert sorted(model.grams.values()) == list(range(len(model.grams)))
+    language.accepted(tongues, model)
+    assert int(tongues.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
