@@ -22,7 +22,6 @@ or language with a third of all words is one row per slice. Counts, frontiers an
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +38,8 @@ BITS = 1 << 27  # bits of a bitmap: 16 MB
 BUCKET = 1 << 15  # bits that Spark's bitmap functions put into one value
 WIDTH = 1 << 16  # nodes of a language that the first round grows; doubles each round
 AT_ONCE = 1_000_000  # words that are counted together
-KNOWN = 600_000  # different words that a task remembers
-WINDOW = 1 << 20  # bytes of a text that are split at a time
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+WINDOW = 1 << 20  # bytes of texts that are split at a time
 OUT_ROWS = 200_000
 STRETCH = 20_000  # words of a row of reduced text
 SHARES = 64
@@ -56,8 +55,8 @@ _RULES[9] = 32
 RULES = bytes(_RULES)
 
 
-def split_words(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text in lists of about ``WINDOW`` bytes, with ``STOP`` between pieces. Parted at blanks only."""
+def cut_text(text: bytes) -> Iterator[bytes]:
+    """A text under the rules, in parts of about ``WINDOW`` bytes. Parted at blanks only."""
     raw = text.translate(RULES)
     start = 0
     while start < len(raw):
@@ -65,10 +64,24 @@ def split_words(text: bytes) -> Iterator[list[bytes]]:
         if end - start > WINDOW:
             end = raw.find(b" ", start + WINDOW)
             end = len(raw) if end < 0 else end
-        yield raw[start:end].replace(STOP, b" " + STOP + b" ").split()
+        yield raw[start:end]
         start = end
 
 
+def split_words(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the words of a text under the rules, for each word and each end of a piece where it starts, which of these are words)."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    stops = data == STOP[0]
+    inside = ~(stops | (data == 32))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = np.flatnonzero(begins | stops)
+    words = begins[at]
+    left = data[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[at[words]] - np.int32(1), np.int32(len(left)))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(left)]), at, words
+
+
 def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a phrase from that of its prefix and that of its last word (wraps at 64 bits)."""
     with np.errstate(over="ignore"):
@@ -80,19 +93,46 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return x
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\0" + word, 11)
+def _lang_hash(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), 11)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of words (binary), eight bytes of all words at a time; long words one by one."""
+    size = len(words)
+    if not size:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + size + 1].astype(np.int64)
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[: ends[-1]], np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))  # the eight bytes from each byte on
+    lengths = np.diff(ends)
+    out = lengths.astype(np.uint64)
+    long = np.flatnonzero(lengths > LONG_WORD)
+    rows = np.flatnonzero((lengths > 0) & (lengths <= LONG_WORD))
+    done = 0
+    while len(rows):
+        left = np.minimum(lengths[rows] - done, 8)
+        some = eights[ends[rows] + done] & (np.uint64((1 << 64) - 1) >> (64 - 8 * left).astype(np.uint64))
+        out[rows] = _mixed(out[rows], some)
+        done += 8
+        rows = rows[lengths[rows] > done]
+    for k in long.tolist():
+        out[k] = xxhash.xxh64_intdigest(words[k].as_py(), 11)
+    return out
 
 
 def phrase_bits(langs: list[str], phrases: list[str], bits: int) -> np.ndarray:
     """The bit of a bitmap that stands for each phrase."""
-    out = np.empty(len(phrases), dtype=np.int64)
-    for k, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
-        first, *more = (np.array([_word_hash(lang, w)], dtype=np.uint64) for w in phrase.encode().split(b" "))
-        for w in more:
-            first = _mixed(first, w)
-        out[k] = first[0] & np.uint64(bits - 1)
-    return out
+    words = [p.encode().split(b" ") for p in phrases]
+    starts = np.cumsum([0, *map(len, words)])
+    each = {lang: _lang_hash(lang) for lang in set(langs)}
+    owner = np.repeat(np.array([each[lang] for lang in langs], dtype=np.uint64), np.diff(starts))
+    hashes = _mixed(owner, word_hashes(pa.array([w for some in words for w in some], pa.binary())))
+    code, sizes = hashes[starts[:-1]], np.diff(starts)
+    for k in range(1, max(sizes, default=0)):
+        rows = np.flatnonzero(sizes > k)
+        code[rows] = _mixed(code[rows], hashes[starts[rows] + k])
+    return _bit_numbers(code, bits).astype(np.int64)
 
 
 def bitmap_of(bits_set: DataFrame, bits: int) -> np.ndarray:
@@ -100,9 +140,14 @@ def bitmap_of(bits_set: DataFrame, bits: int) -> np.ndarray:
     # bucket numbers of the bitmap functions start at 1 for bits from 1 on
     at = F.col("bit") + 1
     made = bits_set.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
+    return _packed(made.withColumn("bucket", F.col("bucket") - 1), bits)
+
+
+def _packed(buckets: DataFrame, bits: int) -> np.ndarray:
+    """One bitmap of the bitmaps (map) of buckets numbered from 0."""
     out = np.zeros(max(bits, BUCKET) // 8, dtype=np.uint8)
-    for row in made.collect():  # bits / BUCKET rows at most
-        start = (row.bucket - 1) * (BUCKET // 8)
+    for row in buckets.select("bucket", "map").collect():  # bits / BUCKET rows at most
+        start = row.bucket * (BUCKET // 8)
         out[start : start + BUCKET // 8] = np.frombuffer(row.map, dtype=np.uint8)
     return out
 
@@ -140,74 +185,93 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
-class LangWords(dict):
-    """Numbers of one language's words; a new word gets the next number of all."""
-
-    def __init__(self, lang: int, names: list[bytes], owners: list[int]):
-        super().__init__({STOP: 0})
-        self.lang, self.names, self.owners = lang, names, owners
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        self.owners.append(self.lang)
-        return number
-
-
 class Slice:
-    """The words of some documents as numbers; word 0 ends a piece."""
+    """The words of some documents as numbers; word 0 ends a piece. Numbers hold until ``clear``."""
 
     def __init__(self):
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, LangWords] = {}
-        self.names, self.name_langs = [b""], [0]
-        self._hashes = np.zeros(1, dtype=np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.owners: list[tuple[int, int]] = []  # (language, number of words) of each document
-        self.words = 0
-
-    def go_on(self) -> None:
-        """Empty for the next documents; words stay known up to a bound."""
-        self.forget() if len(self.names) > KNOWN else self.clear()
+        self.known: dict[str, int] = {}  # languages
+        self.raw: list[bytes] = []  # parts of texts that are not split yet
+        self.raw_langs: list[int] = []
+        self.waiting = self.bytes = self.words = 0
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # (words, which places hold one, language of each place)
+        self._read = False
 
     def add(self, lang: str, text: bytes) -> None:
-        if lang not in self.known:
-            self.known[lang] = LangWords(len(self.known), self.names, self.name_langs)
-        number, before = self.known[lang], self.words
-        for words in split_words(text):
-            self.parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
-            self.words += len(words)
-        self.parts.append(np.zeros(1, dtype=np.int32))
-        self.words += 1
-        self.owners.append((number.lang, self.words - before))
+        number = self.known.setdefault(lang, len(self.known))
+        for raw in cut_text(text):
+            self._wait(raw, number)
+        self._wait(STOP, number)
+
+    def _wait(self, raw: bytes, lang: int) -> None:
+        self.raw.append(raw)
+        self.raw_langs.append(lang)
+        self.waiting += len(raw)
+        if self.waiting >= WINDOW:
+            self._split()
+
+    def _split(self) -> None:
+        if not self.raw:
+            return
+        words, at, is_word = split_words(b"".join(self.raw))
+        ends = np.searchsorted(at, np.cumsum([len(r) for r in self.raw]))
+        owner = np.repeat(np.array(self.raw_langs, dtype=np.int32), np.diff(ends, prepend=0))
+        self.parts.append((words, is_word, owner))
+        self.words += len(at)
+        self.bytes += self.waiting
+        self.raw, self.raw_langs, self.waiting = [], [], 0
+
+    def full(self) -> bool:
+        return self.words >= AT_ONCE or self.bytes >= AT_ONCE * LONG_WORD
+
+    def _number(self) -> None:
+        """Give every word of every language that occurs a number from 1 on."""
+        if self._read:
+            return
+        self._split()
+        self._read, none = True, np.zeros(1, dtype=np.int32)
+        coded = pa.concat_arrays([pa.array([], pa.binary()), *(p[0] for p in self.parts)]).dictionary_encode()
+        words = coded.dictionary
+        self.owner = np.concatenate([none, *(p[2] for p in self.parts), np.zeros(LONGEST, dtype=np.int32)])
+        there = np.concatenate([none, *(p[1] for p in self.parts), np.zeros(LONGEST, dtype=np.int32)]).astype(bool)
+        # a word of two languages is two words
+        pair = coded.indices.to_numpy() + self.owner[there].astype(np.int64) * len(words)
+        if len(words) * len(self.known) <= 4 * AT_ONCE:
+            pairs, number = _numbered(pair, len(words) * len(self.known))
+        else:
+            pairs, number = np.unique(pair, return_inverse=True)
+        self.token = np.zeros(len(there), dtype=np.int32)
+        self.token[there] = number + 1
+        self.name_langs = np.r_[0, pairs // max(1, len(words))].astype(np.int32)
+        self.names = pa.concat_arrays([pa.array([b""], pa.binary()), words.take(pa.array(pairs % max(1, len(words))))])
+        self._hashes = None
+        self.parts = []
 
     def tokens(self) -> np.ndarray:
-        return np.concatenate([np.zeros(1, dtype=np.int32), *self.parts, np.zeros(LONGEST, dtype=np.int32)])
+        self._number()
+        return self.token
 
     def hashes(self) -> np.ndarray:
-        start, langs = len(self._hashes), list(self.known)
-        new = self.names[start:]
-        if new:
-            found = np.fromiter((_word_hash(langs[k], w) for k, w in zip(self.name_langs[start:], new, strict=True)), dtype=np.uint64, count=len(new))
-            self._hashes = np.concatenate([self._hashes, found])
+        self._number()
+        if self._hashes is None:
+            langs = np.array([_lang_hash(lang) for lang in self.known] or [0], dtype=np.uint64)
+            self._hashes = _mixed(langs[self.name_langs], word_hashes(self.names))
+            self._hashes[0] = 0
         return self._hashes
 
     def text(self, numbers: np.ndarray, stop: bytes = b"") -> pa.Array:
         """The words of these numbers; ``stop`` for 0."""
         picks, back = _numbered(numbers, len(self.names))
-        words = pa.array([self.names[k] if k else stop for k in picks.tolist()], pa.binary()).cast(pa.string())
-        return words.take(pa.array(back))
+        words = self.names.take(pa.array(picks))
+        if stop and len(picks) and picks[0] == 0:
+            words = pa.concat_arrays([pa.array([stop], pa.binary()), words[1:]])
+        return words.cast(pa.string()).take(pa.array(back))
 
     def langs(self, numbers: np.ndarray) -> pa.Array:
         """The languages of the words of these numbers."""
-        picks, back = _numbered(numbers, len(self.names))
-        langs = list(self.known)
-        return pa.array([langs[self.name_langs[k]] for k in picks.tolist()], pa.string()).take(pa.array(back))
+        return pa.array(list(self.known), pa.string()).take(pa.array(self.name_langs[numbers]))
 
 
 COUNTS = "lang string, n_words int, phrase string, side int, word string, n bigint"
@@ -222,13 +286,14 @@ def _batches(lang, n_words, phrase, n, side=0, word=None) -> Iterator[pa.RecordB
 
 def count_words(held: Slice) -> Iterator[pa.RecordBatch]:
     """Counts of single words, and under n_words 0 those of all words of a language."""
-    counts = np.bincount(held.tokens(), minlength=len(held.names))
+    token = held.tokens()
+    counts = np.bincount(token, minlength=len(held.names))
     counts[0] = 0
     there = np.flatnonzero(counts)
     yield from _batches(held.langs(there), 1, held.text(there), counts[there])
     langs = list(held.known)
     sums = np.zeros(len(langs), dtype=np.int64)
-    np.add.at(sums, np.array([held.name_langs[k] for k in there.tolist()], dtype=np.int64), counts[there])
+    np.add.at(sums, held.name_langs[there], counts[there])
     yield from _batches(pa.array(langs, pa.string()), 0, pa.array([""] * len(langs), pa.string()), sums)
 
 
@@ -236,13 +301,13 @@ def _levels(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int):
     """For phrases of one word, two words and so on: (token, size, where frequent ones start, their names and hashes, which
     of them have a child that is to be counted, their next words, hashes with these)."""
     token, hashes = held.tokens(), held.hashes()
-    alive_word = _holds(frequent, hashes, bits)
+    alive_word, growing_word = _holds(frequent, hashes, bits), _holds(growing, hashes, bits)
     alive_word[0] = False
     at = np.flatnonzero(alive_word[token]).astype(np.int32)
     name, code = token[at], hashes[token[at]]
     grew = np.zeros(len(token), dtype=bool)  # does a growing phrase of one word less start here?
     for size in range(1, LONGEST):
-        grows = _holds(growing, code, bits)
+        grows = growing_word[name] if size == 1 else _holds(growing, code, bits)
         here, live = np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=bool)
         here[at[grows]] = live[at] = True
         last = token[at + size]
@@ -260,12 +325,49 @@ def _levels(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int):
         name[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(order)]))
 
 
-def count_hashes(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Numbers of children by hash."""
+HASHES = "bucket int, at binary, n binary"
+
+
+def count_hashes(held: Slice, frequent: np.ndarray, growing: np.ndarray, bits: int, least: int = LEAST) -> Iterator[pa.RecordBatch]:
+    """Numbers of children by hash: a row for each bucket of bits, with places in it and counts. ``least`` stands for larger ones."""
     for _, _, _, _, _, child, _, longer in _levels(held, frequent, growing, bits):
         found, n = np.unique(_bit_numbers(longer[child], bits), return_counts=True)
-        for start in range(0, len(n), OUT_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(x[start : start + OUT_ROWS], pa.int64()) for x in (found, n)], ["bit", "n"])
+        if not len(found):
+            continue
+        buckets, at = found // BUCKET, (found % BUCKET).astype(np.uint16)
+        starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+        n = np.minimum(n, least).astype(np.min_scalar_type(least))
+        columns = [pa.array(buckets[starts], pa.int32())]
+        for values in (at, n):
+            offsets = np.append(starts, len(found)) * values.itemsize
+            columns.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)]))
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in HASHES.split(", ")])
+
+
+def enough_of(hashed: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Bitmap of the hashes that ``count_hashes`` found ``least`` times in all. A bucket's rows are summed one by one."""
+    kind = np.min_scalar_type(least)
+
+    def run(batches):
+        bucket, sums = None, np.zeros(BUCKET, dtype=np.int64)
+
+        def full():
+            there = sums >= least
+            if bucket is not None and there.any():
+                packed = pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), packed], ["bucket", "map"])
+            sums[:] = 0
+
+        for batch in slices(batches, 4096):
+            for to, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if to != bucket:
+                    yield from full()
+                    bucket = to
+                sums[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=kind)  # no place twice in a row
+        yield from full()
+
+    met = hashed.repartition("bucket").sortWithinPartitions("bucket")
+    return _packed(met.mapInArrow(run, "bucket int, map binary"), bits)
 
 
 def reduced_texts(held: Slice, frequent: np.ndarray, growing: np.ndarray, enough: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -280,8 +382,7 @@ def reduced_texts(held: Slice, frequent: np.ndarray, growing: np.ndarray, enough
     where = np.flatnonzero(keep).astype(np.int32)
     if not len(where):
         return
-    langs = np.array([0, *(k for k, _ in held.owners), 0], dtype=np.int32)
-    owner = np.repeat(langs, [1, *(n for _, n in held.owners), LONGEST])[where]
+    owner = held.owner[where]
     order = np.argsort(owner, kind="stable").astype(np.int32)
     where, owner = where[order], owner[order]
     fresh = np.r_[True, np.diff(where) != 1]  # a stop before each stretch
@@ -327,27 +428,19 @@ def count_grown(
             yield from _batches(langs, size + 1, texts, np.diff(np.r_[starts, len(order)]))
 
 
-@functools.cache
-def _slice() -> Slice:
-    """The slice of this worker: what one task has learned of words, the next one knows."""
-    return Slice()
-
-
 def _passed(docs: DataFrame, each, schema: str) -> DataFrame:
     """One pass over the texts: what ``each`` makes of every slice."""
 
     def run(batches):
-        held = _slice()
-        held.go_on()
+        held = Slice()
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.add(lang, text)
-                if held.words >= AT_ONCE:
+                if held.full():
                     yield from each(held)
-                    held.go_on()
-        if held.words:
+                    held = Slice()
+        if held.known:
             yield from each(held)
-            held.go_on()
 
     return docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, schema)
 
@@ -453,9 +546,8 @@ def collocations(
         empty = np.zeros(max(bits, BUCKET) // 8, dtype=np.uint8)
         maps = [spark.sparkContext.broadcast(m) for m in (bitmap(nodes, bits), bitmap(growing, bits))]
         words_grow = not growing.filter(~F.contains("phrase", F.lit(" "))).isEmpty()
-        hashed = _passed(source if words_grow else reduced, lambda held, maps=tuple(maps): count_hashes(held, *(m.value for m in maps), bits), "bit bigint, n bigint")
-        enough = hashed.groupBy("bit").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        maps.append(spark.sparkContext.broadcast(bitmap_of(enough, bits)))
+        hashed = _passed(source if words_grow else reduced, lambda held, maps=tuple(maps): count_hashes(held, *(m.value for m in maps), bits, least), HASHES)
+        maps.append(spark.sparkContext.broadcast(enough_of(hashed, least, bits)))
         if words_grow:
             shorter = _passed(source, lambda held, maps=tuple(maps): reduced_texts(held, *(m.value for m in maps), bits), "lang string, text string")
             reduced = stored(shorter, "phrases-texts")

@@ -4,6 +4,7 @@ from collections import Counter
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltworks.llm import collocations
@@ -105,3 +106,40 @@ def test_a_pass_over_a_full_slice_takes_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 180_000_000
+
+
+def test_words_are_numbered_in_bulk():
+    rnd = np.random.default_rng(5)
+    texts = ["".join(rnd.choice(list("aB é\t\n.,!x\x1c"), 300)) for _ in range(20)] + ["", " ", ".", "w" * 500 + " b"]
+    held = collocations.Slice()
+    want = []
+    for k, t in enumerate(texts):
+        held.add(("en", "de")[k % 2], t.encode())
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            want += [*((("en", "de")[k % 2], w) for w in re.findall(r"[^\x20\x09]+", piece)), None]
+    token = held.tokens()[1 : -collocations.LONGEST]
+    words, langs = held.text(token, b"|").to_pylist(), held.langs(token).to_pylist()
+    assert [None if w == "|" else (lang, w) for lang, w in zip(langs, words, strict=True)] == want
+    # one number and one hash for a word of a language, the same in bitmaps
+    pairs = sorted({p for p in want if p})
+    assert len(held.names) == len(pairs) + 1
+    bits = dict(zip(zip(held.langs(np.arange(1, len(held.names))).to_pylist(), held.text(np.arange(1, len(held.names))).to_pylist(), strict=True), held.hashes()[1:], strict=True))
+    got = collocations.phrase_bits([p[0] for p in pairs], [p[1] for p in pairs], 1 << 27)
+    assert got.tolist() == [int(bits[p]) % (1 << 27) for p in pairs]
+
+
+def test_hashes_are_counted_by_bucket(spark):
+    held = collocations.Slice()
+    for _ in range(3):
+        held.add("en", b"a b a b c")
+    bits = 1 << 17
+    every = np.full(bits // 8, 255, dtype=np.uint8)
+    made = pa.Table.from_batches(list(collocations.count_hashes(held, every, every, bits, 6)))
+    found = collocations.enough_of(spark.createDataFrame(made.to_pandas(), collocations.HASHES), 6, bits)
+    assert np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist() == collocations.phrase_bits(["en"], ["a b"], bits).tolist()
+    twice = spark.createDataFrame(pa.concat_tables([made, made]).to_pandas(), collocations.HASHES)
+    found = collocations.enough_of(twice, 6, bits)
+    # each child of up to five words, three times in a table of counts up to 6
+    some = ["a b", "b a", "b c", "a b a", "b a b", "a b c", "a b a b", "b a b c", "a b a b c"]
+    assert set(np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist()) == set(collocations.phrase_bits(["en"] * 9, some, bits).tolist())
