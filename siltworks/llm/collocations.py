@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltworks.llm.common import slices, stored
+from siltworks.llm.common import slices, small_batches, stored
 from siltworks.sources.scratch import cut
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -499,6 +499,7 @@ def collocations(
     the smaller phrase (by bytes). A language without such phrases has no rows; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = _counted(source, count_words).filter((F.col("n_words") == 0) | (F.col("f") >= least))
     counted = stored(counted.select("lang", "phrase", "n_words", "f"), "phrases-words")
