@@ -46,9 +46,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` of the labelled ``rows`` (all, if there are fewer), picked by a hash of ``key``."""
+def bounded_sample(rows: DataFrame, key: str, most: int, part: int | None = None) -> DataFrame:
+    """About ``most`` of the labelled ``rows`` (all, if there are fewer), picked by a hash of ``key``; with ``part`` no fewer than one
+    in so many."""
     there = rows.count()
+    most = max(most, there // part) if part else most
     if there <= most:
         return rows
     return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * (most / there)))

@@ -11,7 +11,8 @@
 5. Components over the links give the smallest reachable doc_id.
 
 The near-duplicate stage also links texts by exact shingle similarity. A text sends the first fifth of its shingles in one
-global order (rare ones first); whatever is similar enough meets there, and candidates are verified by their whole sets.
+global order (rare ones first, common ones by how many documents have them); whatever is similar enough meets there, and
+candidates are verified by their whole sets.
 
 At scale: texts are never shuffled; a row of the search is three integers. Copies are one fingerprint, however many.
 The residents of a value with more than ``LANE`` of them are dealt over lanes and its visitors copied once per lane, so
@@ -39,8 +40,11 @@ WORDS = 4
 DISTANCE = 4
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8  # links by the texts' word shingles, at any distance of the fingerprints
-ORDERED, COMMON, MOST_COMMON = 1024, 4, 100_000  # of so many documents; shingles that so many of them have come last; at most so many
+# The order of shingles follows one document in ``ORDERED_PART``, at least ``ORDERED``, so the number of documents beyond which a
+# shingle is known as common does not grow with the input. Those that ``COMMON`` of them have come last; at most so many.
+ORDERED, ORDERED_PART, COMMON, MOST_COMMON = 1024, 16, 4, 500_000
 LANE = 2048
+MET_BYTES = 4 * 1024 * 1024  # shingles that several texts have, up to which they are broadcast: as a relation they take the driver some three times that
 SAMPLE = 4096  # fingerprints from which bit correlations and candidate counts are estimated
 MOST_PARTITIONS = 8
 ROW_COST = 30  # cost of a row that is sent, in compared pairs
@@ -256,22 +260,40 @@ def _sets(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "key bigint, s array<bigint>")
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that many documents of a sample have. They only decide the order of shingles, hence what the search costs."""
-    found = _sets(bounded_sample(docs, "doc_id", ORDERED)).select(F.explode("s").alias("x"))
-    often = found.groupBy("x").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "x").limit(MOST_COMMON)
-    return np.sort(often.select("x").toArrow().column("x").to_numpy())
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles, common ones last. With one order for all, two sets of at least ``similarity`` share one of these:
-    the common part is at least ``similarity`` of the larger set, so it does not fit behind the prefix of either."""
+@dataclass(frozen=True)
+class Common:
+    """Shingles that many documents of a sample have, sorted, and how many have each. They only decide the order of shingles,
+    hence what the search costs."""
+
+    shingles: np.ndarray
+    counts: np.ndarray
+
+    def count(self, shingles: np.ndarray) -> np.ndarray:
+        """Of every shingle; 0 for one that is not common."""
+        if not len(self.shingles):
+            return np.zeros(len(shingles), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.counts[at], 0)
+
+
+def common_shingles(docs: DataFrame) -> Common:
+    """The common shingles of ``docs``. Starts jobs."""
+    kinds = _sets(bounded_sample(docs, "doc_id", ORDERED, ORDERED_PART)).dropDuplicates(["key"])  # copies are one text
+    found = kinds.select(F.explode("s").alias("x"))
+    often = found.groupBy("x").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "x").limit(MOST_COMMON).toArrow()
+    shingles, counts = (often.column(c).to_numpy() for c in ("x", "count"))
+    order = np.argsort(shingles)
+    return Common(shingles[order], counts[order])
+
+
+def prefix(shingles: np.ndarray, common: Common, similarity: float) -> np.ndarray:
+    """The first of the sorted shingles, common ones last. With one order for all, two sets of at least ``similarity`` share one of
+    these: the common part is at least ``similarity`` of the larger set, so it does not fit behind the prefix of either."""
     n = len(shingles)
-    often = np.isin(shingles, common)
-    return np.r_[shingles[~often], shingles[often]][: n - math.ceil(similarity * n - 1e-9) + 1]
+    return shingles[np.argsort(common.count(shingles), kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def near_units(docs: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+def near_units(docs: DataFrame, common: Common, similarity: float) -> DataFrame:
     """doc_id, fp, key, size (number of shingles) and first, their prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_COMMON
 
@@ -288,28 +310,28 @@ def near_units(docs: DataFrame, common: np.ndarray, similarity: float) -> DataFr
 
 
 def alike(docs: DataFrame, units: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of fingerprints of texts that share at least ``similarity`` of their word shingles, all of them but
-    those that ``roots`` (node, root) already joins. Exact: texts of that similarity meet at a shingle of both prefixes, and
+    """Pairs (a, b) of the roots of texts that share at least ``similarity`` of their word shingles, all of them but those that
+    ``roots`` (node, root; by default the fingerprint itself) already joins. Exact: texts of that similarity meet at a shingle of both prefixes, and
     at so many that the rest behind a prefix can make up what they must share. Starts jobs.
     """
     kinds = units.select("key", "fp", "size", "first").dropDuplicates(["key"])
-    kinds = kinds.join(roots, kinds["fp"] == roots["node"], "left").select("key", "fp", "size", "first", F.coalesce("root", "fp").alias("root"))
-    rows = stored(kinds, "near-kinds").select(F.explode("first").alias("shingle"), "key", "fp", "size", "root", (F.col("size") - F.size("first")).alias("rest"))
+    kinds = kinds.join(roots, kinds["fp"] == roots["node"], "left").select("key", "size", "first", F.coalesce("root", "fp").alias("root"))
+    rows = stored(kinds, "near-kinds").select(F.explode("first").alias("shingle"), "key", "size", "root", (F.col("size") - F.size("first")).alias("rest"))
     full = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     # where all are joined already there is nothing to find
     full = cut(full.filter("n > 1 AND low < high").select("shingle", F.ceil(F.col("n") / LANE).cast("int").alias("lanes")), "near-met")
-    rows = rows.join(F.broadcast(full.df) if full.small else full.df, "shingle")
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("key", "fp", "size", "root", "rest")]
+    rows = rows.join(F.broadcast(full.df) if full.bytes <= MET_BYTES else full.df, "shingle")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("key", "size", "root", "rest")]
     x = rows.select("shingle", F.pmod(F.xxhash64("key"), F.col("lanes")).cast("int").alias("lane"), *side("x"))
     y = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), *side("y"))
     met = x.join(y, ["shingle", "lane"]).filter(
         (F.col("x_key") < F.col("y_key")) & (F.col("x_root") != F.col("y_root"))
         & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size"))
     )
-    ends = met.groupBy("x_key", "y_key").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("x_fp", "y_fp", "x_size", "y_size", "x_rest", "y_rest")))
+    ends = met.groupBy("x_key", "y_key").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("x_root", "y_root", "x_size", "y_size", "x_rest", "y_rest")))
     needed = similarity / (1 + similarity) * (F.col("x_size") + F.col("y_size")) - 1e-9
     enough = ends.filter(F.col("n") + F.greatest("x_rest", "y_rest") >= needed)
-    pairs = stored(enough.select("x_key", "x_fp", "y_key", "y_fp"), "near-candidates")
+    pairs = stored(enough.select("x_key", "x_root", "y_key", "y_root"), "near-candidates")
     ends = pairs.select(F.col("x_key").alias("key")).union(pairs.select("y_key")).distinct()
     wanted = cut(ends.join(units, "key").groupBy("key").agg(F.min("doc_id").alias("least")).select("least").distinct(), "near-owners")
     chosen = F.broadcast(wanted.df) if wanted.small else wanted.df
@@ -318,7 +340,7 @@ def alike(docs: DataFrame, units: DataFrame, roots: DataFrame, similarity: float
     v = sets.select(F.col("key").alias("y_key"), F.col("s").alias("y"))
     both = pairs.join(u, "x_key").join(v, "y_key").withColumn("common", F.size(F.array_intersect("x", "y")))
     near = both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-9)
-    return near.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
+    return near.select(F.col("x_root").alias("a"), F.col("y_root").alias("b"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -332,10 +354,11 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = docs.filter(F.col("doc_id").isNotNull())
     marked = stored(near_units(named, common_shingles(named), similarity), "near-units")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-set")
-    sure = stored(search(distinct.select("fp")).select("a", "b"), "near-links")
-    joined = stored(components(sure), "near-roots")
-    roots = stored(components(sure.unionByName(alike(named, marked, joined, similarity))), "fingerprint-roots")
-    owners = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = stored(components(search(distinct.select("fp")).select("a", "b")), "near-roots")
+    owners = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("least", F.coalesce("root", "fp").alias("part"))
+    # whole components are linked, not their members once more
+    further = stored(components(alike(named, marked, joined, similarity)), "further-roots")
+    owners = owners.join(further, owners["part"] == further["node"], "left").select("least", F.coalesce("root", "part").alias("root"))
     stays = owners.groupBy("root").agg(F.min("least").alias("_stays"))
     gone = marked.select("doc_id").distinct().join(stays, F.col("doc_id") == F.col("_stays"), "left_anti")
     gone = cut(gone.select(F.col("doc_id").alias("_gone")), "near-gone")

@@ -120,3 +120,46 @@ def test_a_round_of_components_is_one_query(spark, monkeypatch):
     assert store.executionsCount() - before == len(written)
     assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)] + [(100, 100), (101, 100)]
     assert components.components(chain.limit(0)).collect() == []
+
+
+def test_shared_passages_do_not_make_texts_meet(documents, monkeypatch):
+    """However many documents there are, texts that share only a passage do not meet at its shingles."""
+    monkeypatch.setattr(simhash, "ORDERED", 16)
+    rnd = random.Random(6)
+    passages = [[f"p{k}x{j}" for j in range(30)] for k in range(4)]
+    texts = [" ".join([*(f"w{rnd.randrange(10**9)}" for _ in range(60)), *(passages[k % 10] if k % 10 < 4 else [])]) for k in range(2000)]
+    docs = documents(list(enumerate(texts)))
+    first = simhash.near_units(docs, simhash.common_shingles(docs), 0.8).selectExpr("explode(first) AS x")
+    assert first.groupBy("x").count().agg({"count": "max"}).first()[0] < 5
+
+
+def test_order_of_shingles_goes_by_their_counts():
+    common = simhash.Common(np.array([-3, 4, 9]), np.array([7, 50, 4]))
+    shingles = np.array([-5, -3, 4, 8, 9])
+    assert simhash.prefix(shingles, common, 0.01).tolist() == [-5, 8, 9, -3, 4]
+    assert simhash.prefix(shingles, common, 0.8).tolist() == [-5, 8]
+    assert simhash.prefix(shingles, simhash.Common(*np.zeros((2, 0), dtype=np.int64)), 0.8).tolist() == [-5, -3]
+
+
+def test_similar_texts_link_whole_components(documents, monkeypatch):
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+        for changed in range(6):  # similar neighbours, whatever their fingerprints are
+            texts.append(" ".join([*words[:changed], *(f"x{rnd.randrange(10**6)}" for _ in range(1)), *words[changed + 1 :]]))
+    docs = documents(list(enumerate(texts)))
+    calls, components = [], simhash.components
+
+    def seen(links):
+        found = components(links)
+        calls.append(([tuple(r) for r in links.collect()], [tuple(r) for r in found.collect()]))
+        return found
+
+    monkeypatch.setattr(simhash, "components", seen)
+    monkeypatch.setattr(simhash, "MET_BYTES", -1)  # shingles of several texts not broadcast
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [6 * k for k in range(12)]
+    (sure, roots), (more, _) = calls
+    assert sure and more and len(calls) == 2
+    root = dict(roots)
+    assert all(a != b and root.get(a, a) == a and root.get(b, b) == b for a, b in more)
