@@ -44,20 +44,20 @@ class LanguageModel:
     gram_rows: np.ndarray
 
 
-def _log_table(rows, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
+def _log_table(rows: pa.Table, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
+    """Places of the terms and their log probabilities, from counts (term, lang, n) that stay columns: no object for each of them."""
     place = {x: k for k, x in enumerate(languages)}
-    terms: dict[str, int] = {}
-    cells = [(terms.setdefault(row["term"], len(terms)), place[row["lang"]], row["n"]) for row in rows]
-    counts = np.zeros((len(terms), len(languages)))
-    for term, lang, n in cells:
-        counts[term, lang] += n
-    total = counts.sum(axis=0) + SMOOTH * max(1, len(terms))
-    return terms, np.log((counts + SMOOTH) / total)
+    term, lang = (rows.column(c).combine_chunks().dictionary_encode() for c in ("term", "lang"))
+    counts = np.zeros((len(term.dictionary), len(languages)))
+    places = np.array([place[x] for x in lang.dictionary.to_pylist()], dtype=np.int64)
+    np.add.at(counts, (term.indices.to_numpy(), places[lang.indices.to_numpy()]), rows.column("n").to_numpy())
+    total = counts.sum(axis=0) + SMOOTH * max(1, len(counts))
+    return {x: k for k, x in enumerate(term.dictionary.to_pylist())}, np.log((counts + SMOOTH) / total)
 
 
-def _frequent(counts: DataFrame, most: int) -> list:
+def _frequent(counts: DataFrame, most: int) -> pa.Table:
     top = counts.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(most)
-    return counts.join(F.broadcast(top), "term").select("term", "lang", "n").collect()  # at most ``most`` terms
+    return counts.join(F.broadcast(top), "term").select("term", "lang", "n").toArrow()  # at most ``most`` terms
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
@@ -85,14 +85,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     gram_counts = stored(gram_counts, "language-grams")  # made once, as every length reads them twice
     # the most frequent n-grams of each length, so that long ones are kept besides single letters
     ranked = gram_counts.groupBy("term").agg(F.sum("n").alias("total"))
-    known_grams = []
-    for n in range(1, LONGEST + 1):
-        top = ranked.filter(F.length("term") == n).orderBy(F.desc("total"), "term").limit(grams // LONGEST)
-        known_grams.append(gram_counts.join(F.broadcast(top.select("term")), "term"))
-    rows_of = [frame.select("term", "lang", "n").collect() for frame in known_grams]
     places: dict[str, int] = {}
     tables = []
-    for some in rows_of:
+    for n in range(1, LONGEST + 1):
+        top = ranked.filter(F.length("term") == n).orderBy(F.desc("total"), "term").limit(grams // LONGEST)
+        some = gram_counts.join(F.broadcast(top.select("term")), "term").select("term", "lang", "n").toArrow()
         terms, table = _log_table(some, languages)
         places |= {g: k + len(places) for g, k in terms.items()}
         tables.append(table)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import personal, sha, spans_text
 
@@ -170,3 +172,12 @@ def test_a_language_model_is_small_and_made_once(tongues, monkeypatch):
     assert sorted(model.grams.values()) == list(range(len(model.grams)))
     language.accepted(tongues, model)
     assert int(tongues.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
+
+
+def test_log_probabilities_from_columns():
+    rows = pa.table({"term": ["a", "b", "a", "c"], "lang": ["x", "y", "y", "y"], "n": pa.array([3, 1, 2, 4], pa.int64())})
+    terms, found = language._log_table(rows, ("w", "x", "y"))
+    assert terms == {"a": 0, "b": 1, "c": 2}
+    want = np.array([[0, 3, 2], [0, 0, 1], [0, 0, 4]]) + language.SMOOTH
+    assert np.allclose(found, np.log(want / want.sum(axis=0)))
+    assert language._log_table(rows.slice(0, 0), ("x",))[1].shape == (0, 1)
