@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltworks.operators.adjacency import EDGE, NUMBERS, OTHER, GraphStore, graph_store
 from siltworks.operators.skew import hot_keys, skew_join
-from siltworks.sources.scratch import Stored, cut
+from siltworks.sources.scratch import Stored, cut, discard, freed_shuffles
 
 SUMMARY = ["node_id", "node_type", "layer", "table_name", "full_name", "format", "row_count", "column_count", "scanned_at"]
 MAX_DEPTH = 10
@@ -120,63 +120,81 @@ def _reach(store: GraphStore, seeds: DataFrame, depth: int, near: str) -> Stored
     shared folder, so no plan grows with the depth and a lost executor costs one step. No step moves an edge
     (see ``GraphStore.met``); what is shuffled are pairs of numbers.
     """
-    frontier = cut(seeds.select(F.col("id").alias("seed"), "id"), "frontier")
+    frontier = cut(seeds.select("seed", "id"), "frontier")
     visited = frontier.df.withColumn("hop", F.lit(0))
-    rows, size = frontier.rows, frontier.bytes
+    rows, size, paths = frontier.rows, frontier.bytes, frontier.paths
     next_one = NUMBERS[OTHER[near]]
     for hop in range(1, depth):
         met = store.met(frontier, near, next_one, once=False).filter(F.col(next_one).isNotNull())
         step = met.select("seed", F.col(next_one).alias("id")).distinct()
         frontier = cut(step.join(visited, ["seed", "id"], "left_anti"), "frontier")
+        paths += frontier.paths
         if frontier.rows == 0:
             break
         rows, size = rows + frontier.rows, size + frontier.bytes
         visited = visited.unionByName(frontier.df.withColumn("hop", F.lit(hop)))
-    return Stored(visited, rows, size)
+    return Stored(visited, rows, size, paths=paths)
 
 
 def _traverse(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, near: str, store: GraphStore | None
-) -> tuple[DataFrame, DataFrame]:
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, near: str, store: GraphStore | None, crossed: bool
+) -> tuple[DataFrame, DataFrame | None]:
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
-    if store is None:
-        store = graph_store(nodes, edges)
+    with freed_shuffles(edges.sparkSession):
+        found, links = _answers(nodes, edges, seeds, depth, near, store, crossed)
+    found = found.select("seed_id", "node_id", "hop", *SUMMARY[1:-1], "location")
+    return found, links.select("seed_id", *EDGE) if crossed else None
+
+
+def _answers(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, near: str, store: GraphStore | None, crossed: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    own = store is None
+    if own:
+        store = graph_store(nodes, edges, columns=EDGE if crossed else (), only=near)
     # only known ids: an unknown one reaches nothing, and its number could be another node's
     known = store.names.df.select("id", "node_id").join(seeds.select("node_id").distinct(), "node_id")
-    start = cut(known, "seeds")
+    # seeds have short numbers of their own: every pair of a frontier has one
+    start = cut(known.select(F.monotonically_increasing_id().alias("seed"), "id", F.col("node_id").alias("seed_id")), "seeds")
     reached = _reach(store, start.df, depth, near)
     attributes = store.numbered(nodes.select(*SUMMARY[:-1], "location"), "node_id", "id")
-    seed_names = start.renamed({"id": "seed", "node_id": "seed_id"})
-    at = Stored(reached.df.select("seed", "id"), reached.rows, reached.bytes)
+    seed_names = start.select("seed", "seed_id")
+    links = None
     if reached.small:  # measured
         found = skew_join(attributes.join(F.broadcast(reached.df), "id"), seed_names, "seed", left_keys=reached.df)
-        crossed = skew_join(store.met(at, near, *EDGE), seed_names, "seed", left_keys=reached.df)
+        if crossed:
+            at = Stored(reached.df.select("seed", "id"), reached.rows, reached.bytes)
+            links = skew_join(store.met(at, near, *EDGE), seed_names, "seed", left_keys=reached.df)
     else:
         # seeds get their names while rows are pairs of numbers: no row with its attributes moves for that
-        hot = [] if start.small else hot_keys(reached.df.select("seed"), "seed")
-        named = cut(skew_join(reached.df, seed_names, "seed", hot_left=hot), "reached")
-        often = hot_keys(reached.df.select("id"), "id")
+        hot = [] if seed_names.small else hot_keys(reached.df.select("seed"), "seed")
+        named = cut(skew_join(reached.df, seed_names, "seed", hot_left=hot).select("seed_id", "id", "hop"), "reached")
+        # what is read from here on are the named rows, and the edges if they are asked for
+        discard(nodes.sparkSession, [*reached.paths, *start.paths, *([*store.files, *store.laid] if own and not crossed else ())])
+        often = hot_keys(named.df.select("id"), "id")
         found = skew_join(named.df, attributes, "id", hot_left=often)
-        crossed = store.met(named.select("seed_id", "id"), near, *EDGE, often=often)
-    return found.select("seed_id", "node_id", "hop", *SUMMARY[1:-1], "location"), crossed.select("seed_id", *EDGE)
+        if crossed:
+            links = store.met(named.select("seed_id", "id"), near, *EDGE, often=often)
+    return found, links
 
 
 def upstream(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, store: GraphStore | None = None
-) -> tuple[DataFrame, DataFrame]:
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, store: GraphStore | None = None, crossed: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
     """Where the data of ``seeds(node_id)`` comes from, up to ``depth`` edges away.
 
     Returns nodes with their hop (0 .. depth-1) per seed and the edges crossed per seed. Ids
     without a node row are passed through but not listed. The result has one row per seed and thing reached, so
     many seeds over hubs give a result of the size of the closure; that is what is asked for. ``store`` is the graph laid
-    out before (``adjacency.graph_store``), for many questions to one graph. Starts jobs.
+    out before (``adjacency.graph_store``), for many questions to one graph. With ``crossed`` off there is None instead of the
+    edges, and their attributes are neither read nor stored. Starts jobs.
     """
-    return _traverse(nodes, edges, seeds, depth, "target_id", store)
+    return _traverse(nodes, edges, seeds, depth, "target_id", store, crossed)
 
 
 def downstream(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, store: GraphStore | None = None
-) -> tuple[DataFrame, DataFrame]:
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, store: GraphStore | None = None, crossed: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
     """Where the data of ``seeds(node_id)`` goes to; see ``upstream``."""
-    return _traverse(nodes, edges, seeds, depth, "source_id", store)
+    return _traverse(nodes, edges, seeds, depth, "source_id", store, crossed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -49,10 +49,30 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in _scopes.pop():
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        discard(spark, _scopes.pop())
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete stored tables that no frame still to be run reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete the files of their shuffles when they end, not when the driver happens to collect its garbage.
+
+    For steps that are written. Frames that a caller may run more than once are made outside.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @dataclass(frozen=True)
@@ -63,6 +83,7 @@ class Stored:
     rows: int
     bytes: int
     widths: dict[str, int] = field(default_factory=dict)
+    paths: tuple[str, ...] = ()
 
     @property
     def small(self) -> bool:
@@ -71,12 +92,12 @@ class Stored:
     def select(self, *columns: str) -> Stored:
         """Some of the columns, with the bytes that were measured for them."""
         widths = {c: self.widths[c] for c in columns}
-        return Stored(self.df.select(*columns), self.rows, sum(widths.values()), widths)
+        return Stored(self.df.select(*columns), self.rows, sum(widths.values()), widths, self.paths)
 
     def renamed(self, names: dict[str, str]) -> Stored:
         """The same rows under other column names."""
         widths = {names.get(c, c): w for c, w in self.widths.items()}
-        return Stored(self.df.withColumnsRenamed(names), self.rows, self.bytes, widths)
+        return Stored(self.df.withColumnsRenamed(names), self.rows, self.bytes, widths, self.paths)
 
 
 def _width(value: Column, kind: T.DataType) -> Column:
@@ -111,4 +132,4 @@ def cut(df: DataFrame, label: str) -> Stored:
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums).write.parquet(path)
     counts = seen.get
     widths = {f.name: counts.get(f"w{k}", 16 * counts["rows"]) for k, f in enumerate(df.schema.fields)}
-    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), counts["rows"], sum(widths.values()), widths)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), counts["rows"], sum(widths.values()), widths, (path,))

@@ -1,5 +1,7 @@
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltworks.operators import adjacency, lineage
@@ -71,3 +73,59 @@ def test_null_ends_and_an_empty_graph(spark):
 
 def lineage_schema():
     return "source_id string, target_id string, script string, dag_id string, layer string, transformations string"
+
+
+def folders(path):
+    """Kinds of the tables that lie in the shared folder."""
+    at = path / "siltworks"
+    return sorted({re.sub(r"-[0-9a-f]{32}$", "", f.name) for f in at.iterdir()}) if at.exists() else []
+
+
+@pytest.fixture
+def shared(tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: str(tmp_path))
+    return tmp_path
+
+
+def test_edges_are_shuffled_once_to_their_buckets(spark, unbroadcast, monkeypatch):
+    seen, write = [], adjacency.bucketed
+    monkeypatch.setattr(adjacency, "bucketed", lambda df, *a: seen.append(plan(df)) or write(df, *a))
+    names = [f"n{k}" for k in range(40)]
+    pairs = [(names[k % 40], names[(k * 7 + 1) % 40]) for k in range(200)]
+    store = graph_store(nodes(spark, *names), edges(spark, *pairs), ["source_id"])
+    assert not store.hot["source_id"] and seen[0].count("Exchange") == 1, seen[0]
+    files = store.edges["source_id"].select(F.input_file_name().alias("f"), "source").distinct().groupBy("source").count()
+    assert {r["count"] for r in files.collect()} == {1}
+    assert store.edges["source_id"].count() == len(set(pairs))
+
+
+def test_a_question_leaves_no_more_than_its_answer_reads(spark, unbroadcast, shared):
+    names = [f"n{k}" for k in range(12)]
+    pairs = [(names[k], names[(5 * k + 2) % 12]) for k in range(12)] + [(names[0], names[9])]
+    want, out = {}, []
+    for s in names[:2]:
+        seen, links = brute(pairs, s, 4)
+        want, out = want | {(s, n): h for n, h in seen.items()}, sorted(out + links)
+
+    def shuffles():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+
+    before = shuffles()
+    found, links = lineage.downstream(nodes(spark, *names), edges(spark, *pairs), seeds(spark, names[0], names[1]), 4)
+    left = time.monotonic() + 20
+    while shuffles() > before and time.monotonic() < left:
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert set(folders(shared)) - {"edges-of-frequent"} == {"edges_by_end", "reached"}
+    assert hops(found) == want and crossed(links) == out
+    assert crossed(links) == out  # a second time
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_store_that_is_handed_in_stays(spark, unbroadcast):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "b")]
+    store = graph_store(nodes(spark, *"abcd"), edges(spark, *pairs))
+    _, links = lineage.downstream(nodes(spark, *"abcd"), edges(spark, *pairs), seeds(spark, "a"), 2, store)
+    assert crossed(links) == [("a", "a", "b"), ("a", "b", "c")]
+    found, links = lineage.upstream(nodes(spark, *"abcd"), edges(spark, *pairs), seeds(spark, "d"), 2, store)
+    assert hops(found) == {("d", "d"): 0, ("d", "c"): 1} and crossed(links) == [("d", "b", "c"), ("d", "c", "d")]
