@@ -61,6 +61,7 @@ class GraphStore:
     edges: dict[str, DataFrame] = field(default_factory=dict)
     hot: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
     laid: list[str] = field(default_factory=list)
+    apart: list[str] = field(default_factory=list)  # folders of edges of frequent nodes, see ``met``
 
     def numbered(self, df: DataFrame, column: str, alias: str) -> DataFrame:
         """``df`` with the number of the node in ``column``."""
@@ -118,6 +119,7 @@ class GraphStore:
         if often:
             keys = rows.sparkSession.createDataFrame([(k,) for k, _ in often], "id bigint")  # bounded as in hot_keys
             some = cut(edges.join(F.broadcast(keys), "id", "left_semi").drop("lane"), "edges-of-frequent")
+            self.apart.extend(some.paths)
             apart = skew_join(rows.join(F.broadcast(keys), "id", "left_semi"), some, "id", both=not some.small, hot_left=often)
             rows = rows.join(F.broadcast(keys), "id", "left_anti")
         rows = self._laned(rows, near, "id")

@@ -125,10 +125,13 @@ def _reach(store: GraphStore, seeds: DataFrame, depth: int, near: str) -> Stored
     rows, size, paths = frontier.rows, frontier.bytes, frontier.paths
     next_one = NUMBERS[OTHER[near]]
     for hop in range(1, depth):
+        kept = len(store.apart)
         met = store.met(frontier, near, next_one, once=False).filter(F.col(next_one).isNotNull())
         step = met.select("seed", F.col(next_one).alias("id")).distinct()
         frontier = cut(step.join(visited, ["seed", "id"], "left_anti"), "frontier")
         paths += frontier.paths
+        discard(seeds.sparkSession, store.apart[kept:])
+        del store.apart[kept:]
         if frontier.rows == 0:
             break
         rows, size = rows + frontier.rows, size + frontier.bytes

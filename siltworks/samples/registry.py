@@ -333,9 +333,9 @@ def _upstream(spark, sf):
     return lineage.upstream(_nodes(spark, sf), _edges(spark, sf), seeds)
 
 
-def _downstream(spark, sf):
+def _downstream(spark, sf, crossed=True):
     seeds = _seeds(spark, sf, "part", "p_partkey", "hive://bronze.part_")
-    return lineage.downstream(_nodes(spark, sf), _edges(spark, sf), seeds)
+    return lineage.downstream(_nodes(spark, sf), _edges(spark, sf), seeds, crossed=crossed)
 
 
 @query
@@ -350,7 +350,7 @@ def upstream_edges(spark, sf):
 
 @query
 def downstream_nodes(spark, sf):
-    return _downstream(spark, sf)[0].select("seed_id", "node_id", "hop", "layer", "row_count")
+    return _downstream(spark, sf, crossed=False)[0].select("seed_id", "node_id", "hop", "layer", "row_count")
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltworks.operators import adjacency, lineage
 from siltworks.operators.adjacency import graph_store
+from siltworks.samples.registry import QUERIES
 from siltworks.sources import scratch
 from siltworks.sources.scratch import cut
 from test_lineage import brute, crossed, edges, hops, nodes, seeds
@@ -129,3 +130,29 @@ def test_a_store_that_is_handed_in_stays(spark, unbroadcast):
     assert crossed(links) == [("a", "a", "b"), ("a", "b", "c")]
     found, links = lineage.upstream(nodes(spark, *"abcd"), edges(spark, *pairs), seeds(spark, "d"), 2, store)
     assert hops(found) == {("d", "d"): 0, ("d", "c"): 1} and crossed(links) == [("d", "b", "c"), ("d", "c", "d")]
+
+
+def test_a_query_for_nodes_stores_no_attribute_of_an_edge(spark, unbroadcast, shared, tmp_path_factory, monkeypatch):
+    sf = tmp_path_factory.mktemp("tables")
+    tables = {
+        "part": ("p_partkey bigint", [(1,), (2,)]),
+        "orders": ("o_orderkey bigint, o_custkey bigint", [(1, 5), (2, 6)]),
+        "customer": ("c_custkey bigint, c_nationkey bigint", [(5, 3), (6, 3)]),
+        "nation": ("n_nationkey bigint, n_regionkey bigint", [(3, 1)]),
+        "region": ("r_regionkey bigint", [(1,)]),
+        "lineitem": ("l_partkey bigint, l_orderkey bigint", [(1, 1), (1, 2), (1, 2), (2, 2)]),
+    }
+    for name, (kind, data) in tables.items():
+        spark.createDataFrame(data, kind).coalesce(1).write.parquet(f"{sf}/{name}.parquet")
+    stored = []
+    for module in (adjacency, lineage):
+        monkeypatch.setattr(module, "cut", lambda df, label, plain=module.cut: stored.append((label, df.columns)) or plain(df, label))
+    write = adjacency.bucketed
+    monkeypatch.setattr(adjacency, "bucketed", lambda df, *a: stored.append(("edges_by_end", df.columns)) or write(df, *a))
+    found = QUERIES["downstream_nodes"](spark, str(sf))
+    assert sorted(dict(stored)["edges_by_end"]) == ["lane", "source", "target"]
+    assert not [label for label, columns in stored if {"script", "dag_id", "layer", "transformations"} & set(columns)]
+    assert folders(shared) == ["reached"]
+    got = sorted((r.seed_id[-1], r.node_id.split(".")[1], r.hop) for r in found.collect())
+    first = [("1", "customer_5", 2), ("1", "customer_6", 2), ("1", "order_1", 1), ("1", "order_2", 1), ("1", "part_1", 0)]
+    assert got == [*first, ("2", "customer_6", 2), ("2", "order_2", 1), ("2", "part_2", 0)]
